@@ -35,11 +35,15 @@ def register(name: str, sql: str | None = None, uses: tuple[str, ...] = ()):
         QUERIES[name] = run
         if sql is not None:
             text = sql.strip()
-            if uses and text[:5].lower() == "with ":
+            head = oracle_with(*uses) if uses else ""
+            if uses and text[:15].lower() == "with recursive ":
+                head = "WITH RECURSIVE " + head[5:]
+                text = ",\n" + text[15:]
+            elif uses and text[:5].lower() == "with ":
                 text = ",\n" + text[5:]
             else:
                 text = "\n" + text
-            ORACLE[name] = (oracle_with(*uses) if uses else "") + text
+            ORACLE[name] = head + text
         return fn
 
     return deco

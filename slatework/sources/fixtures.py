@@ -163,6 +163,14 @@ select l_orderkey * 8 + l_linenumber as id, cast(c_nationkey as bigint) as works
             else cast(l_orderkey * 3 + l_linenumber as string) end as target_id,
        l_suppkey % 150 as actor_id, l_shipdate as requested_at
 from {lineitem} join {orders} on o_orderkey = l_orderkey join {customer} on c_custkey = o_custkey""",
+    "comment_deletes": """
+select e.event_id * 2 + 1 as id,
+       case when e.event_id % 4 = 0 then (c_nationkey + 1) % 25 else cast(c_nationkey as bigint) end as workspace_id,
+       e.event_id as comment_id,
+       case when e.event_id % 5 = 0 then e.user_id + 1 else e.user_id end as author_id,
+       e.ts as requested_at
+from {events} e left join {orders} on o_orderkey = cast(floor(e.event_id / 3.0) as bigint)
+left join {customer} on c_custkey = o_custkey""",
     "registrations": """
 select c_custkey as id,
        case when c_custkey % 9 = 0 then concat(lower(s_name), '@example.test')
