@@ -60,3 +60,365 @@ def replay_transitions(fx):
     the status left by the requests before it."""
     verdicts, _ = W.replay_transitions(fx.content_items, fx.transition_requests)
     return verdicts.select("id", "content_item_id", "to_status", "from_status", "verdict")
+
+
+# ---------------------------------------------------------------------------
+from ..operators import changes as M  # noqa: E402
+from ..operators import invites as I  # noqa: E402
+from .registry import AS_OF  # noqa: E402
+from .sqltext import strict_date_ok  # noqa: E402
+
+_PLATFORMS = in_list(E.PLATFORMS)
+_TYPES = in_list(E.CONTENT_TYPES)
+_ROLES = in_list(E.ROLES)
+_LIVE_CLIENT_KEYS = "(select distinct id, workspace_id from clients where deleted_at is null)"
+
+
+def _chain(checks):
+    """SQL verdict and field columns of the first failing check."""
+    v = "case " + " ".join(f"when {c} then '{code}'" for c, code, _ in checks) + " else 'accepted' end as verdict"
+    f = "case " + " ".join(f"when {c} then '{fld}'" for c, _, fld in checks) + " end as field"
+    return f"{v}, {f}"
+
+
+@register("create_content", uses=("content_drafts", "clients"), sql=f"""
+select d.id, d.workspace_id, {_chain([
+    ("d.title is null or d.title = ''", "required", "title"),
+    (f"d.platform is null or d.platform not in {_PLATFORMS}", "invalid_enum", "platform"),
+    (f"d.content_type is null or d.content_type not in {_TYPES}", "invalid_enum", "content_type"),
+    (f"not {strict_date_ok('d.scheduled_date')}", "invalid_format", "scheduled_date"),
+    ("not (d.client_id is null or c.id is not null)", "invalid_reference", "client_id")])},
+  case when d.scheduled_date <> '' and d.scheduled_date similar to '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}'
+       then try_strptime(d.scheduled_date, '%Y-%m-%d')::date end as parsed_date
+from content_drafts d left join {_LIVE_CLIENT_KEYS} c on c.id = d.client_id and c.workspace_id = d.workspace_id""")
+def create_content(fx):
+    """M1: validate drafts in the application's order; accepted ones become draft items."""
+    v, _ = M.create_content(fx.content_drafts, fx.clients, AS_OF)
+    from ..functions import scalars as X
+    return v.select("id", "workspace_id", "verdict", "field",
+                    X.parse_strict_date(X.empty_to_null("scheduled_date")).alias("parsed_date"))
+
+
+_UPDATE_SQL = f"""
+with g as (select u.*, (u.client_id is null or c.id is not null) as client_ok, i.id is not null as found
+  from content_updates u
+  left join {_LIVE_CLIENT_KEYS} c on c.id = u.client_id and c.workspace_id = u.workspace_id
+  left join (select distinct id, workspace_id from content_items) i on i.id = u.content_item_id and i.workspace_id = u.workspace_id)
+select id, content_item_id, {_chain([
+    ("title is null or title = ''", "required", "title"),
+    (f"platform is null or platform not in {_PLATFORMS}", "invalid_enum", "platform"),
+    (f"content_type is null or content_type not in {_TYPES}", "invalid_enum", "content_type"),
+    (f"not {strict_date_ok('scheduled_date')}", "invalid_format", "scheduled_date"),
+    ("not found", "not_found", "content_item"),
+    ("not client_ok", "invalid_reference", "client_id")])}
+from g"""
+
+
+@register("update_content", uses=("content_updates", "content_items", "clients"), sql=_UPDATE_SQL)
+def update_content(fx):
+    """M2: judge content updates (title, enums, date, item, client in that order)."""
+    v, _ = M.update_content(fx.content_items, fx.content_updates, fx.clients)
+    return v.select("id", "content_item_id", "verdict", "field")
+
+
+_UPDATE_STATE_SQL = _UPDATE_SQL.replace("select id, content_item_id, ", "select *, ", 1)
+
+
+@register("update_content_state", uses=("content_updates", "content_items", "clients"), sql=f"""
+with v as ({_UPDATE_STATE_SQL.strip()}),
+last as (select * from (select *, row_number() over (partition by content_item_id, workspace_id
+                                                     order by requested_at desc, id desc) as rk
+                        from v where verdict = 'accepted') where rk = 1)
+select i.id, coalesce(l.title, i.title) as title, case when l.id is null then i.platform else l.platform end as platform,
+       case when l.id is null then i.client_id else l.client_id end as client_id,
+       case when l.id is null then i.scheduled_date
+            else try_strptime(nullif(l.scheduled_date, ''), '%Y-%m-%d')::date end as scheduled_date,
+       i.status, coalesce(l.requested_at, i.updated_at) as updated_at
+from content_items i left join last l on l.content_item_id = i.id and l.workspace_id = i.workspace_id""")
+def update_content_state(fx):
+    """M2 state: the last accepted update of each item replaces its fields."""
+    _, items = M.update_content(fx.content_items, fx.content_updates, fx.clients)
+    return items.select("id", "title", "platform", "client_id", "scheduled_date", "status", "updated_at")
+
+
+@register("upsert_memberships", uses=("membership_upserts", "memberships"), sql=f"""
+with acc as (select * from membership_upserts where role in {_ROLES}),
+last as (select * from (select workspace_id, user_id, role,
+                               min(requested_at) over (partition by workspace_id, user_id) as first_at,
+                               row_number() over (partition by workspace_id, user_id order by requested_at desc, id desc) as rk
+                        from acc) where rk = 1)
+select coalesce(m.workspace_id, l.workspace_id) as workspace_id, coalesce(m.user_id, l.user_id) as user_id,
+       coalesce(l.role, m.role) as role, coalesce(m.joined_at, l.first_at) as joined_at
+from memberships m full outer join last l on m.workspace_id = l.workspace_id and m.user_id = l.user_id""")
+def upsert_memberships(fx):
+    """M5: memberships after the upserts: role replaced, joined_at kept."""
+    _, m = M.upsert_memberships(fx.memberships, fx.membership_upserts)
+    return m
+
+
+_CLAIMS_SQL = """
+with c as (select cl.*, i.id as invite_id, i.workspace_id, i.max_uses, i.use_count, i.expires_at
+           from claims cl left join invites i on i.token = cl.token),
+live as (select *, row_number() over (partition by token order by claimed_at, id) - 1 as prior
+         from c where invite_id is not null and not (claimed_at > expires_at)),
+v as (select id, token, user_id, claimed_at, workspace_id,
+             case when use_count + prior < max_uses then 'accepted' else 'unusable' end as verdict from live
+      union all
+      select id, token, user_id, claimed_at, workspace_id,
+             case when invite_id is null then 'not_found' else 'unusable' end from c
+      where invite_id is null or claimed_at > expires_at),
+vm as (select v.*, m.role as mrole, m.user_id is not null as member from v
+       left join memberships m on m.workspace_id = v.workspace_id and m.user_id = v.user_id),
+nj as (select id, row_number() over (partition by workspace_id, user_id order by claimed_at, id) as rk
+       from vm where verdict = 'accepted' and not member)
+select vm.id, vm.token, vm.user_id, vm.workspace_id, vm.verdict,
+       case when vm.verdict = 'accepted' then coalesce(vm.mrole, 'viewer') end as role,
+       coalesce(nj.rk = 1, false) as new_member
+from vm left join nj on nj.id = vm.id"""
+
+
+@register("claim_invites", uses=("claims", "invites", "memberships"), sql=_CLAIMS_SQL)
+def claim_invites(fx):
+    """M6: invite claims judged at their own time against expiry and quota."""
+    v, _, _ = I.claim_invites(fx.invites, fx.memberships, fx.claims)
+    return v.select("id", "token", "user_id", "workspace_id", "verdict", "role", "new_member")
+
+
+_ROLE_BASE = """
+with r as (select q.*, a.role as actor_role, t.role as target_role from member_requests q
+  left join memberships a on a.workspace_id = q.workspace_id and a.user_id = q.actor_id
+  left join memberships t on t.workspace_id = q.workspace_id and t.user_id = q.target_user_id
+  where q.kind = '{kind}')"""
+
+
+@register("change_roles", uses=("member_requests", "memberships"), sql=_ROLE_BASE.format(kind="change_role") + f"""
+select id, {_chain([
+    ("actor_role is null", "not_found", "workspace"),
+    ("actor_role <> 'admin'", "forbidden", "role"),
+    (f"role is null or role not in {_ROLES}", "invalid_enum", "role"),
+    ("actor_id = target_user_id", "self", "user_id"),
+    ("target_role is null", "not_found", "membership")])}
+from r""")
+def change_roles(fx):
+    """M7: an admin changes another member's role."""
+    req = fx.member_requests.filter(F.col("kind") == "change_role")
+    v, _ = M.change_roles(fx.memberships, req)
+    return v.select("id", "verdict", "field")
+
+
+@register("remove_members", uses=("member_requests", "memberships"), sql=_ROLE_BASE.format(kind="remove") + f"""
+, p as (select *, {_chain([
+    ("actor_role is null", "not_found", "workspace"),
+    ("actor_role <> 'admin'", "forbidden", "role"),
+    ("actor_id = target_user_id", "self", "user_id"),
+    ("target_role is null", "not_found", "membership")])} from r),
+w as (select id, row_number() over (partition by workspace_id, target_user_id order by requested_at, id) as rk
+      from p where verdict = 'accepted')
+select p.id, case when p.verdict = 'accepted' and w.rk > 1 then 'not_found' else p.verdict end as verdict,
+       case when p.verdict = 'accepted' and w.rk > 1 then 'membership' else p.field end as field
+from p left join w on w.id = p.id""")
+def remove_members(fx):
+    """M8: an admin removes another member; the first removal takes effect."""
+    req = fx.member_requests.filter(F.col("kind") == "remove")
+    v, _ = M.remove_members(fx.memberships, req)
+    return v.select("id", "verdict", "field")
+
+
+@register("write_clients", uses=("client_requests", "clients"), sql="""
+with live as (select * from clients where deleted_at is null),
+r as (select q.*, case when kind = 'update' then 'c:' || cast(client_id as varchar) else 'n:' || cast(id as varchar) end as target,
+             lower(name) as k from client_requests q),
+g as (select r.*,
+        exists (select 1 from live c where c.id = r.client_id and c.workspace_id = r.workspace_id) as found,
+        exists (select 1 from live c where c.workspace_id = r.workspace_id and lower(c.name) = r.k
+                and 'c:' || cast(c.id as varchar) <> r.target) as taken from r),
+p as (select *, case when name is null or name = '' then 'required' when kind = 'update' and not found then 'not_found'
+                     when taken then 'conflict' else 'accepted' end as pre,
+                case when name is null or name = '' then 'name' when kind = 'update' and not found then 'client'
+                     when taken then 'name' end as pre_field from g),
+w as (select workspace_id, k, target as wtarget from (
+        select *, row_number() over (partition by workspace_id, k order by requested_at, id) as rk
+        from p where pre = 'accepted') where rk = 1)
+select p.id, p.kind, case when p.pre = 'accepted' and p.target <> w.wtarget then 'conflict' else p.pre end as verdict,
+       case when p.pre = 'accepted' and p.target <> w.wtarget then 'name' else p.pre_field end as field
+from p left join w on w.workspace_id = p.workspace_id and w.k = p.k""")
+def write_clients(fx):
+    """M9: create and update clients; names unique per workspace ignoring case."""
+    v, _ = M.write_clients(fx.clients, fx.client_requests)
+    return v.select("id", "kind", "verdict", "field")
+
+
+@register("soft_delete", uses=("delete_requests", "clients"), sql=f"""
+with r as (select id, workspace_id, cast(target_id as bigint) as client_id, requested_at from delete_requests
+           where target = 'client'),
+g as (select r.*, c.id is not null as found from r
+      left join {_LIVE_CLIENT_KEYS} c on c.id = r.client_id and c.workspace_id = r.workspace_id),
+w as (select id, row_number() over (partition by client_id, workspace_id order by requested_at, id) as rk
+      from g where found)
+select g.id, g.client_id, case when w.rk = 1 then 'accepted' else 'not_found' end as verdict,
+       case when w.rk = 1 then null else 'client' end as field
+from g left join w on w.id = g.id""")
+def soft_delete(fx):
+    """Soft-delete clients; a client is deleted once."""
+    req = fx.delete_requests.filter(F.col("target") == "client").select(
+        "id", "workspace_id", F.col("target_id").cast("bigint").alias("client_id"), "requested_at")
+    v, _ = M.soft_delete_clients(fx.clients, req)
+    return v.select("id", "client_id", "verdict", "field")
+
+
+@register("soft_delete_workspaces", uses=("workspace_deletes", "workspaces", "memberships"), sql=f"""
+with g as (select r.*, m.role as actor_role, w.id is not null as live from workspace_deletes r
+           left join memberships m on m.workspace_id = r.workspace_id and m.user_id = r.actor_id
+           left join (select id from workspaces where deleted_at is null) w on w.id = r.workspace_id),
+p as (select *, {_chain([
+    ("actor_role is null", "not_found", "workspace"),
+    ("actor_role <> 'admin'", "forbidden", "role"),
+    ("not live", "not_found", "workspace")])} from g),
+w as (select id, row_number() over (partition by workspace_id order by requested_at, id) as rk
+      from p where verdict = 'accepted')
+select p.id, p.workspace_id, case when p.verdict = 'accepted' and w.rk > 1 then 'not_found' else p.verdict end as verdict,
+       case when p.verdict = 'accepted' and w.rk > 1 then 'workspace' else p.field end as field
+from p left join w on w.id = p.id""")
+def soft_delete_workspaces(fx):
+    """Admins soft-delete workspaces; each is deleted once."""
+    v, _ = M.soft_delete_workspaces(fx.workspaces, fx.memberships, fx.workspace_deletes)
+    return v.select("id", "workspace_id", "verdict", "field")
+
+
+@register("hard_delete", uses=("delete_requests", "tasks"), sql="""
+with r as (select id, workspace_id, target_id as task_id, requested_at from delete_requests where target = 'task'),
+g as (select r.*, t.id is not null as found from r
+      left join (select distinct id, workspace_id from tasks) t on t.id = r.task_id and t.workspace_id = r.workspace_id),
+w as (select id, row_number() over (partition by task_id, workspace_id order by requested_at, id) as rk from g where found)
+select g.id, g.task_id, case when w.rk = 1 then 'accepted' else 'not_found' end as verdict,
+       case when w.rk = 1 then null else 'task' end as field
+from g left join w on w.id = g.id""")
+def hard_delete(fx):
+    """Hard-delete tasks by key within the workspace; the first request wins."""
+    req = fx.delete_requests.filter(F.col("target") == "task").select(
+        "id", "workspace_id", F.col("target_id").alias("task_id"), "requested_at")
+    v, _ = M.delete_tasks(fx.tasks, req)
+    return v.select("id", "task_id", "verdict", "field")
+
+
+@register("delete_comments", uses=("comment_deletes", "comments", "content_items"), sql="""
+with g as (select r.*, exists (select 1 from comments c join content_items i on i.id = c.content_item_id
+                               where c.id = r.comment_id and c.author_id = r.author_id
+                                 and i.workspace_id = r.workspace_id) as ok from comment_deletes r),
+w as (select id, row_number() over (partition by comment_id order by requested_at, id) as rk from g where ok)
+select g.id, g.comment_id, case when w.rk = 1 then 'accepted' else 'not_found' end as verdict
+from g left join w on w.id = g.id""")
+def delete_comments(fx):
+    """Authors delete their comments within the workspace."""
+    v, _ = M.delete_comments(fx.comments, fx.content_items, fx.comment_deletes)
+    return v.select("id", "comment_id", "verdict")
+
+
+@register("cascade_delete", uses=("tasks", "workspaces", "clients", "content_items"), sql="""
+with gw as (select id from workspaces where deleted_at is not null),
+gc as (select id from clients where deleted_at is not null
+       union select id from clients where workspace_id in (select id from gw)),
+gi as (select id from content_items where workspace_id in (select id from gw))
+select t.id, t.workspace_id,
+       case when t.client_id in (select id from gc) then null else t.client_id end as client_id,
+       case when t.content_item_id in (select id from gi) then null else t.content_item_id end as content_item_id,
+       t.assignee_id
+from tasks t where t.workspace_id not in (select id from gw)""")
+def cascade_delete(fx):
+    """Purge soft-deleted workspaces and clients; surviving tasks with
+    references to removed rows set to null."""
+    removed = {"workspaces": fx.workspaces.filter(F.col("deleted_at").isNotNull()).select("id"),
+               "clients": fx.clients.filter(F.col("deleted_at").isNotNull()).select("id")}
+    tables = {"tasks": fx.tasks, "content_items": fx.content_items, "clients": fx.clients,
+              "workspaces": fx.workspaces}
+    out = M.cascade_delete(tables, removed)
+    return out["tasks"].select("id", "workspace_id", "client_id", "content_item_id", "assignee_id")
+
+
+@register("write_tasks", uses=("task_requests", "tasks", "clients", "content_items", "memberships"), sql=f"""
+with r as (select q.*, t.id as tid,
+             case when q.kind = 'toggle' then t.client_id else q.client_id end as e_client,
+             case when q.kind = 'toggle' then t.content_item_id else q.content_item_id end as e_item,
+             case when q.kind = 'toggle' then t.assignee_id else q.assignee_id end as e_assignee
+           from task_requests q left join tasks t on t.id = q.task_key and t.workspace_id = q.workspace_id),
+g as (select r.*, (e_client is null or c.id is not null) as client_ok, (e_item is null or i.id is not null) as item_ok,
+             (e_assignee is null or m.user_id is not null) as assignee_ok from r
+      left join {_LIVE_CLIENT_KEYS} c on c.id = r.e_client and c.workspace_id = r.workspace_id
+      left join (select distinct id, workspace_id from content_items) i on i.id = r.e_item and i.workspace_id = r.workspace_id
+      left join (select distinct user_id, workspace_id from memberships) m
+        on m.user_id = r.e_assignee and m.workspace_id = r.workspace_id)
+select id, kind, {_chain([
+    ("kind <> 'toggle' and (title is null or title = '')", "required", "title"),
+    (f"kind <> 'toggle' and not {strict_date_ok('due_date')}", "invalid_format", "due_date"),
+    ("kind <> 'create' and tid is null", "not_found", "task"),
+    ("not client_ok", "invalid_reference", "client_id"),
+    ("not item_ok", "invalid_reference", "content_item_id"),
+    ("not assignee_ok", "invalid_reference", "assignee_id")])}
+from g""")
+def write_tasks(fx):
+    """Create, update and toggle tasks with the tenant guards."""
+    v, _ = M.write_tasks(fx.tasks, fx.task_requests, fx.clients, fx.content_items, fx.memberships)
+    return v.select("id", "kind", "verdict", "field")
+
+
+@register("register_users", uses=("registrations", "users"), sql="""
+with g as (select r.*, exists (select 1 from users u where u.email = r.email) as taken from registrations r),
+p as (select *, case when email is null or email = '' then 'required' when taken then 'conflict' else 'accepted' end as pre
+      from g),
+w as (select id, row_number() over (partition by email order by requested_at, id) as rk from p where pre = 'accepted')
+select p.id, p.email, case when p.pre = 'accepted' and w.rk > 1 then 'conflict' else p.pre end as verdict,
+       case when p.pre = 'required' then 'email' when p.pre = 'conflict' or w.rk > 1 then 'email' end as field,
+       case when p.pre = 'accepted' and w.rk = 1 then coalesce(nullif(p.name, ''), p.email) || '''s Workspace' end
+         as workspace_name
+from p left join w on w.id = p.id""")
+def register_users(fx):
+    """Register users with a personal workspace; duplicate emails rejected."""
+    from ..functions import scalars as X
+    v, _ = M.register_users(fx.users, fx.workspaces, fx.memberships, fx.registrations)
+    return v.select("id", "email", "verdict", "field",
+                    F.when(F.col("verdict") == "accepted",
+                           X.personal_workspace_name(X.user_display_name("name", "email"))).alias("workspace_name"))
+
+
+@register("write_workspaces", uses=("workspace_requests", "workspaces", "memberships"), sql=f"""
+with g as (select r.*, m.role as actor_role, w.id is not null as live from workspace_requests r
+           left join memberships m on m.workspace_id = r.workspace_id and m.user_id = r.actor_id
+           left join (select id from workspaces where deleted_at is null) w on w.id = r.workspace_id)
+select id, kind, {_chain([
+    ("kind = 'create' and (name is null or name = '')", "required", "name"),
+    ("kind <> 'create' and actor_role is null", "not_found", "workspace"),
+    ("kind <> 'create' and actor_role <> 'admin'", "forbidden", "role"),
+    ("kind <> 'create' and (name is null or name = '')", "required", "name"),
+    ("kind <> 'create' and not live", "not_found", "workspace")])}
+from g""")
+def write_workspaces(fx):
+    """Create workspaces and rename live ones (admin only)."""
+    v, _ = M.write_workspaces(fx.workspaces, fx.memberships, fx.workspace_requests)
+    return v.select("id", "kind", "verdict", "field")
+
+
+@register("add_comments", uses=("comment_requests", "content_items"), sql=f"""
+select r.id, r.content_item_id, {_chain([
+    ("r.body is null or r.body = ''", "required", "body"),
+    ("i.id is null", "not_found", "content_item")])}
+from comment_requests r left join (select distinct id, workspace_id from content_items) i
+  on i.id = r.content_item_id and i.workspace_id = r.workspace_id""")
+def add_comments(fx):
+    """Comments need a body and an item in the workspace."""
+    v, _ = M.add_comments(fx.comments, fx.content_items, fx.comment_requests)
+    return v.select("id", "content_item_id", "verdict", "field")
+
+
+@register("issue_invites", uses=("invite_requests", "memberships"), sql=f"""
+select r.id, r.workspace_id, {_chain([
+    ("m.role is null", "not_found", "workspace"),
+    ("m.role <> 'admin'", "forbidden", "role")])},
+  cast(case when r.max_uses is null or r.max_uses <= 0 then {E.DEFAULT_INVITE_MAX_USES} else r.max_uses end as integer)
+    as effective_max_uses,
+  r.requested_at + (case when r.expires_in_hours is null or r.expires_in_hours <= 0 then {E.DEFAULT_INVITE_HOURS}
+                         else r.expires_in_hours end) * interval '1 hour' as expires_at
+from invite_requests r left join memberships m on m.workspace_id = r.workspace_id and m.user_id = r.actor_id""")
+def issue_invites(fx):
+    """Admins issue invites with default quota and lifetime."""
+    v, _ = M.issue_invites(fx.invites, fx.memberships, fx.invite_requests)
+    return v.select("id", "workspace_id", "verdict", "field", "effective_max_uses", "expires_at")

@@ -110,7 +110,7 @@ select o_orderkey as id, cast(c_nationkey as bigint) as workspace_id, o_custkey
 from {orders} join {customer} on c_custkey = o_custkey""",
     # ---- request tables beyond FIXTURES.md section 2 (see its section 4) ----
     "content_updates": """
-select l_orderkey * 8 + l_linenumber as id, cast(c_nationkey as bigint) as workspace_id,
+select concat(cast(l_orderkey as string), '-', cast(l_linenumber as string), '-', cast(l_partkey as string), '-', cast(l_suppkey as string), '-', cast(cast(l_shipdate as date) as string), '-', cast(cast(round(l_extendedprice * 100) as bigint) as string)) as id, cast(c_nationkey as bigint) as workspace_id,
        case when l_linenumber = 7 then l_orderkey + 1 else l_orderkey end as content_item_id,
        case when l_partkey % 19 = 0 then '' else concat('Edit ', cast(l_orderkey as string), '/', cast(l_linenumber as string)) end as title,
        'edited' as description,
@@ -121,10 +121,13 @@ select l_orderkey * 8 + l_linenumber as id, cast(c_nationkey as bigint) as works
        l_shipdate as requested_at
 from {lineitem} join {orders} on o_orderkey = l_orderkey join {customer} on c_custkey = o_custkey""",
     "task_requests": """
-select l_orderkey * 8 + l_linenumber as id, cast(c_nationkey as bigint) as workspace_id,
+select concat('req-', concat(cast(l_orderkey as string), '-', cast(l_linenumber as string), '-', cast(l_partkey as string), '-', cast(l_suppkey as string), '-', cast(cast(l_shipdate as date) as string), '-', cast(cast(round(l_extendedprice * 100) as bigint) as string))) as id, cast(c_nationkey as bigint) as workspace_id,
        case when l_linenumber <= 2 then 'create' when l_linenumber <= 5 then 'update' else 'toggle' end as kind,
        case when l_linenumber <= 2 then null
-            else concat(cast(l_orderkey as string), '-', cast(l_linenumber - 2 as string)) end as task_key,
+            when l_partkey % 13 = 0 then concat('missing-', cast(l_orderkey as string))
+            else concat(cast(l_orderkey as string), '-', cast(l_linenumber as string), '-', cast(l_partkey as string), '-',
+                        cast(l_suppkey as string), '-', cast(cast(l_shipdate as date) as string), '-',
+                        cast(cast(round(l_extendedprice * 100) as bigint) as string)) end as task_key,
        case when l_partkey % 17 = 0 then '' else concat('Task ', cast(l_orderkey as string)) end as title,
        'from request' as description,
        case when l_linenumber % 3 = 0 then null else l_suppkey end as assignee_id,
@@ -156,12 +159,14 @@ select o_orderkey as id, cast(c_nationkey as bigint) as workspace_id,
        o_orderdate + interval '30' day as requested_at
 from {orders} join {customer} on c_custkey = o_custkey""",
     "delete_requests": """
-select l_orderkey * 8 + l_linenumber as id, cast(c_nationkey as bigint) as workspace_id,
-       case when l_linenumber <= 3 then 'client' when l_linenumber <= 5 then 'task' else 'comment' end as target,
+select concat(cast(l_orderkey as string), '-', cast(l_linenumber as string), '-', cast(l_partkey as string), '-', cast(l_suppkey as string), '-', cast(cast(l_shipdate as date) as string), '-', cast(cast(round(l_extendedprice * 100) as bigint) as string)) as id,
+       case when l_partkey % 9 = 0 then (c_nationkey + 3) % 25 else cast(c_nationkey as bigint) end as workspace_id,
+       case when l_linenumber <= 3 then 'client' else 'task' end as target,
        case when l_linenumber <= 3 then cast(o_custkey as string)
-            when l_linenumber <= 5 then concat(cast(l_orderkey as string), '-', cast(l_linenumber - 3 as string))
-            else cast(l_orderkey * 3 + l_linenumber as string) end as target_id,
-       l_suppkey % 150 as actor_id, l_shipdate as requested_at
+            else concat(cast(l_orderkey as string), '-', cast(l_linenumber as string), '-', cast(l_partkey as string), '-',
+                        cast(l_suppkey as string), '-', cast(cast(l_shipdate as date) as string), '-',
+                        cast(cast(round(l_extendedprice * 100) as bigint) as string)) end as target_id,
+       l_suppkey as actor_id, l_shipdate as requested_at
 from {lineitem} join {orders} on o_orderkey = l_orderkey join {customer} on c_custkey = o_custkey""",
     "comment_deletes": """
 select e.event_id * 2 + 1 as id,
@@ -171,6 +176,10 @@ select e.event_id * 2 + 1 as id,
        e.ts as requested_at
 from {events} e left join {orders} on o_orderkey = cast(floor(e.event_id / 3.0) as bigint)
 left join {customer} on c_custkey = o_custkey""",
+    "workspace_deletes": """
+select s_suppkey as id, s_suppkey as actor_id, cast(s_nationkey as bigint) as workspace_id,
+       cast('2024-06-01' as {TS}) + (s_suppkey % 500) * interval '1' minute as requested_at
+from {supplier}""",
     "registrations": """
 select c_custkey as id,
        case when c_custkey % 9 = 0 then concat(lower(s_name), '@example.test')
