@@ -249,3 +249,32 @@ def recent_items(items: DataFrame, n: int = E.RECENT_ITEMS_LIMIT, workspace_id=N
     return (tenant_scope(items, workspace_id)
             .withColumn("rank", F.row_number().over(w))
             .filter(F.col("rank") <= n))
+
+
+# T2 ------------------------------------------------------------------------
+# The seven list orders of the application; ``id`` ends each one so that
+# ties are resolved the same way every time.
+ORDERS = {
+    "content": ("workspace_id", lambda: [F.col("updated_at").desc(), F.col("id")]),
+    "month": ("workspace_id", lambda: [F.col("scheduled_date").asc(), F.col("created_at").asc(), F.col("id")]),
+    "tasks": ("workspace_id", lambda: [F.col("due_date").asc_nulls_last(), F.col("created_at").desc(), F.col("id")]),
+    "clients": ("workspace_id", lambda: [F.col("name").asc(), F.col("id")]),
+    "workspaces": ("user_id", lambda: [F.col("workspace_name").asc(), F.col("workspace_id")]),
+    "members": ("workspace_id", lambda: [F.col("joined_at").asc(), F.col("user_id")]),
+    "comments": ("content_item_id", lambda: [F.col("created_at").asc(), F.col("id")]),
+}
+
+
+def ordered(df: DataFrame, kind: str) -> DataFrame:
+    """Add ``position`` (1-based) in one of the seven list orders, per tenant
+    (or per user / per item for the last three).
+
+    Positions come from ``scan.prefix_count``: range partitioning over the
+    whole sort key, so a tenant with most of the rows is still spread over
+    many tasks, unlike a window partitioned by the tenant.
+    """
+    from . import scan
+
+    key, order = ORDERS[kind]
+    out = scan.prefix_count(df, [key], order(), out="_prior")
+    return out.withColumn("position", F.col("_prior") + 1).drop("_prior")

@@ -180,6 +180,13 @@ left join {customer} on c_custkey = o_custkey""",
 select s_suppkey as id, s_suppkey as actor_id, cast(s_nationkey as bigint) as workspace_id,
        cast('2024-06-01' as {TS}) + (s_suppkey % 500) * interval '1' minute as requested_at
 from {supplier}""",
+    "month_strings": """
+select o_orderkey as id,
+       case o_orderkey % 9 when 0 then '' when 1 then concat(cast(year(o_orderdate) as string), '-', cast(month(o_orderdate) as string))
+            when 2 then concat(cast(year(o_orderdate) as string), '-13') when 3 then 'not-a-month'
+            when 4 then concat(cast(year(o_orderdate) as string), '-12')
+            else substr(cast(cast(o_orderdate as date) as string), 1, 7) end as month
+from {orders}""",
     "registrations": """
 select c_custkey as id,
        case when c_custkey % 9 = 0 then concat(lower(s_name), '@example.test')
