@@ -70,8 +70,10 @@ def apply_transitions(items: DataFrame, requests: DataFrame) -> tuple[DataFrame,
     r = _attach_items(requests, items, scoped)
     enum_ok = X.enum_ok("to_status", "status")
     allowed = X.is_valid_transition("current_status", "to_status")
-    verdicts = r.select(*requests.columns, F.col("current_status").alias("from_status"),
-                        _verdict_columns(enum_ok, F.col("_found"), allowed).alias("verdict"))
+    verdict = _verdict_columns(enum_ok, F.col("_found"), allowed)
+    verdicts = r.select(*requests.columns,
+                        F.when(enum_ok, F.col("current_status")).alias("from_status"),
+                        verdict.alias("verdict"))
     verdicts = verdicts.withColumn("field", F.when(F.col("verdict").isin("invalid_enum", "invalid_transition"),
                                                    F.lit("status")).when(F.col("verdict") == "not_found",
                                                                          F.lit("content_item")))
@@ -100,7 +102,7 @@ def replay_transitions(items: DataFrame, requests: DataFrame, block: int = scan.
     r = _attach_items(requests, items, scoped)
     enum_ok = X.enum_ok("to_status", "status")
     direct = r.filter(~enum_ok | ~F.col("_found")).select(
-        *requests.columns, F.col("current_status").alias("from_status"),
+        *requests.columns, F.lit(None).cast("string").alias("from_status"),
         F.when(~enum_ok, F.lit("invalid_enum")).otherwise(F.lit("not_found")).alias("verdict"))
     live = r.filter(enum_ok & F.col("_found")).withColumn("_t", status_index(F.col("to_status")))
     keys = ["content_item_id"] + (["workspace_id"] if scoped else [])

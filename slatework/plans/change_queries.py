@@ -15,7 +15,8 @@ _STATUSES = in_list(E.STATUSES)
 @register("apply_transitions", uses=("transition_requests", "content_items"), sql=f"""
 with f as (select * from (select *, row_number() over (partition by content_item_id order by requested_at, id) as rk
                           from transition_requests) where rk = 1)
-select f.id, f.content_item_id, f.to_status, i.status as from_status,
+select f.id, f.content_item_id, f.to_status,
+  case when f.to_status in {_STATUSES} then i.status end as from_status,
   case when f.to_status not in {_STATUSES} then 'invalid_enum' when i.id is null then 'not_found'
        when {valid_transition('i.status', 'f.to_status')} then 'accepted' else 'invalid_transition' end as verdict
 from f left join content_items i on i.id = f.content_item_id""")
@@ -48,7 +49,7 @@ select id, content_item_id, to_status, state_before as from_status,
        case when state_after <> state_before then 'accepted' else 'invalid_transition' end as verdict
 from walk
 union all
-select t.id, t.content_item_id, t.to_status, i.status as from_status,
+select t.id, t.content_item_id, t.to_status, cast(null as varchar) as from_status,
        case when t.to_status not in {_STATUSES} then 'invalid_enum' else 'not_found' end as verdict
 from transition_requests t left join content_items i on i.id = t.content_item_id
 where t.to_status not in {_STATUSES} or i.id is null"""

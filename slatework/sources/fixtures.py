@@ -189,7 +189,7 @@ select o_orderkey as id,
 from {orders}""",
     "registrations": """
 select c_custkey as id,
-       case when c_custkey % 9 = 0 then concat(lower(s_name), '@example.test')
+       case when c_custkey % 9 = 0 and s_name is not null then concat(lower(s_name), '@example.test')
             when c_custkey % 7 = 0 then ''
             else concat(lower(c_name), '@example.test') end as email,
        case when c_custkey % 3 = 0 then '' else c_name end as name,
@@ -205,7 +205,7 @@ select p_partkey as id, case when p_partkey % 3 = 0 then 'create' else 'rename'
 from {part}""",
     "comment_requests": """
 select event_id as id, event_id % 25 as workspace_id, (event_id * 7) % 60000 as content_item_id, user_id as author_id,
-       case when event_type = 'error' then '' when event_type = 'view' then ' ' else concat('re: ', props) end as body,
+       case when event_type = 'error' then '' when event_type = 'view' then ' ' else concat('re: ', coalesce(props, '')) end as body,
        ts as requested_at
 from {events}""",
     "invite_requests": """

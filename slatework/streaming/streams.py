@@ -64,7 +64,7 @@ def transitions_stream(requests: DataFrame, items: DataFrame) -> DataFrame:
     r = requests.join(it, requests["content_item_id"] == it["_iid"], "left")
     enum_ok = X.enum_ok("to_status", "status")
     direct = r.filter(~enum_ok | F.col("_iid").isNull()).select(
-        "id", "content_item_id", "to_status", F.col("current_status").alias("from_status"),
+        "id", "content_item_id", "to_status", F.lit(None).cast("string").alias("from_status"),
         F.when(~enum_ok, "invalid_enum").otherwise("not_found").alias("verdict"), "requested_at")
     live = r.filter(enum_ok & F.col("_iid").isNotNull()).select(
         "id", "content_item_id", "to_status", "requested_at", "current_status")
