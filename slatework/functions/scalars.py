@@ -31,7 +31,10 @@ def parse_strict_date(col: ColumnOrName) -> Column:
     ``try_to_date`` with an explicit pattern refuses single-digit months and
     days, other separators, trailing time parts and impossible days.
     """
-    return F.try_to_date(_c(col), E.DATE_FORMAT)
+    c = _c(col)
+    # the shape check first: text that cannot be a date never reaches the
+    # parser, whose failures are costly
+    return F.when(c.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.try_to_date(c, E.DATE_FORMAT))
 
 
 def strict_date_ok(col: ColumnOrName) -> Column:
@@ -45,7 +48,7 @@ def month_start(month: ColumnOrName, as_of: ColumnOrName) -> Column:
     """First day of a YYYY-MM month; '' means the month of ``as_of``;
     anything that is not a real YYYY-MM month gives null (the error case)."""
     m = _c(month)
-    parsed = F.try_to_date(F.concat(m, F.lit("-01")), E.DATE_FORMAT)
+    parsed = F.when(m.rlike(r"^[0-9]{4}-[0-9]{2}$"), F.try_to_date(F.concat(m, F.lit("-01")), E.DATE_FORMAT))
     return F.when(m == "", F.trunc(_c(as_of).cast("date"), "month")).otherwise(parsed)
 
 

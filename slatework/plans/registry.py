@@ -12,6 +12,8 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, QueryFn] = {}
 ORACLE: dict[str, str] = {}
+# name -> (fn(fixtures) -> DataFrame, fixtures it reads)
+BODIES: dict[str, tuple[Callable[[Fixtures], DataFrame], tuple[str, ...]]] = {}
 
 # Fixed inputs of the test queries (not of the operators).
 AS_OF = "1999-01-01"
@@ -33,6 +35,7 @@ def register(name: str, sql: str | None = None, uses: tuple[str, ...] = ()):
         run.__name__ = f"q_{name}"
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
+        BODIES[name] = (fn, tuple(uses))
         if sql is not None:
             text = sql.strip()
             head = oracle_with(*uses) if uses else ""

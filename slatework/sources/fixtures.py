@@ -244,10 +244,23 @@ class Fixtures:
     into the scans.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, stored: dict[str, str] | None = None):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
         self._cache: dict[str, DataFrame] = {}
+        # fixture name -> path of a stored Parquet copy (read instead of deriving)
+        self.stored = dict(stored or {})
+
+    def store(self, root: str, names) -> dict[str, str]:
+        """Write the named fixtures once as Parquet under ``root`` (a fresh
+        folder) so later reads are plain table scans, as in production."""
+        for name in names:
+            if name in FIXTURE_SQL and name not in self.stored:
+                path = f"{root.rstrip('/')}/{name}"
+                self[name].write.mode("errorifexists").parquet(path)
+                self.stored[name] = path
+                self._cache.pop(f"fx:{name}", None)
+        return self.stored
 
     def base(self, table: str) -> DataFrame:
         if table not in self._cache:
@@ -256,6 +269,8 @@ class Fixtures:
 
     def __getitem__(self, name: str) -> DataFrame:
         key = f"fx:{name}"
+        if key not in self._cache and name in self.stored:
+            self._cache[key] = self.spark.read.parquet(self.stored[name])
         if key not in self._cache:
             body = FIXTURE_SQL[name]
             frames = {t: self.base(t) for t in _tables_used(body)}
