@@ -68,13 +68,15 @@ def _compose(a: Column, b: Column) -> Column:
 
 
 def state_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Column, n_states: int,
-               start: DataFrame, payload: Sequence[str], block: int = DEFAULT_BLOCK
+               start: DataFrame | str, payload: Sequence[str], block: int = DEFAULT_BLOCK
                ) -> tuple[DataFrame, DataFrame]:
     """Run a finite state machine over the rows of each key in order.
 
     ``step`` is, per row, an ``array<int>`` of length ``n_states``: the
-    state after the row for each state before it. ``start`` holds the
-    initial state ``_s0`` (int) per key; keys missing from it are dropped.
+    state after the row for each state before it. ``start`` is either a
+    frame with the initial state ``_s0`` (int) per key (keys missing from it
+    are dropped) or the name of a column of ``df`` that holds the key's
+    initial state on every row (carried up the levels, no extra join).
 
     Returns (rows, finals): ``rows`` = the ``payload`` columns of every row
     plus ``state_before``; ``finals`` = keys + ``final_state``.
@@ -84,22 +86,30 @@ def state_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: C
     """
     ident = F.sequence(F.lit(0), F.lit(n_states - 1))
     order_cols = list(order)
+    carried = isinstance(start, str)
+    extra = [F.col(start).cast("int").alias("_s0")] if carried else []
     x = positions(df.select(*keys, *[c for c in payload if c not in keys],
-                            *[o for o in order_cols if o not in payload and o not in keys], step.alias("_f")),
+                            *[o for o in order_cols if o not in payload and o not in keys], step.alias("_f"),
+                            *extra),
                   keys, order_cols)
+    s0 = [F.max("_s0").alias("_s0")] if carried else []
     x = x.withColumn("_b1", F.expr(f"_pos div {block}")).withColumn("_b2", F.expr(f"_pos div {block * block}"))
     item = F.struct("_pos", "_f", *[F.col(c) for c in payload if c not in keys])
     lvl1 = (x.groupBy(*keys, "_pid", "_b2", "_b1")
-            .agg(F.array_sort(F.collect_list(item)).alias("_rows")))
-    lvl1f = lvl1.select(*keys, "_pid", "_b2", "_b1",
+            .agg(F.array_sort(F.collect_list(item)).alias("_rows"), *s0))
+    lvl1f = lvl1.select(*keys, "_pid", "_b2", "_b1", *(["_s0"] if carried else []),
                         F.aggregate("_rows", ident, lambda acc, r: _compose(acc, r["_f"])).alias("_F1"))
     lvl2 = (lvl1f.groupBy(*keys, "_pid", "_b2")
-            .agg(F.array_sort(F.collect_list(F.struct("_b1", "_F1"))).alias("_kids")))
-    lvl2f = lvl2.select(*keys, "_pid", "_b2",
+            .agg(F.array_sort(F.collect_list(F.struct("_b1", "_F1"))).alias("_kids"), *s0))
+    lvl2f = lvl2.select(*keys, "_pid", "_b2", *(["_s0"] if carried else []),
                         F.aggregate("_kids", ident, lambda acc, r: _compose(acc, r["_F1"])).alias("_F2"))
     top = (lvl2f.groupBy(*keys)
-           .agg(F.array_sort(F.collect_list(F.struct("_pid", "_b2", "_F2"))).alias("_kids"))
-           .join(start.select(*keys, F.col("_s0").cast("int").alias("_s0")), list(keys), "inner"))
+           .agg(F.array_sort(F.collect_list(F.struct("_pid", "_b2", "_F2"))).alias("_kids"), *s0))
+    if not carried:
+        top = top.join(start.select(*keys, F.col("_s0").cast("int").alias("_s0")), list(keys), "inner")
+    else:
+        lvl1 = lvl1.drop("_s0")
+        lvl2 = lvl2.drop("_s0")
 
     def walk(arr: str, fcol: str, tag: Sequence[str]) -> Column:
         """Fold over ordered children: record each child's start state."""

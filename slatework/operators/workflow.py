@@ -104,14 +104,14 @@ def replay_transitions(items: DataFrame, requests: DataFrame, block: int = scan.
     direct = r.filter(~enum_ok | ~F.col("_found")).select(
         *requests.columns, F.lit(None).cast("string").alias("from_status"),
         F.when(~enum_ok, F.lit("invalid_enum")).otherwise(F.lit("not_found")).alias("verdict"))
-    live = r.filter(enum_ok & F.col("_found")).withColumn("_t", status_index(F.col("to_status")))
+    live = (r.filter(enum_ok & F.col("_found"))
+            .withColumn("_t", status_index(F.col("to_status")))
+            .withColumn("_start", status_index(F.col("current_status"))))
     keys = ["content_item_id"] + (["workspace_id"] if scoped else [])
-    start = items.select(F.col("id").alias("content_item_id"),
-                         *([F.col("workspace_id")] if scoped else []),
-                         status_index(F.col("status")).alias("_s0"))
     payload = list(dict.fromkeys([*requests.columns, "current_status", "_t"]))
+    # the stored status came with the item join; it is the start state of the key
     rows, finals = scan.state_scan(live, keys, ["requested_at", "id"], _step(F.col("_t")), _N_STATES,
-                                   start, payload, block=block)
+                                   "_start", payload, block=block)
     sb = F.col("state_before")
     judged = rows.select(
         *requests.columns,

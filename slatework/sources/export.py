@@ -39,21 +39,32 @@ def write_snapshot(df: DataFrame, root: str, table: str, version: str | None = N
     return path
 
 
-def calendar_json(month_items: DataFrame, day_counts: DataFrame) -> DataFrame:
-    """Per workspace, the export shape of a calendar: ``items`` (array, [] if
-    none) and ``counts_by_day`` (map date text -> count, {} if none), and
-    the JSON text of both.
+def calendar_json(month_items: DataFrame, day_counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The export shape of the calendar, without gathering a tenant's
+    items into one row.
 
-    The items of one workspace and month are one row by design of the
-    export; the month filter bounds them.
+    Returns (items, counts): ``items`` has one JSON object per item
+    (``workspace_id``, ``item_json``), written as JSON lines per workspace;
+    ``counts`` has one row per workspace with ``counts_by_day`` (map of
+    date text -> count, at most 31 entries: one per day of the month) and
+    its JSON text. A workspace without items keeps {} and no item lines;
+    a reader joining both by workspace gets items [] in that case.
     """
-    item = F.struct("scheduled_date", "created_at", "id", "title", "status", "platform", "content_type", "client_id")
-    items = month_items.groupBy("workspace_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    item = F.struct("id", "workspace_id", "client_id", "title", "platform", "content_type", "status",
+                    F.date_format("scheduled_date", "yyyy-MM-dd").alias("scheduled_date"), "created_at")
+    items = month_items.select("workspace_id", F.to_json(item).alias("item_json"))
     counts = day_counts.groupBy("workspace_id").agg(
         F.map_from_entries(F.collect_list(F.struct(F.date_format("scheduled_date", "yyyy-MM-dd"), "day_count")))
         .alias("counts_by_day"))
-    out = items.join(counts, "workspace_id", "full_outer").select(
-        "workspace_id",
-        F.coalesce("items", F.array().cast(items.schema["items"].dataType)).alias("items"),
-        F.coalesce("counts_by_day", F.create_map().cast("map<string,bigint>")).alias("counts_by_day"))
-    return out.withColumn("json", F.to_json(F.struct("items", "counts_by_day")))
+    counts = counts.withColumn("counts_json", F.to_json("counts_by_day"))
+    return items, counts
+
+
+def write_calendar_json(month_items: DataFrame, day_counts: DataFrame, root: str, version: str | None = None) -> str:
+    """Write the S4 export (item lines and day counts) as a new version."""
+    version = version or uuid.uuid4().hex
+    items, counts = calendar_json(month_items, day_counts)
+    base = f"{root.rstrip('/')}/calendar/v={version}"
+    items.repartition("workspace_id").write.partitionBy("workspace_id").mode("errorifexists").json(f"{base}/items")
+    counts.select("workspace_id", "counts_json").write.mode("errorifexists").json(f"{base}/counts")
+    return base
