@@ -423,3 +423,62 @@ def issue_invites(fx):
     """Admins issue invites with default quota and lifetime."""
     v, _ = M.issue_invites(fx.invites, fx.memberships, fx.invite_requests)
     return v.select("id", "workspace_id", "verdict", "field", "effective_max_uses", "expires_at")
+
+
+# ---- one key per request kind (SURVEY names) --------------------------------
+# Each runs the same job on the requests of one kind only; the oracle is the
+# combined one with its request table narrowed the same way.
+from .registry import BODIES, ORACLE  # noqa: E402
+
+
+def _narrowed_sql(base_key: str, table_ref: str, kind: str) -> str:
+    sql = ORACLE[base_key]
+    assert sql.count(table_ref) == 1, (base_key, table_ref)
+    alias = table_ref.split()[-1]
+    return sql.replace(table_ref, f"from (select * from {table_ref.split()[1]} where kind = '{kind}') {alias}")
+
+
+def _register_kind(name: str, base_key: str, table_ref: str, kind: str, table: str, doc: str):
+    fn, uses = BODIES[base_key]
+
+    def body(fx):
+        narrowed = _KindFixtures(fx, table, kind)
+        return fn(narrowed)
+
+    body.__doc__ = doc
+    register(name, uses=())(body)
+    ORACLE[name] = _narrowed_sql(base_key, table_ref, kind)
+
+
+class _KindFixtures:
+    """Fixtures view in which one request table holds only one kind."""
+
+    def __init__(self, fx, table: str, kind: str):
+        self._fx, self._table, self._kind = fx, table, kind
+        self.spark = fx.spark
+
+    def __getitem__(self, name):
+        df = self._fx[name]
+        return df.filter(F.col("kind") == self._kind) if name == self._table else df
+
+    def __getattr__(self, name):
+        return self[name]
+
+
+for _name, _base, _ref, _kind, _table, _doc in [
+    ("create_clients", "write_clients", "from client_requests q", "create", "client_requests",
+     "M9: create clients (name required, unique per workspace ignoring case, handles normalised)."),
+    ("update_clients", "write_clients", "from client_requests q", "update", "client_requests",
+     "M9: update live clients (name required, found, unique per workspace ignoring case)."),
+    ("create_tasks", "write_tasks", "from task_requests q", "create", "task_requests",
+     "M13: create tasks (title, due date, then the three tenant guards)."),
+    ("update_tasks", "write_tasks", "from task_requests q", "update", "task_requests",
+     "M13: update tasks (title, due date, found, then the three tenant guards)."),
+    ("toggle_done", "write_tasks", "from task_requests q", "toggle", "task_requests",
+     "M13: flip done of existing tasks, stored references guarded again."),
+    ("create_workspaces", "write_workspaces", "from workspace_requests r", "create", "workspace_requests",
+     "M15: create workspaces; the creator becomes admin."),
+    ("rename_workspaces", "write_workspaces", "from workspace_requests r", "rename", "workspace_requests",
+     "M15: rename live workspaces, admin only."),
+]:
+    _register_kind(_name, _base, _ref, _kind, _table, _doc)
