@@ -138,11 +138,16 @@ select concat('req-', concat(cast(l_orderkey as string), '-', cast(l_linenumber
        l_shipdate as requested_at
 from {lineitem} join {orders} on o_orderkey = l_orderkey join {customer} on c_custkey = o_custkey""",
     "member_requests": """
-select event_id as id, case when event_type in ('view', 'click') then 'change_role' else 'remove' end as kind,
-       (event_id % 30) + 1 as actor_id, event_id % 25 as workspace_id, (user_id % 40) + 1 as target_user_id,
-       case event_id % 4 when 0 then 'admin' when 1 then 'cm' when 2 then 'viewer' else 'owner' end as role,
-       ts as requested_at
-from {events} where event_type <> 'signup'""",
+select e.event_id as id, case when e.event_type in ('view', 'click') then 'change_role' else 'remove' end as kind,
+       a.s_suppkey as actor_id,
+       case when e.event_id % 7 = 0 then cast((a.s_nationkey + 1) % 25 as bigint) else cast(a.s_nationkey as bigint) end
+         as workspace_id,
+       case when e.event_id % 13 = 0 then a.s_suppkey else t.s_suppkey end as target_user_id,
+       case e.event_id % 4 when 0 then 'admin' when 1 then 'cm' when 2 then 'viewer' else 'owner' end as role,
+       e.ts as requested_at
+from {events} e join {supplier} a on a.s_suppkey = e.event_id % 10
+join {supplier} t on t.s_suppkey = (e.user_id * 7 + e.event_id) % 10
+where e.event_type <> 'signup'""",
     "membership_upserts": """
 select p_partkey as id, p_partkey % 25 as workspace_id, (p_partkey % 60) + 1 as user_id,
        case p_size % 3 when 0 then 'admin' when 1 then 'cm' else 'viewer' end as role,
