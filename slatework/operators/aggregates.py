@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import enums as E
-from ..functions import scalars as X
 from . import reads as R
 
 

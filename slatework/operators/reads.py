@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import enums as E
-from ..functions import scalars as X
 
 
 # F1 / F2 -------------------------------------------------------------------

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..functions import enums as E
 from ..operators import checks as C
 from .registry import register

@@ -13,7 +13,6 @@ FIXTURES.md).
 from __future__ import annotations
 
 import re
-from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
