@@ -212,7 +212,14 @@ def content_detail(items: DataFrame, comments: DataFrame, users: DataFrame, work
     cm = comments_with_author(comments, users).select(
         F.col("content_item_id").alias("_ci"), F.col("id").alias("comment_id"), F.col("author_id"),
         F.col("body"), F.col("created_at").alias("comment_created_at"), "author_name", "author_email")
-    joined = it.join(cm, it["id"] == cm["_ci"], "left").drop("_ci")
+    # Inner join plus the items without comments, rather than a left join
+    # from items: AQE can split a hot item's comments on either side of an
+    # inner join, but only the left side of a left outer join.
+    with_comments = it.join(cm, it["id"] == cm["_ci"], "inner").drop("_ci")
+    without = it.join(cm.select("_ci"), it["id"] == F.col("_ci"), "left_anti")
+    without = without.select("*", *[F.lit(None).cast(f.dataType).alias(f.name)
+                                    for f in cm.schema.fields if f.name != "_ci"])
+    joined = with_comments.unionByName(without)
     if not nested:
         return joined
     comment = F.struct(F.col("comment_created_at").alias("created_at"), F.col("comment_id").alias("id"),
