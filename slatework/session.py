@@ -42,14 +42,26 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's checkpoint folder, setting a scratch one only
-    when none is configured (local runs and tests)."""
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``
+    or the one already set on the context). Only when none is configured
+    (local runs and tests) a scratch folder is set."""
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - a remote (Connect) session has no context
+        sc = None
+    current = sc.getCheckpointDir() if sc is not None else None
+    if not current and sc is not None:
+        current = sc.getConf().get("spark.checkpoint.dir", None)
+    if not current:
+        try:
+            current = spark.conf.get("spark.checkpoint.dir", None)
+        except Exception:  # noqa: BLE001
+            current = None
     if current:
-        if not sc.getCheckpointDir():
+        if sc is not None and not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
-        return current
+        return current.rstrip("/")
     path = tempfile.mkdtemp(prefix="slatework-ckpt-", dir="/tmp")
-    sc.setCheckpointDir(path)
+    if sc is not None:
+        sc.setCheckpointDir(path)
     return path

@@ -145,8 +145,7 @@ select e.event_id as id, case when e.event_type in ('view', 'click') then 'chang
        case e.event_id % 4 when 0 then 'admin' when 1 then 'cm' when 2 then 'viewer' else 'owner' end as role,
        e.ts as requested_at
 from {events} e join {supplier} a on a.s_suppkey = e.event_id % 10
-join {supplier} t on t.s_suppkey = (e.user_id * 7 + e.event_id) % 10
-where e.event_type <> 'signup'""",
+join {supplier} t on t.s_suppkey = (e.user_id * 7 + e.event_id) % 10""",
     "membership_upserts": """
 select p_partkey as id, p_partkey % 25 as workspace_id, (p_partkey % 60) + 1 as user_id,
        case p_size % 3 when 0 then 'admin' when 1 then 'cm' else 'viewer' end as role,
