@@ -25,16 +25,34 @@ def empty_to_null(col: ColumnOrName) -> Column:
 
 
 # X1 ------------------------------------------------------------------------
+def _ymd(c: Column, y_at: int, m_at: int, d_at: int | None) -> tuple[Column, Column, Column | None]:
+    y = F.substring(c, y_at, 4).try_cast("int")
+    m = F.substring(c, m_at, 2).try_cast("int")
+    d = F.substring(c, d_at, 2).try_cast("int") if d_at else None
+    return y, m, d
+
+
 def parse_strict_date(col: ColumnOrName) -> Column:
     """Date of a strict YYYY-MM-DD text that names a real day, else null.
 
-    ``try_to_date`` with an explicit pattern refuses single-digit months and
-    days, other separators, trailing time parts and impossible days.
+    Shape first (four, two and two digits), then month 1-12, then day
+    1..last day of that month; only then is the date built. No parser runs
+    and nothing throws, so bad input costs no more than good input.
     """
     c = _c(col)
-    # the shape check first: text that cannot be a date never reaches the
-    # parser, whose failures are costly
-    return F.when(c.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.try_to_date(c, E.DATE_FORMAT))
+    y, m, d = _ymd(c, 1, 6, 9)
+    last = F.dayofmonth(F.last_day(F.make_date(y, m, F.lit(1))))
+    return F.when(_digits_shape(c, 10, (5, 8)),
+                  F.when((m >= 1) & (m <= 12),
+                         F.when((d >= 1) & (d <= last), F.make_date(y, m, d))))
+
+
+def _digits_shape(c: Column, length: int, dashes: tuple[int, ...]) -> Column:
+    """Text of ``length`` characters: digits, with '-' exactly at ``dashes``."""
+    ok = (F.length(c) == length) & (F.translate(c, "0123456789", "") == F.lit("-" * len(dashes)))
+    for pos in dashes:
+        ok = ok & (F.substring(c, pos, 1) == "-")
+    return ok
 
 
 def strict_date_ok(col: ColumnOrName) -> Column:
@@ -48,7 +66,8 @@ def month_start(month: ColumnOrName, as_of: ColumnOrName) -> Column:
     """First day of a YYYY-MM month; '' means the month of ``as_of``;
     anything that is not a real YYYY-MM month gives null (the error case)."""
     m = _c(month)
-    parsed = F.when(m.rlike(r"^[0-9]{4}-[0-9]{2}$"), F.try_to_date(F.concat(m, F.lit("-01")), E.DATE_FORMAT))
+    y, mm, _ = _ymd(m, 1, 6, None)
+    parsed = F.when(_digits_shape(m, 7, (5,)), F.when((mm >= 1) & (mm <= 12), F.make_date(y, mm, F.lit(1))))
     return F.when(m == "", F.trunc(_c(as_of).cast("date"), "month")).otherwise(parsed)
 
 

@@ -50,7 +50,14 @@ def _bad_enum(col: str, enum: str) -> Column:
 
 
 def _bad_date(col: str) -> Column:
-    return ~X.strict_date_ok(col)
+    return ~F.col(f"_ok_{col}")
+
+
+def _with_date_checks(df: DataFrame, *cols: str) -> DataFrame:
+    """Evaluate each date check once per row; the verdict and field chains
+    both read the column (a projected column that is not cheap is not
+    inlined twice by the optimizer)."""
+    return df.withColumns({f"_ok_{c}": X.strict_date_ok(c) for c in cols})
 
 
 def _stamp(requests: DataFrame, as_of) -> Column:
@@ -87,7 +94,7 @@ def create_content(drafts: DataFrame, clients: DataFrame, as_of) -> tuple[DataFr
     scheduled_date (text), created_by [, description, requested_at].
     Order: title -> platform -> content_type -> scheduled_date -> client_id.
     """
-    g = C.client_ok(drafts, clients)
+    g = _with_date_checks(C.client_ok(drafts, clients), "scheduled_date")
     verdict, field = first_failure([
         (_blank("title"), "required", "title"),
         (_bad_enum("platform", "platform"), "invalid_enum", "platform"),
@@ -115,7 +122,8 @@ def update_content(items: DataFrame, updates: DataFrame, clients: DataFrame) ->
     Order: title -> platform -> content_type -> scheduled_date -> item not
     found (in that workspace) -> client_id. Fields left out become null/''.
     """
-    g = C.content_item_ok(C.client_ok(updates, clients), items, flag="_item_found")
+    g = _with_date_checks(C.content_item_ok(C.client_ok(updates, clients), items, flag="_item_found"),
+                          "scheduled_date")
     found = F.col("_item_found") & F.col("content_item_id").isNotNull()
     verdict, field = first_failure([
         (_blank("title"), "required", "title"),
@@ -465,6 +473,7 @@ def write_tasks(tasks: DataFrame, requests: DataFrame, clients: DataFrame, items
          .withColumnRenamed("assignee_id", "_e_assignee_id")
          .withColumnRenamed("_r_client_id", "client_id").withColumnRenamed("_r_content_item_id", "content_item_id")
          .withColumnRenamed("_r_assignee_id", "assignee_id"))
+    g = _with_date_checks(g, "due_date")
     creating = F.col("kind") == "create"
     missing = ~creating & F.col("_tid").isNull()
     verdict, field = first_failure([
