@@ -107,7 +107,12 @@ def dup_clients(clients: DataFrame) -> DataFrame:
 # Q2 ------------------------------------------------------------------------
 def dup_keys(tables: dict[str, DataFrame]) -> DataFrame:
     """Keys that occur more than once: primary keys, emails, tokens and
-    (workspace, user) memberships. Rows: table, key, value, occurrences."""
+    (workspace, user) memberships. Rows: table, key, value, occurrences.
+
+    All key columns are stacked into one (table, key, value) frame and
+    counted by a single aggregation: one shuffle for all checks, with
+    map-side partial counts.
+    """
     specs = [("users", "id", [F.col("id")]), ("users", "email", [F.col("email")]),
              ("workspaces", "id", [F.col("id")]), ("clients", "id", [F.col("id")]),
              ("content_items", "id", [F.col("id")]), ("comments", "id", [F.col("id")]),
@@ -119,22 +124,25 @@ def dup_keys(tables: dict[str, DataFrame]) -> DataFrame:
         if table not in tables:
             continue
         value = F.concat_ws(",", *[c.cast("string") for c in cols])
-        parts.append(tables[table].groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("occurrences"))
-                     .filter(F.col("occurrences") > 1)
-                     .select(F.lit(table).alias("table_name"), F.lit(key).alias("key_name"), "value", "occurrences"))
-    return reduce(DataFrame.unionByName, parts)
+        parts.append(tables[table].select(F.lit(table).alias("table_name"), F.lit(key).alias("key_name"),
+                                          value.alias("value")))
+    stacked = reduce(DataFrame.unionByName, parts)
+    return (stacked.groupBy("table_name", "key_name", "value").agg(F.count(F.lit(1)).alias("occurrences"))
+            .filter(F.col("occurrences") > 1))
 
 
 # Q3 ------------------------------------------------------------------------
 def bad_enums(specs: list[tuple[DataFrame, str, str, str]]) -> DataFrame:
     """Values outside their enum. ``specs``: (frame, table name, column,
-    enum name). Rows: table, column, bad value, occurrences."""
+    enum name). Rows: table, column, bad value, occurrences. The bad values
+    of all specs are stacked and counted by one aggregation."""
     parts = []
     for df, table, col, field in specs:
         parts.append(df.filter(~F.col(col).isin(*E.ENUMS[field]) | F.col(col).isNull())
-                     .groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("occurrences"))
-                     .select(F.lit(table).alias("table_name"), F.lit(col).alias("column_name"), "value", "occurrences"))
-    return reduce(DataFrame.unionByName, parts)
+                     .select(F.lit(table).alias("table_name"), F.lit(col).alias("column_name"),
+                             F.col(col).cast("string").alias("value")))
+    stacked = reduce(DataFrame.unionByName, parts)
+    return stacked.groupBy("table_name", "column_name", "value").agg(F.count(F.lit(1)).alias("occurrences"))
 
 
 # Q4 ------------------------------------------------------------------------

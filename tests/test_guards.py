@@ -71,3 +71,22 @@ def test_role_change_order(spark):
     assert {r.id: r.verdict for r in v.collect()} == {1: "not_found", 2: "forbidden", 3: "invalid_enum",
                                                       4: "self", 5: "not_found", 6: "accepted"}
     assert {r.user_id: r.role for r in m.collect()} == {1: "admin", 2: "cm", 3: "cm"}
+
+
+def test_dup_keys_finds_repeats(spark):
+    users = spark.createDataFrame([(1, "a@x"), (2, "a@x"), (2, "b@x")], "id long, email string")
+    members = spark.createDataFrame([(10, 1, "cm"), (10, 1, "viewer"), (11, 1, "cm")],
+                                    "workspace_id long, user_id long, role string")
+    got = {(r.table_name, r.key_name, r.value): r.occurrences
+           for r in C.dup_keys({"users": users, "memberships": members}).collect()}
+    assert got == {("users", "id", "2"): 2, ("users", "email", "a@x"): 2,
+                   ("memberships", "workspace_id,user_id", "10,1"): 2}
+
+
+def test_orphans_and_null_refs(spark):
+    ws = spark.createDataFrame([(10,)], "id long")
+    items = spark.createDataFrame([(1, 10, None), (2, 11, 5)], "id long, workspace_id long, client_id long")
+    clients = spark.createDataFrame([(6, 10)], "id long, workspace_id long")
+    got = sorted((r.table_name, r.column_name, r.row_key, r.missing) for r in
+                 C.orphans({"workspaces": ws, "content_items": items, "clients": clients}).collect())
+    assert got == [("content_items", "client_id", "2", "5"), ("content_items", "workspace_id", "2", "11")]
