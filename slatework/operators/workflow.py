@@ -91,34 +91,41 @@ def replay_transitions(items: DataFrame, requests: DataFrame, block: int = scan.
     """M4: a log of status requests, many per item, in (requested_at, id)
     order; each is judged against the status left by the ones before it.
 
-    Requests with a bad status or an unknown item are judged directly and
-    change nothing. The rest run through ``scan.state_scan``: each request is
-    a function on the six states, composed per block, per block group and
-    per item, so an item with a huge log is spread over many tasks.
+    Every request runs through ``scan.state_scan`` as a function on the six
+    states (a request with a bad status or an unknown item is the identity
+    and is judged by its flags), composed per block, per block group and
+    per item, so an item with a huge log is spread over many tasks. One
+    pass over the requests, no second copy of the item join.
     Returns (verdicts, new items with status and updated_at of the last
     accepted request).
     """
     scoped = "workspace_id" in requests.columns
     r = _attach_items(requests, items, scoped)
     enum_ok = X.enum_ok("to_status", "status")
-    direct = r.filter(~enum_ok | ~F.col("_found")).select(
-        *requests.columns, F.lit(None).cast("string").alias("from_status"),
-        F.when(~enum_ok, F.lit("invalid_enum")).otherwise(F.lit("not_found")).alias("verdict"))
-    live = (r.filter(enum_ok & F.col("_found"))
-            .withColumn("_t", status_index(F.col("to_status")))
+    # One pass: a request with an unknown status or item is a no-op step
+    # (the identity function); its verdict comes from the flags below.
+    t = status_index(F.col("to_status"))
+    live = (r.withColumn("_ok", enum_ok & F.col("_found"))
+            .withColumn("_t", F.when(F.col("_ok"), t).otherwise(F.lit(0)))
             .withColumn("_start", status_index(F.col("current_status"))))
+    identity = F.sequence(F.lit(0), F.lit(_N_STATES - 1))
+    step = F.when(F.col("_ok"), _step(F.col("_t"))).otherwise(identity)
     keys = ["content_item_id"] + (["workspace_id"] if scoped else [])
-    payload = list(dict.fromkeys([*requests.columns, "current_status", "_t"]))
+    payload = list(dict.fromkeys([*requests.columns, "current_status", "_t", "_ok", "_found"]))
     # the stored status came with the item join; it is the start state of the key
-    rows, finals = scan.state_scan(live, keys, ["requested_at", "id"], _step(F.col("_t")), _N_STATES,
+    rows, finals = scan.state_scan(live, keys, ["requested_at", "id"], step, _N_STATES,
                                    "_start", payload, block=block)
     sb = F.col("state_before")
+    ok_enum = X.enum_ok("to_status", "status")
     judged = rows.select(
         *requests.columns,
-        F.when(sb == 0, F.col("current_status")).otherwise(status_name(sb)).alias("from_status"),
-        F.when(sb == _pred_index(F.col("_t")), F.lit("accepted")).otherwise(F.lit("invalid_transition")).alias("verdict"))
-    verdicts = judged.unionByName(direct)
-    verdicts = verdicts.withColumn("field", F.when(F.col("verdict").isin("invalid_enum", "invalid_transition"),
+        F.when(F.col("_ok"), F.when(sb == 0, F.col("current_status")).otherwise(status_name(sb)))
+        .alias("from_status"),
+        F.when(~ok_enum, F.lit("invalid_enum"))
+        .when(~F.col("_found"), F.lit("not_found"))
+        .when(sb == _pred_index(F.col("_t")), F.lit("accepted"))
+        .otherwise(F.lit("invalid_transition")).alias("verdict"))
+    verdicts = judged.withColumn("field", F.when(F.col("verdict").isin("invalid_enum", "invalid_transition"),
                                                    F.lit("status")).when(F.col("verdict") == "not_found",
                                                                          F.lit("content_item")))
     last = (judged.filter(F.col("verdict") == "accepted")
