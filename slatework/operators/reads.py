@@ -200,13 +200,16 @@ def content_detail(items: DataFrame, comments: DataFrame, users: DataFrame, work
 
     Flat form (default): one row per (item, comment); an item without
     comments gives one row with null comment columns. Nested form: one row
-    per item with ``comments`` as an array, [] when there are none; it is a
-    detail view, so it needs ``item_ids`` to bound what is gathered per row.
+    per item with ``comments`` as an array, [] when there are none. That is
+    the application's detail view (all comments of an item in one row), so
+    it needs ``item_ids``: a list, or a frame with an ``id`` column.
     """
     it = tenant_scope(items, workspace_id)
-    if item_ids is not None:
-        ids = list(item_ids)
-        it = it.filter(F.col("id").isin(ids))
+    if isinstance(item_ids, DataFrame):
+        # a frame of ids (column ``id``): a semi join, nothing goes through the driver
+        it = it.join(item_ids.select("id"), "id", "left_semi")
+    elif item_ids is not None:
+        it = it.filter(F.col("id").isin(list(item_ids)))
     elif nested:
         raise ValueError("nested content_detail needs item_ids")
     cm = comments_with_author(comments, users).select(
