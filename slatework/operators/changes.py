@@ -463,16 +463,8 @@ def write_tasks(tasks: DataFrame, requests: DataFrame, clients: DataFrame, items
     eff = {c: F.when(is_toggle, F.col(f"_s_{c}")).otherwise(F.col(c)) for c in
            ("client_id", "content_item_id", "assignee_id")}
     r = r.withColumns({f"_e_{c}": v for c, v in eff.items()})
-    g = C.task_ref_check(r.withColumnRenamed("client_id", "_r_client_id")
-                         .withColumnRenamed("content_item_id", "_r_content_item_id")
-                         .withColumnRenamed("assignee_id", "_r_assignee_id")
-                         .withColumnRenamed("_e_client_id", "client_id")
-                         .withColumnRenamed("_e_content_item_id", "content_item_id")
-                         .withColumnRenamed("_e_assignee_id", "assignee_id"), clients, items, memberships)
-    g = (g.withColumnRenamed("client_id", "_e_client_id").withColumnRenamed("content_item_id", "_e_content_item_id")
-         .withColumnRenamed("assignee_id", "_e_assignee_id")
-         .withColumnRenamed("_r_client_id", "client_id").withColumnRenamed("_r_content_item_id", "content_item_id")
-         .withColumnRenamed("_r_assignee_id", "assignee_id"))
+    g = C.task_ref_check(r, clients, items, memberships, client_col="_e_client_id",
+                         item_col="_e_content_item_id", assignee_col="_e_assignee_id")
     g = _with_date_checks(g, "due_date")
     creating = F.col("kind") == "create"
     missing = ~creating & F.col("_tid").isNull()

@@ -56,10 +56,14 @@ def content_ref_check(rows: DataFrame, clients: DataFrame) -> DataFrame:
 
 
 # J7 ------------------------------------------------------------------------
-def task_ref_check(rows: DataFrame, clients: DataFrame, items: DataFrame, memberships: DataFrame) -> DataFrame:
+def task_ref_check(rows: DataFrame, clients: DataFrame, items: DataFrame, memberships: DataFrame,
+                   client_col: str = "client_id", item_col: str = "content_item_id",
+                   assignee_col: str = "assignee_id") -> DataFrame:
     """Adds the three flags and ``bad_field``: the first failing reference
-    in the order client_id, content_item_id, assignee_id."""
-    out = assignee_ok(content_item_ok(client_ok(rows, clients), items), memberships)
+    in the order client_id, content_item_id, assignee_id. The reference
+    columns may be named differently in ``rows``."""
+    out = assignee_ok(content_item_ok(client_ok(rows, clients, col=client_col), items, col=item_col),
+                      memberships, col=assignee_col)
     return out.withColumn("bad_field",
                           F.when(~F.col("client_ok"), F.lit("client_id"))
                           .when(~F.col("content_item_ok"), F.lit("content_item_id"))
