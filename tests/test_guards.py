@@ -90,3 +90,49 @@ def test_orphans_and_null_refs(spark):
     got = sorted((r.table_name, r.column_name, r.row_key, r.missing) for r in
                  C.orphans({"workspaces": ws, "content_items": items, "clients": clients}).collect())
     assert got == [("content_items", "client_id", "2", "5"), ("content_items", "workspace_id", "2", "11")]
+
+
+def test_task_writes_state(spark):
+    T0 = dt.datetime(2026, 1, 1)
+    tasks = spark.createDataFrame(
+        [("t1", 10, "A", "", None, None, False, None, None, T0, T0),
+         ("t2", 10, "B", "", None, None, True, None, None, T0, T0)],
+        "id string, workspace_id long, title string, description string, assignee_id long, due_date date, "
+        "done boolean, content_item_id long, client_id long, created_at timestamp_ntz, updated_at timestamp_ntz")
+    req = spark.createDataFrame(
+        [("r1", 10, "update", "t1", "A2", None, None, "2026-02-01", True, None, None, T0 + dt.timedelta(days=1)),
+         ("r2", 10, "toggle", "t1", None, None, None, None, None, None, None, T0 + dt.timedelta(days=2)),
+         ("r3", 10, "toggle", "t1", None, None, None, None, None, None, None, T0 + dt.timedelta(days=3)),
+         ("r4", 10, "toggle", "t2", None, None, None, None, None, None, None, T0 + dt.timedelta(days=1)),
+         ("r5", 10, "create", None, "New", None, None, "", False, None, 99, T0),
+         ("r6", 10, "update", "t9", "X", None, None, None, False, None, None, T0)],
+        "id string, workspace_id long, kind string, task_key string, title string, description string, "
+        "assignee_id long, due_date string, done boolean, content_item_id long, client_id long, "
+        "requested_at timestamp_ntz")
+    clients = spark.createDataFrame([(99, 10, None)], "id long, workspace_id long, deleted_at timestamp_ntz")
+    items = spark.createDataFrame([(1, 10)], "id long, workspace_id long")
+    members = spark.createDataFrame([(10, 1, "cm")], "workspace_id long, user_id long, role string")
+    v, new = M.write_tasks(tasks, req, clients, items, members)
+    assert {r.id: r.verdict for r in v.collect()} == {"r1": "accepted", "r2": "accepted", "r3": "accepted",
+                                                      "r4": "accepted", "r5": "accepted", "r6": "not_found"}
+    state = {r.id: (r.title, r.done, r.due_date) for r in new.collect()}
+    assert state == {"t1": ("A2", True, dt.date(2026, 2, 1)), "t2": ("B", False, None), "r5": ("New", False, None)}
+
+
+def test_client_writes_state(spark):
+    T0 = dt.datetime(2026, 1, 1)
+    clients = spark.createDataFrame([(1, 10, "Acme", '{"ig":"@a"}', None), (2, 10, "Beta", None, None)],
+                                    "id long, workspace_id long, name string, social_handles string, "
+                                    "deleted_at timestamp_ntz")
+    req = spark.createDataFrame(
+        [(11, 10, "create", None, "acme", None, "", True, T0), (12, 10, "create", None, "Gamma", "null", "", True, T0),
+         (13, 10, "create", None, "GAMMA", None, "", True, T0 + dt.timedelta(seconds=1)),
+         (14, 10, "update", 2, "Beta 2", None, "n", False, T0), (15, 10, "update", 2, "Beta 3", '{"x":"y"}', "m", True,
+                                                                  T0 + dt.timedelta(seconds=5))],
+        "id long, workspace_id long, kind string, client_id long, name string, social_handles string, notes string, "
+        "active boolean, requested_at timestamp_ntz")
+    v, new = M.write_clients(clients, req)
+    assert {r.id: r.verdict for r in v.collect()} == {11: "conflict", 12: "accepted", 13: "conflict",
+                                                      14: "accepted", 15: "accepted"}
+    state = {r.id: (r.name, r.social_handles, r.active) for r in new.collect()}
+    assert state == {1: ("Acme", {"ig": "@a"}, None), 2: ("Beta 3", {"x": "y"}, True), 12: ("Gamma", {}, True)}
