@@ -130,24 +130,29 @@ def state_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: C
         lvl1 = lvl1.drop("_s0")
         lvl2 = lvl2.drop("_s0")
 
-    # Start state of every child. Blocks and block groups: exclusive prefix
-    # compositions by doubling (log2(n) passes of ``transform``), O(n log n)
-    # per array instead of the O(n^2) of appending to an accumulator.
-    # The key level holds at most a few children per partition the key spans
-    # (a bound set by the partition count, not by the data), so a plain fold
-    # is used there; blocks and block groups, which exist everywhere, use
-    # the doubling passes.
+    # Start state of every child.
+    # - Blocks (up to ``block`` rows each, and there are as many as rows /
+    #   block): exclusive prefix compositions by doubling, log2(block) passes
+    #   of ``transform``, O(n log n) per block. A fold that appends to an
+    #   accumulator would copy O(block) elements per row.
+    # - Block groups and the key level: a plain fold. A group has at most
+    #   ``block`` children but covers up to block^2 rows (under one copy per
+    #   row); the key level has a few children per partition the key spans,
+    #   a bound set by the partition count, not by the data.
     block_steps = max(1, (block - 1).bit_length())
-    zero = F.struct(F.col("_s0").alias("s"), F.array().cast("array<int>").alias("b"))
-    fold = F.aggregate("_kids", zero, lambda acc, r: F.struct(
-        F.element_at(r["_F2"], acc["s"] + 1).alias("s"), F.array_append(acc["b"], acc["s"]).alias("b")))
-    topw = top.withColumn("_fold", fold).select(*keys, "_kids", F.col("_fold.s").alias("_final"),
-                                                F.col("_fold.b").alias("_before"))
+
+    def fold(fcol: str) -> Column:
+        zero = F.struct(F.col("_s0").alias("s"), F.array().cast("array<int>").alias("b"))
+        return F.aggregate("_kids", zero, lambda acc, r: F.struct(
+            F.element_at(r[fcol], acc["s"] + 1).alias("s"), F.array_append(acc["b"], acc["s"]).alias("b")))
+
+    topw = top.withColumn("_fold", fold("_F2")).select(*keys, "_kids", F.col("_fold.s").alias("_final"),
+                                                       F.col("_fold.b").alias("_before"))
     finals = topw.select(*keys, F.col("_final").alias("final_state"))
     s2 = topw.select(*keys, F.inline(F.arrays_zip(F.col("_kids").alias("_kid"), F.col("_before").alias("_bef"))))
     s2 = s2.select(*keys, F.col("_kid._pid").alias("_pid"), F.col("_kid._b2").alias("_b2"), F.col("_bef").alias("_s0"))
-    mid = _with_prefix_states(lvl2.join(s2, [*keys, "_pid", "_b2"], "inner"), "_kids", "_F1", "_s0", "_before",
-                              block_steps)
+    mid = lvl2.join(s2, [*keys, "_pid", "_b2"], "inner")
+    mid = mid.withColumn("_before", fold("_F1")["b"])
     s1 = mid.select(*keys, "_pid", "_b2",
                     F.inline(F.arrays_zip(F.col("_kids").alias("_kid"), F.col("_before").alias("_bef"))))
     s1 = s1.select(*keys, "_pid", "_b2", F.col("_kid._b1").alias("_b1"), F.col("_bef").alias("_s0"))
