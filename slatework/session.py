@@ -8,6 +8,7 @@ from the platform and only the SQL settings below matter.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -42,26 +43,24 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``
-    or the one already set on the context). Only when none is configured
-    (local runs and tests) a scratch folder is set."""
+    """The shared folder of ``spark.checkpoint.dir`` (or the one already set
+    on the context). Where it is unset, a single-process session (tests, the
+    bench) gets a scratch folder; a cluster session raises, since a folder of
+    one machine would lose the rows that other executors write."""
     try:
         sc = spark.sparkContext
     except Exception:  # noqa: BLE001 - a remote (Connect) session has no context
         sc = None
     current = sc.getCheckpointDir() if sc is not None else None
-    if not current and sc is not None:
-        current = sc.getConf().get("spark.checkpoint.dir", None)
     if not current:
-        try:
-            current = spark.conf.get("spark.checkpoint.dir", None)
-        except Exception:  # noqa: BLE001
-            current = None
-    if current:
-        if sc is not None and not sc.getCheckpointDir():
+        current = (sc.getConf().get("spark.checkpoint.dir", None) if sc is not None
+                   else spark.conf.get("spark.checkpoint.dir", None))
+        if current and sc is not None:
             sc.setCheckpointDir(current)
+    if current:
         return current.rstrip("/")
+    if sc is None or not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="slatework-ckpt-", dir="/tmp")
-    if sc is not None:
-        sc.setCheckpointDir(path)
+    sc.setCheckpointDir(path)
     return path
