@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slatework.llm import simhash
+from slatework.llm import decontam, mixing, sharding, simhash, toxicity
 from slatework.llm.common import stored, table
 
 STAGES = [
+    ("toxicity", toxicity.stage),
     ("simhash near-dedup", simhash.stage),
+    ("benchmark decontamination", decontam.stage),
+    ("mixing to target weights", mixing.stage),
+    ("sharding", sharding.stage),
 ]
 
 # The first stage is a trained classifier, which SQL cannot express.

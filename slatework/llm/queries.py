@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import decontam, mixing, sharding, simhash, toxicity
 
 QUERIES = {
     "op2_simhash": simhash.query,
+    "op3_toxicity": toxicity.query,
+    "op4_sharding": sharding.query,
+    "op6_mixing": mixing.query,
+    "op7_decontam": decontam.query,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op6_mixing": mixing.SQL,
+}

@@ -8,7 +8,7 @@ an earlier one; for new text they come from a model fitted on all folds.
 
 Training reads a bounded sample of the labelled rows (``sample`` rows, chosen
 by a hash of the id); its vocabulary holds the words whose presence separates
-a category best (two-proportion z-score). Prediction is one pass over whole
+a category best (log-likelihood ratio). Prediction is one pass over whole
 texts without a shuffle.
 """
 
@@ -26,6 +26,7 @@ from .common import seeded, stored, table
 
 SAMPLE = 20_000
 WORDS_PER_CATEGORY = 500
+LEAST_G = 20.0  # chance alone reaches it for one word in 100,000
 FOLDS = 3
 # category -> SQL of its 0/1 label over the columns of ``labels``, in chain order
 CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
@@ -52,18 +53,24 @@ def labelled(docs: DataFrame, labels: DataFrame, categories: dict[str, str], sam
     return x.select("_id", fold.alias("_fold"), *[f"y_{c}" for c in categories], tokens(F.col("_text")).alias("_words"))
 
 
-def vocabulary(train: DataFrame, category: str, size: int) -> list[str]:
-    """The ``size`` words that separate a category best by presence."""
+def vocabulary(train: DataFrame, category: str, size: int, least: float = LEAST_G) -> list[str]:
+    """The ``size`` words whose presence tells most about a category, by the
+    log-likelihood ratio of the 2 x 2 table (Dunning's G), ``least`` at least."""
     y = f"y_{category}"
     n, pos = train.agg(F.count(F.lit(1)), F.sum(y)).first()
-    neg = n - (pos or 0)
-    if not pos or not neg:
+    if not pos or pos == n:
         return []
     seen = train.select(y, F.explode(F.array_distinct("_words")).alias("word")).groupBy("word").agg(
-        F.count(F.lit(1)).alias("_n"), F.sum(y).alias("_p")).filter("_n >= 3")
-    p = F.col("_n") / n
-    z = F.abs(F.col("_p") / pos - (F.col("_n") - F.col("_p")) / neg) / F.sqrt(p * (1 - p) * (1 / pos + 1 / neg) + 1e-12)
-    return [r.word for r in seen.orderBy(F.desc(z), "word").limit(size).collect()]
+        F.count(F.lit(1)).alias("_n"), F.sum(y).alias("_p"))
+
+    def part(seen_of: Column, row: Column, col: Column) -> Column:
+        return F.when(seen_of > 0, seen_of * F.log(seen_of * n / (row * col))).otherwise(0.0)
+
+    has, hit, lacks = F.col("_n"), F.col("_p"), n - F.col("_n")
+    g = 2 * (part(hit, has, F.lit(pos)) + part(has - hit, has, F.lit(n - pos)) + part(pos - hit, lacks, F.lit(pos))
+             + part(lacks - (pos - hit), lacks, F.lit(n - pos)))
+    best = seen.select("word", g.alias("_g")).filter(F.col("_g") >= least).orderBy(F.desc("_g"), "word").limit(size)
+    return [r.word for r in best.collect()]
 
 
 @dataclass
