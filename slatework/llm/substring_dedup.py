@@ -1,10 +1,11 @@
 """Substring dedup by hashing normalised units (operator 8).
 
 A unit is a line, cut further after sentence ends, because a repeated passage
-may stand in the middle of a line; a sentence of fewer than ``LEAST`` words
-stays with the one before it (at the start of a line: with the one after).
-Units are compared as lower-case runs of letters and digits; lines of fewer
-words than ``LEAST`` are left alone.
+may stand in the middle of a line. A sentence of fewer than ``LEAST`` words
+means little alone: its digest covers those before it back to the last longer
+one as well (at the start of a line: those after it). A line of short
+sentences only is one unit, and none if it has fewer than ``LEAST`` words.
+Units are compared as lower-case runs of letters and digits.
 
 The digests of all units are grouped globally. The first occurrence by (id,
 row key, offset) stays, every other goes; the offsets are those of the
@@ -33,27 +34,37 @@ _WORDS = re.compile(r"[^\W_]+")
 
 
 def units(text: str, least: int = LEAST) -> list[tuple[int, int, bytes]]:
-    """(start, end, normalised text) of the units of a text."""
+    """(start, end, digest) of the units of a text, in order."""
     out: list[tuple[int, int, bytes]] = []
-    start = end = 0
-    words: list[str] = []
+    line: list[tuple[int, int, list[str]]] = []
 
     def close() -> None:
-        if len(words) >= least:
-            out.append((start, end, " ".join(words).encode(errors="surrogatepass")))
+        heads, last = [], None
+        for start, end, words in line:
+            own = " ".join(words).encode(errors="surrogatepass")
+            if len(words) >= least:
+                last = xxhash.xxh3_128_digest(own)
+                after = last
+                for s, e, short in reversed(heads):
+                    after = xxhash.xxh3_128_digest(b"<" + after + short)
+                    out.append((s, e, after))
+                heads = []
+            elif last is None:
+                heads.append((start, end, own))
+                continue
+            else:
+                last = xxhash.xxh3_128_digest(b">" + last + own)
+            out.append((start, end, last))
+        if heads and sum(len(words) for _, _, words in line) >= least:
+            out.append((line[0][0], line[-1][1], xxhash.xxh3_128_digest(b"\n".join(h for _, _, h in heads))))
+        line.clear()
 
     for m in _PARTS.finditer(text):
-        own = _WORDS.findall(m[0].lower())
-        if len(own) >= least and len(words) >= least:  # a long part begins a unit, if there is one to end
-            close()
-            start, words = m.start(), []
-        words += own
-        end = m.end()
+        line.append((m.start(), m.end(), _WORDS.findall(m[0].lower())))
         if "\n" in m[0]:
             close()
-            start, words = end, []
     close()
-    return out
+    return sorted(out)
 
 
 def unit_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -74,7 +85,7 @@ def unit_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 if found:
                     rows.append(i)
                     spans += [(s, e) for s, e, _ in found]
-                    digests += [xxhash.xxh3_128_digest(u) for _, _, u in found]
+                    digests += [d for _, _, d in found]
                     at.append(len(spans))
             if rows:
                 offsets = pa.array(at, pa.int32())
