@@ -106,3 +106,9 @@ def union_all(frames: Iterable[DataFrame]) -> DataFrame:
     for f in it:
         out = out.unionByName(f)
     return out
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, also where ``body`` uses it
+    inside further lambdas (Spark would compute it again for every element)."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))

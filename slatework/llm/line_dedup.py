@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, stored, table, with_key
+from .common import KEY, let, stored, table, with_key
 
 WINDOW = 3
 
@@ -79,7 +79,7 @@ def dedup_lines(docs: DataFrame, w: int = WINDOW, id_col: str = "doc_id", text_c
     lines = F.split(F.col(text_col), "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_removed"))
     text = F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(
-        F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+        F.array_join(let(lines, lambda x: F.transform(kept, lambda i: F.get(x, i))), "\n"))
     none = F.array().cast("array<int>")
     return x.select(*[text.alias(c) if c == text_col else c for c in docs.columns if c not in ("n_lines", "n_removed", "removed")],
                     F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"),

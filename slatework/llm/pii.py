@@ -24,7 +24,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, stored, table, with_key
+from .common import KEY, let, stored, table, with_key
 
 KINDS = ("email", "ip", "card", "phone")
 # The contract's patterns. What is added changes no match: a possessive run
@@ -39,9 +39,8 @@ PATTERNS = {
 }
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 _IP = rf"^{_PART}\.{_PART}\.{_PART}\.{_PART}$"
-# A token with a digit that no form covers, from its first character to its last.
-TOKEN = r"(?<![A-Za-z0-9._%+@-])[A-Za-z._%+@-]*+[0-9][A-Za-z0-9._%+@-]*+"
-LEAST_TOKEN = 6
+# A token of six characters or more with a digit, from its first character to its last.
+TOKEN = r"(?<![A-Za-z0-9._%+@-])(?=[A-Za-z0-9._%+@-]{6})[A-Za-z._%+@-]*+[0-9][A-Za-z0-9._%+@-]*+"
 
 ROUNDS = 3
 SHRINK = 3.0  # instances added to a pattern's total
@@ -77,28 +76,54 @@ def _valid(kind: str, m: Column) -> Column:
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """Array of (start, end, text) of all matches, leftmost and not overlapping,
-    in code points: the gaps of a split and the matches take turns."""
+    """Array of (start, end, text, left, right) of all matches, leftmost and not
+    overlapping, in code points; left and right are the text around.
+
+    The gaps of a split and the matches take turns, so a match starts at the
+    sum of the lengths before it. The sums are taken over blocks of sqrt(n)
+    lengths, which keeps long lists of numbers cheap.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-    sizes = F.transform(found, lambda x: F.length(x))
+    parts = F.struct(found.alias("found"), F.split(text, pattern, -1).alias("gaps"))
+
+    def total(lengths: Column) -> Column:
+        return F.aggregate(lengths, F.lit(0), lambda a, x: a + x)
+
+    def lengths(p: Column) -> Column:
+        steps = F.transform(p["gaps"], lambda g, i: F.length(g) + F.coalesce(F.length(F.get(p["found"], i - 1)), F.lit(0)))
+        return F.struct(p["found"].alias("found"), p["gaps"].alias("gaps"), steps.alias("steps"),
+                        F.ceil(F.sqrt(F.size(steps))).cast("int").alias("block"))
+
+    def spans(q: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor(F.size(q["steps"]) / q["block"]).cast("int"))
+        sums = F.transform(blocks, lambda b: total(F.slice(q["steps"], b * q["block"] + 1, q["block"])))
+        return let(sums, lambda s: let(F.transform(s, lambda _, b: total(F.slice(s, F.lit(1), b))), lambda before: F.transform(
+            q["found"], lambda m, i: span(q, before, m, i))))
+
+    def span(q: Column, before: Column, m: Column, i: Column) -> Column:
+        b = F.floor(i / q["block"]).cast("int")
+        start = F.get(before, b) + total(F.slice(q["steps"], b * q["block"] + 1, i - b * q["block"] + 1))
+
+        def around(*at: tuple[str, int]) -> Column:
+            return F.concat(*[F.coalesce(F.get(q[c], i + k), F.lit("")) for c, k in at])
 
-    def span(m: Column, i: Column) -> Column:
-        start = (F.aggregate(F.slice(gaps, F.lit(1), i + 1), F.lit(0), lambda a, x: a + x)
-                 + F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda a, x: a + x))
-        return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("text"))
+        left = around(("found", -2), ("gaps", -1), ("found", -1), ("gaps", 0))
+        right = around(("gaps", 1), ("found", 1), ("gaps", 2))
+        return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("text"),
+                        F.right(left, F.lit(_SPACE)).alias("left"), F.left(right, F.lit(_SPACE)).alias("right"))
 
-    return F.transform(found, span)
+    return let(let(parts, lengths), spans)
 
 
 def _as(kind: int):
     """Number the kind of a match."""
-    return lambda m: F.struct(m["start"].alias("start"), F.lit(kind).alias("kind"), m["end"].alias("end"), m["text"].alias("text"))
+    return lambda m: F.struct(m["start"].alias("start"), F.lit(kind).alias("kind"), m["end"].alias("end"),
+                              m["text"].alias("text"), m["left"].alias("left"), m["right"].alias("right"))
 
 
 def seeds(text: Column) -> Column:
-    """Array of (start, kind number, end, text) of the base spans, sorted."""
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,text:string>>")
+    """Array of (start, kind number, end, text, left, right) of the base spans, sorted."""
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,text:string,left:string,right:string>>")
     signs = {"email": "@", "ip": ".", "phone": "+"}
     parts = []
     for k, kind in enumerate(KINDS):
@@ -110,20 +135,18 @@ def seeds(text: Column) -> Column:
 
 def tokens(text: Column, base: Column) -> Column:
     """Array like ``seeds`` (kind -1) of tokens with a digit that touch no base span."""
-    free = F.filter(matches(text, TOKEN), lambda m: (F.length(m["text"]) >= LEAST_TOKEN)
-                    & ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    free = F.filter(matches(text, TOKEN), lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
     return F.transform(free, _as(-1))
 
 
-def _patterns(text: Column, start: Column, end: Column) -> Column:
+def _patterns(left: Column, right: Column) -> Column:
     """Hashes of the two lexical patterns around a span."""
-    room = F.least(start, F.lit(_SPACE))
     form = lambda c: F.regexp_replace(F.lower(c), "[0-9]", "0")
-    left = F.split(F.trim(form(F.substring(text, start - room + 1, room))), r"\s+", -1)
-    right = F.split(F.ltrim(form(F.substring(text, end + 1, F.lit(_SPACE)))), r"\s+", 2)
-    one = F.element_at(left, -1)
-    two = F.concat_ws(" ", F.get(left, F.size(left) - 2), one)
-    return F.array(F.xxhash64(F.lit("before"), two), F.xxhash64(F.lit("around"), one, F.get(right, F.lit(0))))
+    before = F.split(F.trim(form(left)), r"\s+", -1)
+    one = F.element_at(before, -1)
+    two = F.concat_ws(" ", F.get(before, F.size(before) - 2), one)
+    after = F.get(F.split(F.ltrim(form(right)), r"\s+", 2), F.lit(0))
+    return F.array(F.xxhash64(F.lit("before"), two), F.xxhash64(F.lit("around"), one, after))
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -134,7 +157,7 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     x = x.withColumn("_base", seeds(text)).withColumn("_free", tokens(text, F.col("_base")))
     occ = F.transform(F.concat("_base", "_free"), lambda s: F.struct(
         s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"),
-        F.xxhash64(F.lower(s["text"])).alias("inst"), _patterns(text, s["start"], s["end"]).alias("pats")))
+        F.xxhash64(F.lower(s["text"])).alias("inst"), _patterns(s["left"], s["right"]).alias("pats")))
     return x.select(*KEY, "_id", F.transform("_base", lambda s: F.struct(
         s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))).alias("_base"), occ.alias("_occ"))
 
