@@ -9,8 +9,11 @@ row. Both are avoided here:
 
 1. ``repartitionByRange(keys + order)`` spreads the rows in global order;
    range bounds are sampled over the full sort key, so one hot key is cut
-   over many partitions. Each partition is sorted and every row gets its
-   position inside the partition (``_pos``).
+   over many partitions. Each partition is sorted and every row gets the
+   partition's number (``_pid``) and its position inside (``_pos``). These
+   numbers depend on the sampled bounds and on how AQE coalesces, so they
+   are computed once and stored with the rows (``session.stored``); all
+   later steps read the stored numbers and cannot disagree.
 2. A *segment* is the run of one key inside one partition. Segment summaries
    are small (one row per key and partition) and are combined per key in
    partition order: at most one row per partition per key, a bound set by
@@ -31,21 +34,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 POS_BITS = 33  # monotonically_increasing_id keeps the row index in the low 33 bits
 DEFAULT_BLOCK = 4096
 
 
 def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
-    """Range-partition by (keys, order), sort inside partitions and add
-    ``_pid`` (partition index) and ``_pos`` (index inside the partition).
+    """Range-partition by (keys, order), sort inside partitions, add ``_pid``
+    (partition number) and ``_pos`` (index inside the partition) and store.
 
-    ``order`` must end in a unique column so that the order is total and a
-    retried task sees exactly the same positions.
+    ``order`` must end in a unique column so that the order is total.
     """
     sort_cols = [F.col(k) for k in keys] + [F.col(o) if isinstance(o, str) else o for o in order]
     x = df.repartitionByRange(*sort_cols).sortWithinPartitions(*sort_cols)
-    return x.select("*", F.spark_partition_id().alias("_pid"),
-                    F.monotonically_increasing_id().bitwiseAND((1 << POS_BITS) - 1).alias("_pos"))
+    return stored(x.select("*", F.spark_partition_id().alias("_pid"),
+                           F.monotonically_increasing_id().bitwiseAND((1 << POS_BITS) - 1).alias("_pos")), "positions")
 
 
 def prefix_count(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
@@ -100,8 +104,9 @@ def state_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: C
     Returns (rows, finals): ``rows`` = the ``payload`` columns of every row
     plus ``state_before``; ``finals`` = keys + ``final_state``.
 
-    Cost: two full shuffles (range partitioning, level-1 blocks); every
-    further exchange carries one row per block or fewer.
+    Cost: two full shuffles (range partitioning, level-1 blocks) and one
+    stored copy of the rows; every further exchange carries one row per
+    block or fewer.
     """
     ident = F.sequence(F.lit(0), F.lit(n_states - 1))
     order_cols = list(order)

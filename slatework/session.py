@@ -10,8 +10,9 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the operators rely on: AQE for runtime re-planning (coalescing,
 # skew splits, broadcast conversion from real sizes), UTC so dates and
@@ -64,3 +65,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="slatework-ckpt-", dir="/tmp")
     sc.setCheckpointDir(path)
     return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder and read it back, so
+    that everything built on it sees the same rows, also after a lost
+    executor. The files stay in a folder named after the application until
+    the platform clears the checkpoint folder."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/slatework-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

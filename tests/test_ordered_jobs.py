@@ -2,12 +2,14 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from slatework.operators import invites as I
 from slatework.operators import scan
 from slatework.operators import workflow as W
+from slatework.session import stored
 
 
 def _verdicts(df):
@@ -47,6 +49,55 @@ def test_prefix_count_on_a_hot_key(spark):
     assert a == b
 
 
+@pytest.fixture(params=[(8, "true"), (8, "false"), (200, "true"), (200, "false")], ids=str)
+def shuffle(spark, request):
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    for k, v in zip(keep, request.param, strict=True):
+        spark.conf.set(k, str(v))
+    yield
+    for k, v in keep.items():
+        spark.conf.set(k, v)
+
+
+def test_positions_of_wide_rows(spark, shuffle):
+    """Columns that only one branch of the plan reads must not change the numbering."""
+    df = spark.range(300_000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"),
+        (F.xxhash64("id") % 5000).alias("ts"), "id", F.repeat(F.lit("payload"), 3).alias("payload"))
+    got = scan.prefix_count(df, ["k"], ["ts", "id"])
+    ref = df.withColumn("want", F.row_number().over(Window.partitionBy("k").orderBy("ts", "id")) - 1).select("id", "want")
+    both = got.join(ref, "id", "full")
+    assert both.agg(F.count(F.lit(1)), F.sum(F.col("prior").eqNullSafe(F.col("want")).cast("int"))).first() == (300_000, 300_000)
+
+
+def test_replay_of_a_long_log_keeps_every_request(spark, shuffle):
+    """600,000 requests, a third of them on one item, against a window-free count."""
+    items = spark.range(2000).select("id", F.lit(1).alias("workspace_id"), F.lit("draft").alias("status"),
+                                     F.lit(dt.datetime(2026, 1, 1)).cast("timestamp_ntz").alias("updated_at"))
+    cycle = F.array(F.lit("review"), F.lit("draft"))
+    req = spark.range(600_000).select(
+        "id", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 2000).alias("content_item_id"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.floor(F.col("id") / 5)).cast("timestamp_ntz").alias("requested_at"))
+    seen = Window.partitionBy("content_item_id").orderBy("id")
+    turn = (F.row_number().over(seen) - 1) % 2  # review, draft, review, ...: all are allowed
+    req = stored(req.withColumn("to_status", F.get(cycle, turn.cast("int"))), "log")
+    v, _ = W.replay_transitions(items, req)
+    assert [tuple(r) for r in v.groupBy("verdict").count().collect()] == [("accepted", 600_000)]
+
+
+def test_claims_on_few_hot_tokens_use_the_whole_quota(spark, shuffle):
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id")).cast("timestamp_ntz")
+    claims = spark.range(200_000).select("id", F.concat(F.lit("t"), F.col("id") % 50).alias("token"),
+                                         F.col("id").alias("user_id"), at.alias("claimed_at"))
+    invites = spark.range(50).select("id", F.lit(1).cast("long").alias("workspace_id"), F.concat(F.lit("t"), F.col("id")).alias("token"),
+                                     F.lit(1000).alias("max_uses"), F.lit(0).alias("use_count"),
+                                     F.lit(dt.datetime(2030, 1, 1)).cast("timestamp_ntz").alias("expires_at"))
+    members = spark.createDataFrame([], "workspace_id long, user_id long, role string, joined_at timestamp_ntz")
+    v, m, inv = I.claim_invites(invites, members, claims)
+    assert {r.verdict: r["count"] for r in v.groupBy("verdict").count().collect()} == {"accepted": 50_000, "unusable": 150_000}
+    assert v.filter("verdict = 'accepted'").agg(F.max("id")).first()[0] == 49_999  # the first thousand of each token
+
+
 def test_state_scan_on_a_hot_key(spark):
     # a 3-state counter mod 3 with resets: order matters, one key holds most rows
     rows = [("hot" if i % 7 else "cold", i, i % 4) for i in range(2000)]
