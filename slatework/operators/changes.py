@@ -369,76 +369,76 @@ def delete_comments(comments: DataFrame, items: DataFrame, requests: DataFrame)
 
 
 # M12 -----------------------------------------------------------------------
-def cascade_delete(tables: dict[str, DataFrame], removed: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Follow ON DELETE CASCADE / SET NULL from removed parent rows.
+_TOUCHED = {
+    "workspaces": {"workspaces", "memberships", "workspace_invites", "clients", "content_items", "comments", "tasks"},
+    "users": {"users", "memberships", "workspace_invites", "content_items", "comments", "tasks"},
+    "clients": {"clients", "content_items", "tasks"},
+    "content_items": {"content_items", "comments", "tasks"},
+}
+
+
+def cascade_delete(tables: dict[str, DataFrame], removed: dict[str, DataFrame]
+                   ) -> tuple[dict[str, DataFrame], DataFrame | None]:
+    """Follow the delete rules from removed parent rows.
 
     ``removed`` maps 'workspaces', 'users', 'clients', 'content_items' to
-    frames with the removed ``id`` values. Children of a removed workspace
-    are removed (memberships, invites, clients, content items, tasks), and
-    so are memberships of removed users and comments of removed items;
+    frames with the removed ``id`` values; ``tables`` has the names of
+    ``read_tables``, and a table that a removal touches must be there.
+    Children of a removed workspace are removed (memberships, invites,
+    clients, content items with their comments, tasks), and so are
+    memberships and invites of removed users and comments of removed items;
     references to removed clients, items and users in content items and
-    tasks are set to null. Returns the surviving tables.
+    tasks are set to null. A user who created a surviving item or wrote a
+    surviving comment cannot be removed (those references have no delete
+    action). Returns (surviving tables, verdicts); verdicts has a row per user
+    to be removed ('accepted' or 'in_use'), and is None without users.
     """
-    def ids(name):
-        return removed[name].select("id").distinct() if name in removed else None
-
-    def drop_children(df, col, parent):
-        key = ids(parent)
-        if key is None:
-            return df
-        return df.join(key.withColumnRenamed("id", "_pid"), F.col(col) == F.col("_pid"), "left_anti")
-
-    def null_refs(df, col, parent):
-        key = ids(parent)
-        if key is None:
-            return df
-        k = key.select(F.col("id").alias("_rid"), F.lit(True).alias("_gone"))
-        return (df.join(k, F.col(col) == F.col("_rid"), "left")
-                .withColumn(col, F.when(F.col("_gone").isNull(), F.col(col))).drop("_rid", "_gone"))
-
-    # removing a workspace also removes its clients and items, whose own
-    # cascades then apply
-    gone_items = ids("content_items")
-    if "workspaces" in removed and "content_items" in tables:
-        by_ws = tables["content_items"].join(ids("workspaces").withColumnRenamed("id", "workspace_id"),
-                                             "workspace_id", "left_semi").select("id")
-        gone_items = by_ws if gone_items is None else gone_items.unionByName(by_ws)
-    gone_clients = ids("clients")
-    if "workspaces" in removed and "clients" in tables:
-        by_ws = tables["clients"].join(ids("workspaces").withColumnRenamed("id", "workspace_id"),
-                                       "workspace_id", "left_semi").select("id")
-        gone_clients = by_ws if gone_clients is None else gone_clients.unionByName(by_ws)
-    rem = dict(removed)
-    if gone_items is not None:
-        rem["content_items"] = gone_items
-    if gone_clients is not None:
-        rem["clients"] = gone_clients
-    removed = rem
+    unknown = set(removed) - set(_TOUCHED)
+    if unknown:
+        raise KeyError(f"no delete rules for {sorted(unknown)}")
+    C.require(tables, set().union(*(_TOUCHED[k] for k in removed)))
+    gone = {k: v.select("id").distinct() for k, v in removed.items()}
+
+    def drop(name, col, parent):
+        if parent in gone:
+            key = gone[parent].withColumnRenamed("id", "_pid")
+            out[name] = out[name].join(key, F.col(col) == F.col("_pid"), "left_anti")
+
+    def clear(name, col, parent):
+        if parent in gone:
+            key = gone[parent].select(F.col("id").alias("_rid"), F.lit(True).alias("_gone"))
+            out[name] = (out[name].join(key, F.col(col) == F.col("_rid"), "left")
+                         .withColumn(col, F.when(F.col("_gone").isNull(), F.col(col))).drop("_rid", "_gone"))
 
     out = dict(tables)
-    if "workspaces" in out:
-        out["workspaces"] = drop_children(out["workspaces"], "id", "workspaces")
-    if "users" in out:
-        out["users"] = drop_children(out["users"], "id", "users")
-    if "memberships" in out:
-        out["memberships"] = drop_children(drop_children(out["memberships"], "workspace_id", "workspaces"),
-                                           "user_id", "users")
-    if "invites" in out:
-        inv = drop_children(out["invites"], "workspace_id", "workspaces")
-        out["invites"] = drop_children(inv, "created_by", "users") if "created_by" in inv.columns else inv
-    if "clients" in out:
-        out["clients"] = drop_children(out["clients"], "id", "clients")
-    if "content_items" in out:
-        ci = drop_children(out["content_items"], "id", "content_items")
-        out["content_items"] = null_refs(ci, "client_id", "clients")
-    if "comments" in out:
-        out["comments"] = drop_children(out["comments"], "content_item_id", "content_items")
-    if "tasks" in out:
-        t = drop_children(out["tasks"], "workspace_id", "workspaces")
-        t = null_refs(null_refs(null_refs(t, "client_id", "clients"), "content_item_id", "content_items"),
-                      "assignee_id", "users")
-        out["tasks"] = t
-    return out
+    # a removed workspace takes its clients and items along, whose own rules then apply
+    if "workspaces" in gone:
+        for name in ("clients", "content_items"):
+            inside = tables[name].join(gone["workspaces"].withColumnRenamed("id", "workspace_id"), "workspace_id",
+                                       "left_semi").select("id")
+            gone[name] = gone[name].unionByName(inside).distinct() if name in gone else inside
+    drop("workspaces", "id", "workspaces")
+    drop("clients", "id", "clients")
+    drop("content_items", "id", "content_items")
+    clear("content_items", "client_id", "clients")
+    drop("comments", "content_item_id", "content_items")
+    verdicts = None
+    if "users" in gone:
+        owners = out["content_items"].select(F.col("created_by").alias("_owner")).unionByName(
+            out["comments"].select(F.col("author_id").alias("_owner"))).distinct()
+        verdicts = gone["users"].join(owners, F.col("id") == F.col("_owner"), "left").select(
+            "id", F.when(F.col("_owner").isNull(), F.lit(ACCEPTED)).otherwise(F.lit("in_use")).alias("verdict"))
+        gone["users"] = verdicts.filter(F.col("verdict") == ACCEPTED).select("id")
+    drop("users", "id", "users")
+    for name in ("memberships", "workspace_invites", "tasks"):
+        drop(name, "workspace_id", "workspaces")
+    drop("memberships", "user_id", "users")
+    if "users" in gone and "created_by" in out["workspace_invites"].columns:
+        drop("workspace_invites", "created_by", "users")
+    clear("tasks", "client_id", "clients")
+    clear("tasks", "content_item_id", "content_items")
+    clear("tasks", "assignee_id", "users")
+    return out, verdicts
 
 
 # M13 -----------------------------------------------------------------------
@@ -613,12 +613,22 @@ def add_comments(comments: DataFrame, items: DataFrame, requests: DataFrame) ->
 def issue_invites(invites: DataFrame, memberships: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """requests: id, actor_id, workspace_id, token, max_uses,
     expires_in_hours, requested_at. Admin only; max_uses <= 0 means 10,
-    hours <= 0 mean 7 days. The token is supplied by the caller."""
-    g = _admin_checks(requests, memberships)
+    hours <= 0 mean 7 days. The token is supplied by the caller and unique:
+    one that a stored invite or an earlier accepted request has is a conflict."""
+    held = invites.select(F.col("token").alias("_held")).distinct()
+    g = _admin_checks(requests, memberships).join(held, F.col("token") == F.col("_held"), "left")
     verdict, field = first_failure([
         (F.col("_actor_role").isNull(), "not_found", "workspace"),
         (F.col("_actor_role") != "admin", "forbidden", "role"),
+        (F.col("_held").isNotNull(), "conflict", "token"),
     ])
+    g = g.withColumns({"_v": verdict, "_f": field})
+    # the earliest request that passes takes the token
+    passing = F.when(F.col("_v") == ACCEPTED, F.struct("requested_at", "id"))
+    won = g.groupBy("token").agg(F.min(passing).alias("_won")).withColumnRenamed("token", "_tk")
+    g = g.join(won, F.col("token").eqNullSafe(F.col("_tk")), "left")
+    late = (F.col("_v") == ACCEPTED) & F.col("token").isNotNull() & (F.struct("requested_at", "id") != F.col("_won"))
+    verdict, field = F.when(late, "conflict").otherwise(F.col("_v")), F.when(late, "token").otherwise(F.col("_f"))
     verdicts = g.select(*requests.columns, verdict.alias("verdict"), field.alias("field"),
                         X.invite_max_uses("max_uses").alias("effective_max_uses"),
                         X.invite_expires_at("requested_at", "expires_in_hours").alias("expires_at"))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import enums as E
+from ..sources.schemas import TABLE_NAMES
 from . import reads as R
 
 
@@ -108,6 +109,15 @@ def dup_clients(clients: DataFrame) -> DataFrame:
             .filter(F.col("clients") > 1))
 
 
+def require(tables: dict[str, DataFrame], names: set[str]) -> None:
+    """Raise unless ``tables`` (named as ``read_tables`` names them) holds exactly known names
+    and all of ``names``: an audit never skips a table in silence."""
+    unknown = set(tables) - set(TABLE_NAMES)
+    missing = names - set(tables)
+    if unknown or missing:
+        raise KeyError(f"tables missing: {sorted(missing)}, unknown: {sorted(unknown)}")
+
+
 # Q2 ------------------------------------------------------------------------
 def dup_keys(tables: dict[str, DataFrame]) -> DataFrame:
     """Keys that occur more than once: primary keys, emails, tokens and
@@ -120,13 +130,12 @@ def dup_keys(tables: dict[str, DataFrame]) -> DataFrame:
     specs = [("users", "id", [F.col("id")]), ("users", "email", [F.col("email")]),
              ("workspaces", "id", [F.col("id")]), ("clients", "id", [F.col("id")]),
              ("content_items", "id", [F.col("id")]), ("comments", "id", [F.col("id")]),
-             ("tasks", "id", [F.col("id")]), ("invites", "id", [F.col("id")]),
-             ("invites", "token", [F.col("token")]),
+             ("tasks", "id", [F.col("id")]), ("workspace_invites", "id", [F.col("id")]),
+             ("workspace_invites", "token", [F.col("token")]),
              ("memberships", "workspace_id,user_id", [F.col("workspace_id"), F.col("user_id")])]
+    require(tables, {t for t, _, _ in specs})
     parts = []
     for table, key, cols in specs:
-        if table not in tables:
-            continue
         value = F.concat_ws(",", *[c.cast("string") for c in cols])
         parts.append(tables[table].select(F.lit(table).alias("table_name"), F.lit(key).alias("key_name"),
                                           value.alias("value")))
@@ -154,7 +163,7 @@ def bad_enums(specs: list[tuple[DataFrame, str, str, str]]) -> DataFrame:
 FOREIGN_KEYS = [
     ("memberships", "user_id", "workspace_id", "workspaces", "id"),
     ("memberships", "workspace_id", "user_id", "users", "id"),
-    ("invites", "id", "workspace_id", "workspaces", "id"),
+    ("workspace_invites", "id", "workspace_id", "workspaces", "id"),
     ("clients", "id", "workspace_id", "workspaces", "id"),
     ("content_items", "id", "workspace_id", "workspaces", "id"),
     ("content_items", "id", "client_id", "clients", "id"),
@@ -171,10 +180,9 @@ FOREIGN_KEYS = [
 def orphans(tables: dict[str, DataFrame]) -> DataFrame:
     """References whose parent row does not exist (null references are fine).
     Rows: child table, reference column, child key, missing value."""
+    require(tables, {t for k in FOREIGN_KEYS for t in (k[0], k[3])})
     parts = []
     for child, ckey, ref, parent, pkey in FOREIGN_KEYS:
-        if child not in tables or parent not in tables:
-            continue
         c = tables[child].filter(F.col(ref).isNotNull())
         p = tables[parent].select(F.col(pkey).alias("_pk"))
         parts.append(c.join(p, c[ref] == p["_pk"], "left_anti")
@@ -202,7 +210,7 @@ NOT_NULL = {
     "users": ["id", "email", "name"],
     "workspaces": ["id", "name"],
     "memberships": ["workspace_id", "user_id", "role"],
-    "invites": ["id", "workspace_id", "token", "max_uses", "use_count", "expires_at"],
+    "workspace_invites": ["id", "workspace_id", "token", "max_uses", "use_count", "expires_at"],
     "clients": ["id", "workspace_id", "name", "active"],
     "content_items": ["id", "workspace_id", "title", "platform", "content_type", "status"],
     "comments": ["id", "content_item_id", "body"],
@@ -213,10 +221,9 @@ NOT_NULL = {
 def null_violations(tables: dict[str, DataFrame]) -> DataFrame:
     """Nulls in NOT NULL columns: one aggregate pass per table, then the
     counts unpivoted to (table, column, nulls) rows."""
+    require(tables, set(NOT_NULL))
     parts = []
     for table, cols in NOT_NULL.items():
-        if table not in tables:
-            continue
         df = tables[table]
         cols = [c for c in cols if c in df.columns]
         agg = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols])

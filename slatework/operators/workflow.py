@@ -59,13 +59,22 @@ def _verdict_columns(enum_ok: Column, found: Column, allowed: Column) -> Column:
 
 
 def apply_transitions(items: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """M3: one status request per item, judged against the stored status.
+    """M3: status requests, judged against the stored status of their item.
 
     ``requests``: id, content_item_id, to_status, requested_at and optional
     workspace_id (then an item of another workspace is not found). Returns
-    (verdicts, new items). The caller passes at most one request per item;
-    logs with several go to ``replay_transitions``.
+    (verdicts, new items). Requests for an item with only one are judged in
+    one pass; those for an item with several go through ``replay_transitions``,
+    so each sees the status that the one before it left.
     """
+    several = requests.groupBy("content_item_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("content_item_id")
+    verdicts, changed = _apply_single(items, requests.join(several, "content_item_id", "left_anti").select(requests.columns))
+    more, changed = replay_transitions(changed, requests.join(several, "content_item_id", "left_semi").select(requests.columns))
+    return verdicts.unionByName(more), changed
+
+
+def _apply_single(items: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``apply_transitions`` where no item has two requests."""
     scoped = "workspace_id" in requests.columns
     r = _attach_items(requests, items, scoped)
     enum_ok = X.enum_ok("to_status", "status")

@@ -2,18 +2,9 @@
 
 from __future__ import annotations
 
-from . import read_queries  # noqa: F401
+from . import change_queries, check_queries, function_queries, read_queries, stream_queries  # noqa: F401
 from .registry import ORACLE, QUERIES
 
-_OPTIONAL = []
-for _mod in ("check_queries", "change_queries", "function_queries", "stream_queries"):
-    try:
-        __import__(f"{__package__}.{_mod}")
-    except ModuleNotFoundError as e:  # module not written yet
-        if _mod not in str(e):
-            raise
-        _OPTIONAL.append(_mod)
-
 
 def queries():
     return dict(QUERIES)

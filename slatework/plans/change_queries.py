@@ -12,25 +12,6 @@ from .sqltext import in_list, valid_transition
 _STATUSES = in_list(E.STATUSES)
 
 
-@register("apply_transitions", uses=("transition_requests", "content_items"), sql=f"""
-with f as (select * from (select *, row_number() over (partition by content_item_id order by requested_at, id) as rk
-                          from transition_requests) where rk = 1)
-select f.id, f.content_item_id, f.to_status,
-  case when f.to_status in {_STATUSES} then i.status end as from_status,
-  case when f.to_status not in {_STATUSES} then 'invalid_enum' when i.id is null then 'not_found'
-       when {valid_transition('i.status', 'f.to_status')} then 'accepted' else 'invalid_transition' end as verdict
-from f left join content_items i on i.id = f.content_item_id""")
-def apply_transitions(fx):
-    """M3: the first status request of each item, judged against its stored status."""
-    req = fx.transition_requests
-    first = (req.groupBy("content_item_id")
-             .agg(F.min(F.struct("requested_at", "id", "to_status")).alias("_r"))
-             .select(F.col("_r.id").alias("id"), "content_item_id", F.col("_r.to_status").alias("to_status"),
-                     F.col("_r.requested_at").alias("requested_at")))
-    verdicts, _ = W.apply_transitions(fx.content_items, first)
-    return verdicts.select("id", "content_item_id", "to_status", "from_status", "verdict")
-
-
 _REPLAY_SQL = f"""
 with recursive r as (
   select t.id, t.content_item_id, t.to_status, i.status as item_status,
@@ -55,6 +36,13 @@ from transition_requests t left join content_items i on i.id = t.content_item_id
 where t.to_status not in {_STATUSES} or i.id is null"""
 
 
+@register("apply_transitions", uses=("transition_requests", "content_items"), sql=_REPLAY_SQL)
+def apply_transitions(fx):
+    """M3: all status requests, judged against stored statuses (several for one item: in time order)."""
+    verdicts, _ = W.apply_transitions(fx.content_items, fx.transition_requests)
+    return verdicts.select("id", "content_item_id", "to_status", "from_status", "verdict")
+
+
 @register("replay_transitions", uses=("transition_requests", "content_items"), sql=_REPLAY_SQL)
 def replay_transitions(fx):
     """M4: the whole request log in time order, each request judged against
@@ -315,7 +303,14 @@ def delete_comments(fx):
     return v.select("id", "comment_id", "verdict")
 
 
-@register("cascade_delete", uses=("tasks", "workspaces", "clients", "content_items"), sql="""
+_ALL = ("users", "workspaces", "memberships", "invites", "clients", "content_items", "comments", "tasks")
+
+
+def _entities(fx):
+    return {"workspace_invites" if n == "invites" else n: fx[n] for n in _ALL}
+
+
+@register("cascade_delete", uses=_ALL, sql="""
 with gw as (select id from workspaces where deleted_at is not null),
 gc as (select id from clients where deleted_at is not null
        union select id from clients where workspace_id in (select id from gw)),
@@ -330,12 +325,33 @@ def cascade_delete(fx):
     references to removed rows set to null."""
     removed = {"workspaces": fx.workspaces.filter(F.col("deleted_at").isNotNull()).select("id"),
                "clients": fx.clients.filter(F.col("deleted_at").isNotNull()).select("id")}
-    tables = {"tasks": fx.tasks, "content_items": fx.content_items, "clients": fx.clients,
-              "workspaces": fx.workspaces}
-    out = M.cascade_delete(tables, removed)
+    out, _ = M.cascade_delete(_entities(fx), removed)
     return out["tasks"].select("id", "workspace_id", "client_id", "content_item_id", "assignee_id")
 
 
+_GONE_USERS = """
+with gone as (select u.id, case when u.id in (select created_by from content_items where created_by is not null)
+                or u.id in (select author_id from comments where author_id is not null)
+                then 'in_use' else 'accepted' end as verdict
+              from (select distinct id from users where id % 3 = 0) u)"""
+
+
+@register("cascade_users", uses=_ALL, sql=_GONE_USERS + " select * from gone")
+def cascade_users(fx):
+    """Users who created items or wrote comments cannot be removed."""
+    _, verdicts = M.cascade_delete(_entities(fx), {"users": fx.users.filter("id % 3 = 0").select("id")})
+    return verdicts
+
+
+@register("cascade_users_state", uses=_ALL, sql=_GONE_USERS + """
+select t.id, case when t.assignee_id in (select id from gone where verdict = 'accepted') then null else t.assignee_id end
+  as assignee_id from tasks t""")
+def cascade_users_state(fx):
+    """Tasks after the removal of users: references to removed ones are null."""
+    out, _ = M.cascade_delete(_entities(fx), {"users": fx.users.filter("id % 3 = 0").select("id")})
+    return out["tasks"].select("id", "assignee_id")
+
+
 @register("write_tasks", uses=("task_requests", "tasks", "clients", "content_items", "memberships"), sql=f"""
 with r as (select q.*, t.id as tid,
              case when q.kind = 'toggle' then t.client_id else q.client_id end as e_client,
@@ -410,21 +426,41 @@ def add_comments(fx):
     return v.select("id", "content_item_id", "verdict", "field")
 
 
-@register("issue_invites", uses=("invite_requests", "memberships"), sql=f"""
-select r.id, r.workspace_id, {_chain([
+_INVITES_SQL = f"""
+with j as (
+  select r.*, {_chain([
     ("m.role is null", "not_found", "workspace"),
-    ("m.role <> 'admin'", "forbidden", "role")])},
-  cast(case when r.max_uses is null or r.max_uses <= 0 then {E.DEFAULT_INVITE_MAX_USES} else r.max_uses end as integer)
+    ("m.role <> 'admin'", "forbidden", "role"),
+    ("r.token in (select token from invites where token is not null)", "conflict", "token")])}
+  from invite_requests r left join memberships m on m.workspace_id = r.workspace_id and m.user_id = r.actor_id),
+k as (select *, verdict = 'accepted' and token is not null
+               and row_number() over (partition by token, verdict order by requested_at, id) > 1 as late from j),
+v as (select id, workspace_id, actor_id, token, requested_at,
+  case when late then 'conflict' else verdict end as verdict, case when late then 'token' else field end as field,
+  cast(case when max_uses is null or max_uses <= 0 then {E.DEFAULT_INVITE_MAX_USES} else max_uses end as integer)
     as effective_max_uses,
-  r.requested_at + (case when r.expires_in_hours is null or r.expires_in_hours <= 0 then {E.DEFAULT_INVITE_HOURS}
-                         else r.expires_in_hours end) * interval '1 hour' as expires_at
-from invite_requests r left join memberships m on m.workspace_id = r.workspace_id and m.user_id = r.actor_id""")
+  requested_at + (case when expires_in_hours is null or expires_in_hours <= 0 then {E.DEFAULT_INVITE_HOURS}
+                       else expires_in_hours end) * interval '1 hour' as expires_at
+  from k)"""
+
+
+@register("issue_invites", uses=("invite_requests", "memberships", "invites"), sql=_INVITES_SQL + """
+select id, workspace_id, verdict, field, effective_max_uses, expires_at from v""")
 def issue_invites(fx):
-    """Admins issue invites with default quota and lifetime."""
+    """Admins issue invites with default quota and lifetime; tokens stay unique."""
     v, _ = M.issue_invites(fx.invites, fx.memberships, fx.invite_requests)
     return v.select("id", "workspace_id", "verdict", "field", "effective_max_uses", "expires_at")
 
 
+@register("issue_invites_state", uses=("invite_requests", "memberships", "invites"), sql=_INVITES_SQL + """
+select id, workspace_id, token, max_uses, use_count, expires_at from invites
+union all select id, workspace_id, token, effective_max_uses, 0, expires_at from v where verdict = 'accepted'""")
+def issue_invites_state(fx):
+    """The invites after the batch."""
+    _, out = M.issue_invites(fx.invites, fx.memberships, fx.invite_requests)
+    return out.select("id", "workspace_id", "token", "max_uses", "use_count", "expires_at")
+
+
 # ---- one key per request kind (SURVEY names) --------------------------------
 # Each runs the same job on the requests of one kind only; the oracle is the
 # combined one with its request table narrowed the same way.

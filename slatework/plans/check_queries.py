@@ -10,8 +10,11 @@ from .sqltext import in_list
 ENTITY_FIXTURES = ("users", "workspaces", "memberships", "invites", "clients", "content_items", "comments", "tasks")
 
 
+_NAME = {"workspace_invites": "invites"}  # read_tables' names -> fixtures
+
+
 def _tables(fx):
-    return {n: fx[n] for n in ENTITY_FIXTURES}
+    return {"workspace_invites" if n == "invites" else n: fx[n] for n in ENTITY_FIXTURES}
 
 
 _LIVE_CLIENT_KEYS = "(select distinct id, workspace_id from clients where deleted_at is null)"
@@ -75,13 +78,13 @@ def dup_clients(fx):
     return C.dup_clients(fx.clients)
 
 
-def _dup_sql():
+def _dup_sql(suffix=""):
     specs = [("users", "id", "id"), ("users", "email", "email"), ("workspaces", "id", "id"), ("clients", "id", "id"),
-             ("content_items", "id", "id"), ("comments", "id", "id"), ("tasks", "id", "id"), ("invites", "id", "id"),
-             ("invites", "token", "token"),
+             ("content_items", "id", "id"), ("comments", "id", "id"), ("tasks", "id", "id"), ("workspace_invites", "id", "id"),
+             ("workspace_invites", "token", "token"),
              ("memberships", "workspace_id,user_id", "concat_ws(',', cast(workspace_id as varchar), cast(user_id as varchar))")]
     parts = [f"select '{t}' as table_name, '{k}' as key_name, cast({e} as varchar) as value, count(*) as occurrences "
-             f"from {t} group by 3 having count(*) > 1" for t, k, e in specs]
+             f"from {_NAME.get(t, t)}{suffix} group by 3 having count(*) > 1" for t, k, e in specs]
     return "\nunion all\n".join(parts)
 
 
@@ -91,6 +94,26 @@ def dup_keys(fx):
     return C.dup_keys(_tables(fx))
 
 
+def _twice(name):
+    """Every 97th row of a table once more."""
+    key = {"memberships": "user_id", "tasks": "length(id)"}.get(name, "id")
+    return f"select * from {name} union all select * from {name} where {key} % {11 if name == 'tasks' else 97} = 0"
+
+
+_DUP_FOUND = "with " + ",\n".join(f"{n}_twice as ({_twice(n)})" for n in ENTITY_FIXTURES) + "\n" + "\nunion all\n".join(
+    p for p in _dup_sql(suffix="_twice").split("\nunion all\n"))
+
+
+@register("dup_keys_found", uses=ENTITY_FIXTURES, sql=_DUP_FOUND)
+def dup_keys_found(fx):
+    """Q2 on tables in which some rows stand twice: every repeated key is reported."""
+    twice = {}
+    for name, df in _tables(fx).items():
+        key = {"memberships": "user_id", "tasks": "length(id)"}.get(name, "id")
+        twice[name] = df.unionAll(df.filter(f"{key} % {11 if name == 'tasks' else 97} = 0"))
+    return C.dup_keys(twice)
+
+
 _ENUM_SPECS = [("content_items", "status", "status"), ("content_items", "platform", "platform"),
                ("content_items", "content_type", "content_type"), ("memberships", "role", "role"),
                ("transition_requests", "to_status", "status"), ("content_drafts", "platform", "platform"),
@@ -112,7 +135,7 @@ def bad_enums(fx):
 
 def _orphan_sql():
     parts = [f"select '{ch}' as table_name, '{ref}' as column_name, cast(c.{ck} as varchar) as row_key, "
-             f"cast(c.{ref} as varchar) as missing from {ch} c where c.{ref} is not null and not exists "
+             f"cast(c.{ref} as varchar) as missing from {_NAME.get(ch, ch)} c where c.{ref} is not null and not exists "
              f"(select 1 from {pa} p where p.{pk} = c.{ref})" for ch, ck, ref, pa, pk in C.FOREIGN_KEYS]
     return "\nunion all\n".join(parts)
 
@@ -143,7 +166,7 @@ def cross_tenant_refs(fx):
 
 
 def _null_sql():
-    parts = [f"select '{t}' as table_name, '{c}' as column_name, count(*) filter (where {c} is null) as nulls from {t}"
+    parts = [f"select '{t}' as table_name, '{c}' as column_name, count(*) filter (where {c} is null) as nulls from {_NAME.get(t, t)}"
              for t, cols in C.NOT_NULL.items() for c in cols]
     return "\nunion all\n".join(parts)
 

@@ -213,7 +213,8 @@ select event_id as id, event_id % 25 as workspace_id, (event_id * 7) % 60000 as
 from {events}""",
     "invite_requests": """
 select p_partkey as id, (p_partkey % 40) + 1 as actor_id, p_partkey % 25 as workspace_id,
-       concat('new-', cast(p_partkey as string)) as token,
+       case when p_partkey % 9 = 0 then concat('tok-', cast(p_partkey as string))
+            else concat('new-', cast(cast(floor(p_partkey / 2.0) as bigint) as string)) end as token,
        cast(p_size % 4 - 1 as int) as max_uses, cast(p_size % 5 * 24 - 24 as int) as expires_in_hours,
        cast('2024-05-01' as {TS}) + (p_partkey % 97) * interval '1' hour as requested_at
 from {part}""",
