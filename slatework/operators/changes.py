@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from ..functions import enums as E
 from ..functions import scalars as X
 from . import checks as C
+from . import scan
 from . import reads as R
+from . import scan
 
 ACCEPTED = "accepted"
 
@@ -451,34 +453,41 @@ def write_tasks(tasks: DataFrame, requests: DataFrame, clients: DataFrame, items
     due_date (text), done, content_item_id, client_id, requested_at.
     create: title -> due_date -> client -> content item -> assignee.
     update: title -> due_date -> not found -> client -> content item -> assignee.
-    toggle: not found -> the stored references pass the same guards, done flipped.
+    toggle: not found -> the references the task has by then (those of the
+    last accepted update before it in (requested_at, id) order, else the
+    stored ones) pass the same guards, done flipped.
     New tasks take the request id (as text).
     """
+    refs = ("client_id", "content_item_id", "assignee_id")
     t = tasks.select(F.col("id").alias("_tid"), F.col("workspace_id").alias("_tws"),
-                     *[(F.col(c) if c in tasks.columns else F.lit(None)).alias(f"_s_{c}")
-                       for c in ("assignee_id", "content_item_id", "client_id")])
+                     F.struct(*[(F.col(c) if c in tasks.columns else F.lit(None)).alias(c) for c in refs]).alias("_stored"))
     r = requests.join(t, (F.col("task_key") == F.col("_tid")) & (F.col("workspace_id") == F.col("_tws")), "left")
     is_toggle = F.col("kind") == "toggle"
-    # the values that go through the guards: stored ones for a toggle
-    eff = {c: F.when(is_toggle, F.col(f"_s_{c}")).otherwise(F.col(c)) for c in
-           ("client_id", "content_item_id", "assignee_id")}
-    r = r.withColumns({f"_e_{c}": v for c, v in eff.items()})
-    g = C.task_ref_check(r, clients, items, memberships, client_col="_e_client_id",
-                         item_col="_e_content_item_id", assignee_col="_e_assignee_id")
-    g = _with_date_checks(g, "due_date")
     creating = F.col("kind") == "create"
-    missing = ~creating & F.col("_tid").isNull()
-    verdict, field = first_failure([
-        (~is_toggle & _blank("title"), "required", "title"),
-        (~is_toggle & _bad_date("due_date"), "invalid_format", "due_date"),
-        (missing, "not_found", "task"),
-        (~F.col("client_ok"), "invalid_reference", "client_id"),
-        (~F.col("content_item_ok"), "invalid_reference", "content_item_id"),
-        (~F.col("assignee_ok"), "invalid_reference", "assignee_id"),
-    ])
-    g = g.withColumn("verdict", verdict).withColumn("field", field)
-    verdicts = g.select(*requests.columns, "verdict", "field")
-    acc = g.filter(F.col("verdict") == ACCEPTED)
+
+    def judged(rows: DataFrame) -> DataFrame:
+        """Guards on the references in ``_refs``."""
+        rows = rows.withColumns({f"_e_{c}": F.col(f"_refs.{c}") for c in refs})
+        g = C.task_ref_check(rows, clients, items, memberships, client_col="_e_client_id",
+                             item_col="_e_content_item_id", assignee_col="_e_assignee_id")
+        g = _with_date_checks(g, "due_date")
+        verdict, field = first_failure([
+            (~is_toggle & _blank("title"), "required", "title"),
+            (~is_toggle & _bad_date("due_date"), "invalid_format", "due_date"),
+            (~creating & F.col("_tid").isNull(), "not_found", "task"),
+            (~F.col("client_ok"), "invalid_reference", "client_id"),
+            (~F.col("content_item_ok"), "invalid_reference", "content_item_id"),
+            (~F.col("assignee_ok"), "invalid_reference", "assignee_id"),
+        ])
+        return g.select(*requests.columns, verdict.alias("verdict"), field.alias("field"))
+
+    writes = judged(r.filter(~is_toggle | F.col("kind").isNull()).withColumn("_refs", F.struct(*refs)))
+    updates = writes.filter((F.col("kind") == "update") & (F.col("verdict") == ACCEPTED)).select(
+        "task_key", "workspace_id", "requested_at", "id", "kind", F.struct(*refs).alias("_new"))
+    line = r.filter(is_toggle).select(*requests.columns, "_tid", "_stored").unionByName(updates, allowMissingColumns=True)
+    toggles = scan.last_before(line, ["task_key", "workspace_id"], ["requested_at", "id"], "_new", "_before").filter(is_toggle)
+    verdicts = writes.unionByName(judged(toggles.withColumn("_refs", F.coalesce("_before", "_stored"))))
+    acc = verdicts.filter(F.col("verdict") == ACCEPTED)
     due = X.parse_strict_date(X.empty_to_null("due_date"))
     created = acc.filter(creating).select(
         F.col("id").cast("string").alias("id"), "workspace_id", "title",

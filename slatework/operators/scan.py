@@ -52,6 +52,15 @@ def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column])
                            F.monotonically_increasing_id().bitwiseAND((1 << POS_BITS) - 1).alias("_pos")), "positions")
 
 
+def _join_segments(x: DataFrame, seg: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Bring per-segment columns back to the rows; null keys are keys like others."""
+    seg = seg.withColumnsRenamed({k: f"_seg_{i}" for i, k in enumerate([*keys, "_pid"])})
+    same = F.lit(True)
+    for i, k in enumerate([*keys, "_pid"]):
+        same = same & F.col(k).eqNullSafe(F.col(f"_seg_{i}"))
+    return x.join(seg, same, "inner").drop(*[f"_seg_{i}" for i in range(len(keys) + 1)])
+
+
 def prefix_count(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
                  out: str = "prior") -> DataFrame:
     """Add ``out`` = number of rows with the same keys that come earlier in
@@ -61,11 +70,27 @@ def prefix_count(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colum
     seg = x.groupBy(*keys, "_pid").agg(F.min("_pos").alias("_p0"), F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     seg = seg.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
-    y = x.join(seg, [*keys, "_pid"], "inner")
+    y = _join_segments(x, seg, keys)
     return y.withColumn(out, (F.col("_off") + F.col("_pos") - F.col("_p0")).cast("bigint")).drop(
         "_pid", "_pos", "_p0", "_off")
 
 
+def last_before(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], value: str, out: str) -> DataFrame:
+    """Add ``out`` = the last non-null ``value`` among the rows with the same
+    keys that come earlier in ``order`` (null if there is none).
+
+    Inside a segment a window looks back; across segments one row per key and
+    partition carries the last value on, so a hot key is not one task.
+    """
+    x = positions(df, keys, order)
+    seg = x.groupBy(*keys, "_pid").agg(F.max(F.when(F.col(value).isNotNull(), F.struct("_pos", value))).alias("_last"))
+    w = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    seg = seg.select(*keys, "_pid", F.last(F.col(f"_last.{value}"), ignorenulls=True).over(w).alias("_carried"))
+    here = Window.partitionBy(*keys, "_pid").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
+    y = _join_segments(x, seg, keys).withColumn(out, F.coalesce(F.last(value, ignorenulls=True).over(here), "_carried"))
+    return y.drop("_pid", "_pos", "_carried")
+
+
 def _compose(a: Column, b: Column) -> Column:
     """Function vectors: apply ``a`` then ``b``."""
     return F.transform(a, lambda s: F.element_at(b, s + 1))
