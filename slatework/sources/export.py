@@ -25,21 +25,23 @@ def write_snapshot(df: DataFrame, root: str, table: str, version: str | None = N
     """Write ``df`` as a new version of ``table`` under ``root`` and return its path.
 
     Partitioning by ``workspace_id`` lets tenant-scoped reads prune whole
-    directories; ``repartition`` on the same column first keeps the number
-    of files per tenant small.
+    directories; a rebalance on the same column first keeps the number of
+    files per tenant small, while AQE splits a tenant beyond the advisory
+    partition size over several tasks and files.
     """
     version = version or uuid.uuid4().hex
     path = f"{root.rstrip('/')}/{table}/v={version}"
     w = df
     if partition_by and partition_by in df.columns:
-        w = df.repartition(partition_by).write.partitionBy(partition_by)
+        w = df.hint("rebalance", partition_by).write.partitionBy(partition_by)
     else:
         w = df.write
     w.mode("errorifexists").parquet(path)
     return path
 
 
-def calendar_json(month_items: DataFrame, day_counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+def calendar_json(month_items: DataFrame, day_counts: DataFrame, workspaces: DataFrame | None = None
+                  ) -> tuple[DataFrame, DataFrame]:
     """The export shape of the calendar, without gathering a tenant's
     items into one row.
 
@@ -47,24 +49,31 @@ def calendar_json(month_items: DataFrame, day_counts: DataFrame) -> tuple[DataFr
     (``workspace_id``, ``item_json``), written as JSON lines per workspace;
     ``counts`` has one row per workspace with ``counts_by_day`` (map of
     date text -> count, at most 31 entries: one per day of the month) and
-    its JSON text. A workspace without items keeps {} and no item lines;
-    a reader joining both by workspace gets items [] in that case.
+    its JSON text. With ``workspaces`` (``id``) every one of them has a counts
+    row, {} if it has no items, and then no item lines (items []).
     """
-    item = F.struct("id", "workspace_id", "client_id", "title", "platform", "content_type", "status",
-                    F.date_format("scheduled_date", "yyyy-MM-dd").alias("scheduled_date"), "created_at")
+    fields = ["id", "workspace_id", "client_id", "title", "description", "platform", "content_type", "status",
+              "scheduled_date", "created_by", "created_at", "updated_at"]
+    day = F.date_format("scheduled_date", "yyyy-MM-dd").alias("scheduled_date")
+    item = F.struct(*[day if c == "scheduled_date" else F.col(c) for c in fields if c in month_items.columns])
     items = month_items.select("workspace_id", F.to_json(item).alias("item_json"))
     counts = day_counts.groupBy("workspace_id").agg(
         F.map_from_entries(F.collect_list(F.struct(F.date_format("scheduled_date", "yyyy-MM-dd"), "day_count")))
         .alias("counts_by_day"))
+    if workspaces is not None:
+        every = workspaces.select(F.col("id").alias("workspace_id")).distinct()
+        counts = every.join(counts, "workspace_id", "left").withColumn(
+            "counts_by_day", F.coalesce("counts_by_day", F.create_map().cast("map<string,bigint>")))
     counts = counts.withColumn("counts_json", F.to_json("counts_by_day"))
     return items, counts
 
 
-def write_calendar_json(month_items: DataFrame, day_counts: DataFrame, root: str, version: str | None = None) -> str:
+def write_calendar_json(month_items: DataFrame, day_counts: DataFrame, root: str, version: str | None = None,
+                        workspaces: DataFrame | None = None) -> str:
     """Write the S4 export (item lines and day counts) as a new version."""
     version = version or uuid.uuid4().hex
-    items, counts = calendar_json(month_items, day_counts)
+    items, counts = calendar_json(month_items, day_counts, workspaces)
     base = f"{root.rstrip('/')}/calendar/v={version}"
-    items.repartition("workspace_id").write.partitionBy("workspace_id").mode("errorifexists").json(f"{base}/items")
+    items.hint("rebalance", "workspace_id").write.partitionBy("workspace_id").mode("errorifexists").json(f"{base}/items")
     counts.select("workspace_id", "counts_json").write.mode("errorifexists").json(f"{base}/counts")
     return base

@@ -20,6 +20,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,13 +29,16 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions import enums as E
 from ..functions import scalars as X
 
-TRANSITION_OUT = ("id long, content_item_id long, to_status string, from_status string, verdict string, "
-                  "requested_at timestamp_ntz")
 TRANSITION_STATE = "status string"
-CLAIM_OUT = "id long, token string, user_id long, workspace_id long, verdict string, claimed_at timestamp_ntz"
 CLAIM_STATE = "used long"
 
 
+def _out_schema(live: DataFrame, columns: list[str]) -> str:
+    """Output schema of a stateful step: input columns with their own types, the others strings."""
+    types = dict(live.dtypes)
+    return ", ".join(f"{c} {types.get(c, 'string')}" for c in columns)
+
+
 def _replay_group(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Judge one item's requests of this micro-batch in (requested_at, id) order."""
     pdf = pd.concat(list(batches), ignore_index=True).sort_values(["requested_at", "id"], kind="stable")
@@ -68,8 +72,9 @@ def transitions_stream(requests: DataFrame, items: DataFrame) -> DataFrame:
         F.when(~enum_ok, "invalid_enum").otherwise("not_found").alias("verdict"), "requested_at")
     live = r.filter(enum_ok & F.col("_iid").isNotNull()).select(
         "id", "content_item_id", "to_status", "requested_at", "current_status")
+    out = _out_schema(live, ["id", "content_item_id", "to_status", "from_status", "verdict", "requested_at"])
     judged = live.groupBy("content_item_id").applyInPandasWithState(
-        _replay_group, TRANSITION_OUT, TRANSITION_STATE, "append", GroupStateTimeout.NoTimeout)
+        _replay_group, out, TRANSITION_STATE, "append", GroupStateTimeout.NoTimeout)
     return judged.unionByName(direct)
 
 
@@ -78,14 +83,9 @@ def _claim_group(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
     pdf = pd.concat(list(batches), ignore_index=True).sort_values(["claimed_at", "id"], kind="stable")
     used = state.get[0] if state.exists else int(pdf["use_count"].iloc[0])
     cap = int(pdf["max_uses"].iloc[0])
-    verdict = []
-    for _ in range(len(pdf)):
-        if used < cap:
-            verdict.append("accepted")
-            used += 1
-        else:
-            verdict.append("unusable")
-    state.update((used,))
+    fits = used + np.arange(len(pdf)) < cap
+    verdict = np.where(fits, "accepted", "unusable")
+    state.update((used + int(fits.sum()),))
     yield pd.DataFrame({
         "id": pdf["id"].to_numpy(), "token": pdf["token"].to_numpy(), "user_id": pdf["user_id"].to_numpy(),
         "workspace_id": pdf["workspace_id"].to_numpy(), "verdict": verdict,
@@ -96,7 +96,7 @@ def _claim_group(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
 def claims_stream(claims: DataFrame, invites: DataFrame) -> DataFrame:
     """R2: streaming M6 verdicts. ``claims`` is a streaming frame (id, token,
     user_id, claimed_at); ``invites`` the static invite table."""
-    inv = invites.select(F.col("token").alias("_tok"), F.col("workspace_id").cast("long").alias("workspace_id"),
+    inv = invites.select(F.col("token").alias("_tok"), "workspace_id",
                          "max_uses", "use_count", "expires_at")
     c = claims.join(inv, claims["token"] == inv["_tok"], "left")
     known = F.col("_tok").isNotNull()
@@ -106,8 +106,9 @@ def claims_stream(claims: DataFrame, invites: DataFrame) -> DataFrame:
         F.when(~known, "not_found").otherwise("unusable").alias("verdict"), "claimed_at")
     live = c.filter(known & ~expired).select("id", "token", "user_id", "workspace_id", "claimed_at",
                                              "max_uses", "use_count")
+    out = _out_schema(live, ["id", "token", "user_id", "workspace_id", "verdict", "claimed_at"])
     judged = live.groupBy("token").applyInPandasWithState(
-        _claim_group, CLAIM_OUT, CLAIM_STATE, "append", GroupStateTimeout.NoTimeout)
+        _claim_group, out, CLAIM_STATE, "append", GroupStateTimeout.NoTimeout)
     return judged.unionByName(direct)
 
 
