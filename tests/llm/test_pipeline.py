@@ -1,30 +1,94 @@
+"""The pipeline against brute force, stage by stage, and the SQL of the queries that have one."""
+
+import math
+import zlib
+from collections import Counter
+
 import corpus_pipeline as C
+import numpy as np
 import pytest
-from slatework.llm import queries
+
+from slatework.llm import mixing, queries, sharding, simhash
 from tools.check_oracle import _rows, duck_connect
 
 from ..conftest import SMALL
+from .test_decontam import shingles
+from .test_shares import naive_shards
 
 
-def test_stages():
-    assert [n for n, _ in C.STAGES] == ["toxicity", "simhash near-dedup", "benchmark decontamination",
-                                        "mixing to target weights", "sharding"]
+def ids(df):
+    return sorted(r.doc_id for r in df.select("doc_id").collect())
 
 
-def test_run_equals_the_stages_one_by_one(spark):
+def naive_groups(texts):
+    """{id: smallest id reachable over fingerprints at most two bits apart}."""
+    names = sorted(texts)
+    fps = np.array([simhash.fingerprint((texts[i] or "").encode()) for i in names], np.uint64)
+    root = list(range(len(names)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+    for i in range(len(names)):
+        for j in np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= 2):
+            a, b = find(i), find(int(j))
+            root[max(a, b)] = min(a, b)
+    return {names[i]: names[find(i)] for i in range(len(names))}
+
+
+def test_stages_equal_brute_force(spark):
+    assert [n for n, _ in C.STAGES] == ["toxicity", "simhash near-dedup", "benchmark decontamination",
+                                        "mixing to target weights", "sharding"]
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    counts = []
+    steps = {}
+    cur = docs
     for name, stage in C.STAGES:
-        out = stage(spark, docs, SMALL).cache()
-        counts.append(out.count())
+        cur = C.stored(stage(spark, cur, SMALL), "stage")
+        steps[name] = cur
         if name != "sharding":
-            assert out.columns == docs.columns
-        if name in ("toxicity", "simhash near-dedup", "benchmark decontamination"):
-            assert out.exceptAll(docs.select(out.columns)).count() == 0 and 0 < counts[-1] < docs.count()
-        docs = out
-    assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "shard", "slot"]
-    got = C.run(spark, SMALL)
-    assert got.exceptAll(docs).count() == 0 and got.count() == counts[-1] == counts[-2]
+            assert cur.columns == docs.columns
+    assert cur.columns == [*docs.columns, "shard", "slot"]
+
+    clean = steps["toxicity"]
+    assert clean.exceptAll(docs).count() == 0
+    bad = {r.doc_id for r in spark.read.parquet(f"{SMALL}/labels.parquet").filter("toxic = 1").collect()}
+    gone = set(ids(docs)) - set(ids(clean))
+    assert len(gone & bad) >= len(gone) // 3 and len(gone) < 0.2 * docs.count()
+
+    texts = {r.doc_id: r.text for r in clean.collect()}
+    groups = naive_groups(texts)
+    assert ids(steps["simhash near-dedup"]) == sorted(set(groups.values()))
+
+    items = [shingles(r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    kept = [i for i in sorted(set(groups.values())) if not any(5 * len(s & shingles(texts[i])) >= 4 * len(s) for s in items if s)]
+    assert ids(steps["benchmark decontamination"]) == kept
+
+    duck = duck_connect(SMALL)
+    duck.register("stage_input", steps["benchmark decontamination"].toPandas())
+    sql = mixing.SQL.replace("FROM documents", "FROM stage_input")
+    copies = {r[0]: math.floor(r[4] / r[1] + 0.5) for r in duck.execute(sql).fetchall() if r[1]}
+    mixed = Counter(ids(steps["mixing to target weights"]))
+    assert mixed == {i: n for i, n in copies.items() if n}
+
+    line = steps["sharding"].select("doc_id", "shard", "slot", "text", "source").collect()
+    assert Counter(r.doc_id for r in line) == mixed
+    rows = sorted(((r.doc_id, r.text, None, r.source, 1) for r in line), key=lambda r: zlib.crc32(r[1].encode()))
+    want = naive_shards(rows, sharding.SHARDS, sharding.SEED, each=True)
+    assert sorted((r.doc_id, r.shard, r.slot) for r in line) == want
+
+
+def test_run_writes_and_rereads_each_stage(spark, monkeypatch):
+    seen = []
+
+    def stage(n):
+        def f(s, docs, sf_dir):
+            seen.append((n, docs.count(), sf_dir))
+            return docs.filter(f"doc_id % {n} = 0")
+        return f
+    monkeypatch.setattr(C, "STAGES", [("two", stage(2)), ("five", stage(5))])
+    assert ids(C.run(spark, SMALL)) == [i for i in range(200) if i % 10 == 0]
+    assert seen == [(2, 200, SMALL), (5, 100, SMALL)]
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))

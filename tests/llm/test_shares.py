@@ -17,7 +17,8 @@ def corpus(n, seed=0, words=12):
     return [(i, " ".join(["w"] * rnd.randint(0, words)), "en", rnd.choice(["hot", "hot", "b", "c", None]), 1) for i in range(n)]
 
 
-def naive_shards(data, shards, seed):
+def naive_shards(data, shards, seed, each=False):
+    """{id: (shard, slot)}, or with ``each`` the sorted (id, shard, slot) of all rows."""
     import hashlib
     by = defaultdict(list)
     for r in data:
@@ -25,12 +26,12 @@ def naive_shards(data, shards, seed):
         by["1" if r[3] is None else "0" + r[3]].append((h, r))
     line = [((2 * k + 1) / (2 * len(g)), s, h, r) for s, g in by.items() for k, (h, r) in enumerate(sorted(g, key=lambda x: x[0]))]
     line.sort(key=lambda x: x[:3])
-    out, slot = {}, Counter()
+    out, slot = [], Counter()
     for p, x in enumerate(line):
         s = p * shards // len(line)
-        out[x[3][0]] = (s, slot[s])
+        out.append((x[3][0], s, slot[s]))
         slot[s] += 1
-    return out
+    return sorted(out) if each else {i: (s, k) for i, s, k in out}
 
 
 def test_shards_equal_brute_force(spark):
