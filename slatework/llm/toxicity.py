@@ -28,6 +28,7 @@ SAMPLE = 20_000
 WORDS_PER_CATEGORY = 500
 LEAST_G = 20.0  # chance alone reaches it for one word in 100,000
 FOLDS = 3
+TRAIN_PARTS = 6
 # category -> SQL of its 0/1 label over the columns of ``labels``, in chain order
 CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
 
@@ -112,7 +113,8 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGOR
         return Chain(None, {}, 1.0)
     counter = CountVectorizerModel.from_vocabulary(words, inputCol="_words", outputCol="_tf")
     counter = counter.setBinary(True)
-    rows = stored(counter.transform(train).drop("_words"), "features")
+    # the sample is bounded, so a few partitions hold it and each step of a fit is a short job
+    rows = stored(counter.transform(train).drop("_words").coalesce(TRAIN_PARTS), "features")
     models = {}
     for c in categories:
         x = _features(rows, list(models)).persist()
@@ -121,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGOR
         held = folds[0]
         for f in folds[1:]:
             held = held.unionByName(f)
-        rows = stored(held, "out-of-fold")
+        rows = stored(held.coalesce(TRAIN_PARTS), "out-of-fold")
         x.unpersist()
     return Chain(counter, models, best_threshold(rows, c))
 
