@@ -195,7 +195,8 @@ def sample(docs: DataFrame, per_lang: int, lang_col: str, text_col: str) -> Data
         F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
     x = x.withColumn("_h", seeded(1, F.xxhash64("_text")))
     counts = x.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n"))
-    x = x.join(counts, "_lang").filter(unit(F.col("_h")) < F.lit(2.0 * per_lang) / F.col("_n"))
+    # one row per language, fewer than the model has columns; else the texts would be shuffled by language
+    x = x.join(F.broadcast(counts), "_lang").filter(unit(F.col("_h")) < F.lit(2.0 * per_lang) / F.col("_n"))
     place = F.row_number().over(Window.partitionBy("_lang").orderBy("_h", "_text"))
     return x.withColumn("_place", place).filter(F.col("_place") <= per_lang).select("_lang", "_text")
 
