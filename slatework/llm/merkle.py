@@ -6,10 +6,15 @@ with a leaf whose digest begins with 0 (content decides, so an edit does not
 move the sections after it). A section's digest covers its leaves', the root
 covers the sections'.
 
-A fingerprint is the root, a colon, and the leaf digests in order. Equal
-roots mean equal texts, since the leaves hold every character; the leaves
-that two fingerprints do not share are where the texts differ
-(``differing_leaves``), and their likeness is the Dice share of common leaves.
+A fingerprint is the root, a colon, and the leaf digests in order. Texts are
+compared by full fingerprints (``FULL`` digits a leaf): there equal roots mean
+equal texts, since the leaves hold every character. Their likeness is the Dice
+share of common leaves, and ``differing_leaves`` walks two trees branch by
+branch, so moved leaves are found as well.
+
+The printed fingerprint is what the SQL defines: its leaves are cut to
+``DIGEST`` digits and its root covers the cut ones. It says nothing certain of
+texts that differ in a few leaves; nothing here is decided by it.
 """
 
 from __future__ import annotations
@@ -17,11 +22,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import KEY, table, with_key
+from .common import KEY, let, table, with_key
 
 # One leaf: up to 48 characters with the sentence or line end behind them.
 LEAF = r"[^.!?\n]{0,48}[.!?\n]+ *|[^.!?\n]{1,48}"
-DIGEST = 6  # hex digits of a leaf
+DIGEST = 6  # hex digits of a printed leaf
+FULL = 32  # hex digits of a leaf that texts are compared by
 ROWS_PER_BUCKET = 500
 BUCKETS = 4096
 
@@ -31,19 +37,28 @@ def leaves(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(LEAF), F.lit(0))
 
 
-def fingerprint(text: Column) -> Column:
+def fingerprint(text: Column, digits: int = DIGEST) -> Column:
     """root ':' leaf digests, each followed by a comma."""
-    digests = F.array_join(F.transform(leaves(text), lambda x: F.concat(F.substring(F.md5(x.cast("binary")), 1, DIGEST),
+    digests = F.array_join(F.transform(leaves(text), lambda x: F.concat(F.substring(F.md5(x.cast("binary")), 1, digits),
                                                                         F.lit(","))), "")
-    return with_root(digests)
+    return with_root(digests, digits)
 
 
-def with_root(digests: Column) -> Column:
-    ends = F.regexp_replace(digests, rf"\b(0[0-9a-f]{{{DIGEST - 1}}},)", "$1|")
-    sections = F.transform(F.split(ends, r"\|", -1), lambda s: F.md5(s.cast("binary")))
+def _cut(digests: Column, digits: int) -> Column:
+    """Sections: the digests' string, cut after each that begins with 0."""
+    return F.split(F.regexp_replace(digests, rf"\b(0[0-9a-f]{{{digits - 1}}},)", "$1|"), r"\|", -1)
+
+
+def with_root(digests: Column, digits: int = DIGEST) -> Column:
+    sections = F.transform(_cut(digests, digits), lambda s: F.md5(s.cast("binary")))
     return F.concat(F.substring(F.sha2(F.array_join(sections, "").cast("binary"), 256), 1, 32), F.lit(":"), digests)
 
 
+def printed(full: Column) -> Column:
+    """The printed fingerprint of a full one."""
+    return with_root(F.regexp_replace(F.substring(full, 34, 2147483647), rf"([0-9a-f]{{{DIGEST}}})[0-9a-f]+,", "$1,"))
+
+
 def _set(fp: Column) -> Column:
     return F.array_distinct(F.array_remove(F.split(F.substring(fp, 34, 2147483647), ",", -1), ""))
 
@@ -56,9 +71,37 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(same, 1.0).when(both == 0, 0.0).otherwise(2 * F.size(F.array_intersect(x, y)) / both)
 
 
-def differing_leaves(a: Column, b: Column) -> Column:
-    """Leaf digests of ``a`` that ``b`` lacks, where the roots differ: the edited places."""
-    return F.array_except(_set(a), _set(b))
+def _unlike(ab: Column) -> Column:
+    """(a, b) without the elements they share at both ends and, if as many are
+    left of each, without those they share by position."""
+    def shared(x: Column, y: Column) -> Column:
+        same = F.zip_with(x, y, lambda p, q: p.eqNullSafe(q))
+        at = F.array_position(same, False).cast("int")
+        return F.when(at == 0, F.size(same)).otherwise(at - 1)
+
+    def ends(t: Column) -> Column:
+        head = shared(t["a"], t["b"])
+        tail = F.least(shared(F.reverse(t["a"]), F.reverse(t["b"])), F.least(F.size(t["a"]), F.size(t["b"])) - head)
+        return F.struct(*[F.slice(t[c], head + 1, F.size(t[c]) - head - tail).alias(c) for c in "ab"])
+
+    def middle(t: Column) -> Column:
+        def other(c: str, d: str) -> Column:
+            return F.filter(t[c], lambda x, i: F.get(t[d], i) != x)
+
+        level = F.size(t["a"]) == F.size(t["b"])
+        return F.struct(*[F.when(level, other(c, d)).otherwise(t[c]).alias(c) for c, d in ("ab", "ba")])
+
+    return let(let(ab, ends), middle)
+
+
+def differing_leaves(a: Column, b: Column, digits: int = DIGEST) -> Column:
+    """Leaf digests of ``a`` at the places where the trees differ: first the
+    sections are compared, then the leaves of those that differ."""
+    def below(t: Column) -> Column:
+        return F.struct(*[F.array_remove(F.split(F.array_join(t[c], ""), ",", -1), "").alias(c) for c in "ab"])
+
+    tops = F.struct(*[_cut(F.substring(x, 34, 2147483647), digits).alias(c) for x, c in ((a, "a"), (b, "b"))])
+    return let(let(_unlike(tops), below), _unlike)["a"]
 
 
 def _bucket(id_col: Column, cuts: list[int]) -> Column:
@@ -77,8 +120,9 @@ def _bucket(id_col: Column, cuts: list[int]) -> Column:
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """(``_id``, row key, ``_text``, ``_fp``, ``_next_text``, ``_next_fp``): every row with the
-    next one by descending id, after the last the first.
+    """(``_id``, row key, ``_text``, ``_fp``, ``_full``, ``_next_text``, ``_next_fp``, ``_next_full``):
+    every row with the next one by descending id, after the last the first; printed
+    and full fingerprints.
 
     Null ids follow all others; rows of one id are in the order of their row
     key. Rows are cut into buckets at quantiles of the id and the first row of
@@ -102,11 +146,11 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, rows_per_bucket: int
     own = F.struct(F.col("_bucket").alias("b"), F.lit(False).alias("guard"))
     guard = F.struct(F.col("_before").alias("b"), F.lit(True).alias("guard"))
     x = x.select(*order, "_text", F.inline(F.when(F.col("_before").isNull(), F.array(own)).otherwise(F.array(own, guard))))
-    x = x.repartition("b").withColumn("_fp", fingerprint(F.col("_text")))
+    x = x.repartition("b").withColumn("_full", fingerprint(F.col("_text"), FULL))
     line = Window.partitionBy("b").orderBy("guard", F.desc_nulls_last("_id"), *[F.desc(k) for k in KEY])
-    x = x.select(*order, "_text", "_fp", "guard", F.lead("_text").over(line).alias("_next_text"),
-                 F.lead("_fp").over(line).alias("_next_fp"))
-    return x.filter("not guard").drop("guard")
+    x = x.select(*order, "_text", "_full", "guard", F.lead("_text").over(line).alias("_next_text"),
+                 F.lead("_full").over(line).alias("_next_full"))
+    return x.filter("not guard").drop("guard").withColumns({"_fp": printed(F.col("_full")), "_next_fp": printed(F.col("_next_full"))})
 
 
 def edited(text: Column, other: Column) -> Column:
@@ -123,10 +167,10 @@ def query(spark, sf_dir: str) -> DataFrame:
     x = x.withColumn("_edited", edited(F.col("_text"), F.col("_next_text")))
     x = x.select(F.col("_id").alias("doc_id"), F.length("_text").cast("long").alias("n_chars"),
                  F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"), F.col("_fp").alias("fingerprint"),
-                 fingerprint(F.col("_edited")).alias("edited_fingerprint"), "_next_fp")
-    return x.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-                    likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-                    likeness(F.col("fingerprint"), F.col("_next_fp")).alias("near_next"))
+                 "_full", fingerprint(F.col("_edited"), FULL).alias("_edited_full"), "_next_full")
+    return x.select("doc_id", "n_chars", "edited_sha256", "fingerprint", printed(F.col("_edited_full")).alias("edited_fingerprint"),
+                    likeness(F.col("_full"), F.col("_edited_full")).alias("near_edited"),
+                    likeness(F.col("_full"), F.col("_next_full")).alias("near_next"))
 
 
 def _sql_digests(text: str) -> str:

@@ -62,3 +62,27 @@ def test_awkward(spark, per):
     one = M.with_next(table(spark, [(1, "abc", "en", "s", 3)]), "doc_id", "text").collect()
     assert (one[0]._next_text, one[0]._next_fp) == ("abc", one[0]._fp)
     assert M.with_next(docs.limit(0), "doc_id", "text").count() == 0
+
+
+def test_colliding_short_texts_differ(spark, tmp_path):
+    a, b = "Record 6426 closed.", "Record 6728 closed."  # md5 of both begins with 081f59
+    df = spark.createDataFrame([(a, b)], "a string, b string")
+    full = df.select(*[M.fingerprint(F.col(x), M.FULL).alias(x) for x in "ab"])
+    assert full.select(M.likeness(F.col("a"), F.col("b"))).first()[0] == 0
+    r = full.first()
+    assert r.a[:32] != r.b[:32]
+    docs = [(1, a, "en", "s", 1), (2, b, "en", "s", 1), (3, b, "en", "s", 1)]
+    table(spark, docs).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.near_next for r in M.query(spark, str(tmp_path)).collect()}
+    assert got == {3: 1, 2: 0, 1: 0}
+
+
+def test_moved_leaves_are_found(spark):
+    parts = [f"Sentence number {i} of the text. " for i in range(60)]
+    moved = [*parts[:20], parts[21], parts[20], *parts[22:]]
+    two = ["Changed. " if i in (5, 50) else x for i, x in enumerate(parts)]
+    df = spark.createDataFrame([("".join(parts), "".join(moved), "".join(two))], "a string, b string, c string")
+    full = df.select(*[M.fingerprint(F.col(x), M.FULL).alias(x) for x in "abc"])
+    r = full.select(*[M.differing_leaves(F.col("a"), F.col(x), M.FULL).alias(x) for x in "abc"]).first()
+    md5 = [hashlib.md5(x.encode()).hexdigest() for x in parts]
+    assert r.a == [] and r.b == md5[20:22] and {md5[5], md5[50]} <= set(r.c)
