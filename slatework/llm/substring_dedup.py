@@ -1,11 +1,16 @@
 """Substring dedup by hashing normalised units (operator 8).
 
 A unit is a line, cut further after sentence ends, because a repeated passage
-may stand in the middle of a line. A sentence of fewer than ``LEAST`` words
-means little alone: its digest covers those before it back to the last longer
-one as well (at the start of a line: those after it). A line of short
-sentences only is one unit, and none if it has fewer than ``LEAST`` words.
-Units are compared as lower-case runs of letters and digits.
+may stand in the middle of a line. A sentence or line of ``LEAST`` words is a
+unit by itself. One of fewer words means little alone. In a run of such parts,
+over line ends too, each is a unit whose digest covers those after it up to
+``LEAST`` words (at the end of the run: those before it), so a passage of
+short lines or sentences is found whatever stands around it, but for its last
+parts of under ``LEAST`` words if other short ones follow. A run that has no
+second stretch of so many words is one unit. In a run of fewer than ``LEAST``
+words a sentence's digest covers the longer one before it in its line (at the
+start of a line: after it), and a line by itself is no unit unless it is the
+whole text. Units are compared as lower-case runs of letters and digits.
 
 The digests of all units are grouped globally. The first occurrence by (id,
 row key, offset) stays, every other goes; the offsets are those of the
@@ -33,37 +38,92 @@ _PARTS = re.compile(r"[^.!?\n]*[.!?\n]+[^\S\n]*|[^.!?\n]+")
 _WORDS = re.compile(r"[^\W_]+")
 
 
+def _parts(text: str) -> list[tuple[int, int, list[str], int]]:
+    """(start, end, words, line) of the parts with words; those without go to a
+    neighbour in their line."""
+    parts: list[tuple[int, int, list[str], int]] = []
+    line, lead = 0, None
+    for m in _PARTS.finditer(text):
+        words = _WORDS.findall(m[0].lower())
+        if words:
+            parts.append((m.start() if lead is None else lead, m.end(), words, line))
+            lead = None
+        elif parts and parts[-1][3] == line:
+            parts[-1] = (parts[-1][0], m.end(), *parts[-1][2:])
+        elif lead is None:
+            lead = m.start()
+        if "\n" in m[0]:
+            line, lead = line + 1, None
+    return parts
+
+
 def units(text: str, least: int = LEAST) -> list[tuple[int, int, bytes]]:
     """(start, end, digest) of the units of a text, in order."""
     out: list[tuple[int, int, bytes]] = []
-    line: list[tuple[int, int, list[str]]] = []
-
-    def close() -> None:
-        heads, last = [], None
-        for start, end, words in line:
-            own = " ".join(words).encode(errors="surrogatepass")
-            if len(words) >= least:
-                last = xxhash.xxh3_128_digest(own)
-                after = last
-                for s, e, short in reversed(heads):
-                    after = xxhash.xxh3_128_digest(b"<" + after + short)
-                    out.append((s, e, after))
-                heads = []
-            elif last is None:
-                heads.append((start, end, own))
-                continue
+    parts = _parts(text)
+    own = [" ".join(words).encode(errors="surrogatepass") for _, _, words, _ in parts]
+    sizes = [len(words) for _, _, words, _ in parts]
+
+    def window(sign: bytes, lo: int, hi: int) -> bytes:
+        return xxhash.xxh3_128_digest(sign + b"\n".join(own[lo:hi]))
+
+    def put(k: int, digest: bytes) -> None:
+        out.append((parts[k][0], parts[k][1], digest))
+
+    def reach(k: int, step: int, lo: int, hi: int) -> int | None:
+        """The nearest place from k on (by ``step``) with ``least`` words between."""
+        n = 0
+        while lo <= k < hi:
+            n += sizes[k]
+            if n >= least:
+                return k
+            k += step
+        return None
+
+    def many(lo: int, hi: int) -> None:
+        if reach(lo, 1, lo, hi) == hi - 1:
+            out.append((parts[lo][0], parts[hi - 1][1], window(b"=", lo, hi)))
+            return
+        for k in range(lo, hi):
+            if (m := reach(k, 1, lo, hi)) is not None:
+                put(k, window(b"=", k, m + 1))
+            elif (m := reach(k, -1, lo, hi)) is not None:
+                put(k, window(b"~", m, k + 1))
             else:
-                last = xxhash.xxh3_128_digest(b">" + last + own)
-            out.append((start, end, last))
-        if heads and sum(len(words) for _, _, words in line) >= least:
-            out.append((line[0][0], line[-1][1], xxhash.xxh3_128_digest(b"\n".join(h for _, _, h in heads))))
-        line.clear()
-
-    for m in _PARTS.finditer(text):
-        line.append((m.start(), m.end(), _WORDS.findall(m[0].lower())))
-        if "\n" in m[0]:
-            close()
-    close()
+                put(k, window(b"#%d\n" % (k - lo), lo, hi))
+
+    def few(lo: int, hi: int) -> None:
+        if lo == 0 and hi == len(parts):
+            out.append((parts[0][0], parts[-1][1], window(b"=", lo, hi)))
+            return
+        k = lo
+        if lo:
+            last = xxhash.xxh3_128_digest(own[lo - 1])
+            while k < hi and parts[k][3] == parts[lo - 1][3]:
+                last = xxhash.xxh3_128_digest(b">" + last + own[k])
+                put(k, last)
+                k += 1
+        if hi < len(parts):
+            after = xxhash.xxh3_128_digest(own[hi])
+            for j in reversed(range(k, hi)):
+                if parts[j][3] != parts[hi][3]:
+                    break
+                after = xxhash.xxh3_128_digest(b"<" + after + own[j])
+                put(j, after)
+
+    at = 0
+    while at < len(parts):
+        end = at
+        while end < len(parts) and sizes[end] < least:
+            end += 1
+        if end == at:
+            put(at, xxhash.xxh3_128_digest(own[at]))
+            end += 1
+        elif sum(sizes[at:end]) >= least:
+            many(at, end)
+        else:
+            few(at, end)
+        at = end
     return sorted(out)
 
 

@@ -107,3 +107,19 @@ def test_units_awkward(spark):
     assert got == sorted([(5, "The q"), (5, "The q"), (9, ""), (9, ""), (None, ""), (None, None), (1, ""), (2, None),
                           (3, "   \n\t"), (4, "word "), (6, "Entir"), (7, "x"), (8, "$$$ 1")], key=repr)
     assert S.dedup(docs.limit(0)).count() == 0
+
+
+def test_passages_of_short_lines_and_sentences_go(spark):
+    lines = "".join(f"a line of word{i} and more\n" for i in range(10))
+    sentences = " ".join(f"Now comes short sentence number{i} here." for i in range(10))
+    copy = "one two three\nfour five\n"
+    heads = [f"This differing sentence number {i} has more than eight words. " for i in range(4)]
+    docs = [(1, heads[0] + "\nIn between.\n" + lines + "\n" + heads[1], "en", "s", 1), (2, heads[2] + "\n" + lines + "The end.", "en", "s", 1),
+            (3, heads[3] + sentences, "en", "s", 1), (4, "Quite another long sentence stands before the short ones. " + sentences, "en", "s", 1),
+            (5, copy, "en", "s", 1), (6, copy, "en", "s", 1)]
+    got = {r.doc_id: r for r in S.dedup(table(spark, docs)).collect()}
+    assert not got[1].removed and not got[3].removed and not got[5].removed
+    # but for the last line, which other short text follows
+    assert got[2].text == heads[2] + "\na line of word9 and more\nThe end."
+    assert got[4].text == "Quite another long sentence stands before the short ones. "
+    assert got[6].text == ""
