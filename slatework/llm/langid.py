@@ -189,14 +189,18 @@ class Model:
 
 
 def sample(docs: DataFrame, per_lang: int, lang_col: str, text_col: str) -> DataFrame:
-    """(``_lang``, ``_text``): at most ``per_lang`` rows a language, chosen by a hash of
-    the text; thinned by rate first, so no language meets in one task."""
+    """(``_lang``, ``_text``): at most ``per_lang`` distinct texts a language, chosen by a
+    hash of the text; thinned by rate first, so no language meets in one task.
+
+    Copies share their hash, so both the rate and the sample count distinct
+    texts; a language of fewer than ``2 * per_lang`` is not thinned."""
     x = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
+    counts = x.select("_lang", F.xxhash64("_text").alias("_x")).distinct().groupBy("_lang").agg(F.count(F.lit(1)).alias("_n"))
     x = x.withColumn("_h", seeded(1, F.xxhash64("_text")))
-    counts = x.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n"))
     # one row per language, fewer than the model has columns; else the texts would be shuffled by language
     x = x.join(F.broadcast(counts), "_lang").filter(unit(F.col("_h")) < F.lit(2.0 * per_lang) / F.col("_n"))
+    x = x.select("_lang", "_h", "_text").distinct()  # copies meet in each task before they are shuffled
     place = F.row_number().over(Window.partitionBy("_lang").orderBy("_h", "_text"))
     return x.withColumn("_place", place).filter(F.col("_place") <= per_lang).select("_lang", "_text")
 

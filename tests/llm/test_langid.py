@@ -101,3 +101,10 @@ def test_awkward(spark):
     assert L.predict(docs.limit(0), model, ["doc_id"]).count() == 0
     none = L.fit(docs.limit(0))
     assert {(r.lang_pred, r.score) for r in L.predict(docs, none, ["doc_id"]).collect()} == {("und", 0.0)}
+
+
+def test_sample_of_copies_holds_every_text(spark):
+    few = [f"Text number {i} of a language with many copies." for i in range(3)]
+    rows = [(i, few[i % 3], "xx", "s", 1) for i in range(6000)] + texts(300)
+    got = [r._text for r in L.sample(table(spark, rows), 20, "lang", "text").collect() if r._lang == "xx"]
+    assert sorted(got) == few
