@@ -2,8 +2,9 @@
 
 1. Seeds: e-mail addresses, IP addresses, payment cards (Luhn) and phone
    numbers found by their form.
-2. Occurrences: the seeds and all other tokens that hold a digit. The form of
-   a token's surroundings is its lexical pattern: the two words before it, and
+2. Occurrences: the seeds and, of any length, all other groups of digits joined
+   by single blanks, dots, hyphens or brackets, and tokens that hold a digit or
+   an @ (``CANDIDATE``). The form of an occurrence's surroundings is its lexical pattern: the two words before it, and
    the word before together with the word after (lower case, digits as 0).
 3. The graph of patterns and instances (distinct texts) is scored in turns.
    A pattern's confidence for a kind is the share of its distinct instances
@@ -39,8 +40,12 @@ PATTERNS = {
 }
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 _IP = rf"^{_PART}\.{_PART}\.{_PART}\.{_PART}$"
-# A token of six characters or more with a digit, from its first character to its last.
-TOKEN = r"(?<![A-Za-z0-9._%+@-])(?=[A-Za-z0-9._%+@-]{6})[A-Za-z._%+@-]*+[0-9][A-Za-z0-9._%+@-]*+"
+# Groups of digits (one that runs on into letters is no group); else a token with
+# a digit or @, from its first character to its last.
+_GROUP = r"[0-9]++(?![A-Za-z_%+@]|[.-]++[A-Za-z_%+@])"
+_JOINED = rf"\(?{_GROUP}(?>(?>(?:(?:\)[\x20.-]?|[\x20.-]\(?|\(){_GROUP}){{1,100}}){{1,100}})++"
+TOKEN = r"(?=[._%+@-]*+[A-Za-z0-9])[A-Za-z._%+-]*+[0-9@][A-Za-z0-9._%+@-]*+"
+CANDIDATE = rf"(?<![A-Za-z0-9._%+@-])(?:{_JOINED}|{TOKEN})"
 
 ROUNDS = 3
 SHRINK = 3.0  # instances added to a pattern's total
@@ -134,9 +139,19 @@ def seeds(text: Column) -> Column:
 
 
 def tokens(text: Column, base: Column) -> Column:
-    """Array like ``seeds`` (kind -1) of tokens with a digit that touch no base span."""
-    free = F.filter(matches(text, TOKEN), lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return F.transform(free, _as(-1))
+    """Array like ``seeds`` (kind -1) of the candidates that touch no base span; where
+    joined groups touch one, of their single tokens that do not."""
+    def apart(m: Column, spans: Column) -> Column:
+        return ~F.exists(spans, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
+
+    def split(both: Column) -> Column:
+        free = F.filter(both["all"], lambda m: apart(m, base))
+        hit = F.filter(both["all"], lambda m: ~apart(m, base))
+        return F.concat(free, let(hit, lambda h: F.filter(both["single"], lambda m: ~apart(m, h) & apart(m, base))))
+
+    single = F.when(F.size(base) > 0, matches(text, rf"(?<![A-Za-z0-9._%+@-]){TOKEN}"))
+    single = F.coalesce(single, F.array().cast("array<struct<start:int,end:int,text:string,left:string,right:string>>"))
+    return F.transform(let(F.struct(matches(text, CANDIDATE).alias("all"), single.alias("single")), split), _as(-1))
 
 
 def _patterns(left: Column, right: Column) -> Column:

@@ -74,3 +74,33 @@ def test_awkward(spark):
     assert len(got) == len(AWKWARD) + 2
     assert sorted(b for _, b, _ in got if b) == ["email:5:11"] * 2
     assert P.extract(docs.limit(0)).count() == 0
+
+
+def test_bootstrapping_finds_grouped_and_digitless_identifiers(spark):
+    rnd = random.Random(10)
+    say = {"card": "Please charge my card number {} for the order.", "phone": "You may call me under {} in the evening.",
+           "email": "Better write to me at {} for the details."}
+    rows = []
+    for i in range(60):
+        n = "4" + "".join(rnd.choices("0123456789", k=14))
+        n += next(c for c in "0123456789" if luhn(n + c))
+        known = {"card": n, "phone": f"+49 30 {rnd.randint(10**6, 10**7 - 1)}", "email": f"name{i}@mail.example.com"}
+        rows += [(3 * i + k, say[kind].format(known[kind]), "en", "s", 1) for k, kind in enumerate(say)]
+    unseen = [("card", "4929 1234 1234 9999"), ("phone", "030 1234 567"), ("phone", "(310) 555-4444"), ("phone", "110"),
+              ("email", "jane.doe@corp"), ("card", "4929-XXXX 12")]
+    assert not luhn("4929123412349999")
+    rows += [(1000 + i, say[kind].format(u), "en", "s", 1) for i, (kind, u) in enumerate(unseen)]
+    rows += [(2000, "We met at 10 30 and left 4929 1234 1234 9998 boxes there.", "en", "s", 1)]
+    got = {i: (b, s) for i, b, s in listed(table(spark, rows))}
+    for i, (kind, u) in enumerate(unseen[:5]):
+        at = say[kind].index("{")
+        assert got[1000 + i] == ("", f"{kind}:{at}:{at + len(u)}"), u
+    at = say["card"].index("{")
+    assert got[1005][1].startswith(f"card:{at}:{at + 9}")
+    assert got[2000] == ("", "")
+
+
+def test_candidates():
+    found = re.compile(P.CANDIDATE).findall
+    assert found("030 1234 567, (310) 555-4444 12 4929-XXXX-1 a@b 7. x @ -- 1 2") == [
+        "030 1234 567", "(310) 555-4444 12", "4929-XXXX-1", "a@b", "7.", "1 2"]
