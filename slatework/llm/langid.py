@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import seeded, small_batches, stored, table, unit
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-LONGEST = 8  # characters of a piece
 RUN = 32  # a longer run of letters is scored in stretches of this many
+LONGEST = RUN + 1  # characters of a piece with its start mark; a longer one fits no stretch
 PER_LANG = 400
 TURNS = 3
 FLOOR = 1e-7  # probability of a character that begins no piece

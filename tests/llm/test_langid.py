@@ -108,3 +108,10 @@ def test_sample_of_copies_holds_every_text(spark):
     rows = [(i, few[i % 3], "xx", "s", 1) for i in range(6000)] + texts(300)
     got = [r._text for r in L.sample(table(spark, rows), 20, "lang", "text").collect() if r._lang == "xx"]
     assert sorted(got) == few
+
+
+def test_no_piece_of_letters_is_left_out():
+    import sentencepiece
+    m = sentencepiece.SentencePieceProcessor(model_file=L.VOCABULARY)
+    want = {p for p in (m.id_to_piece(i).lower() for i in range(m.get_piece_size())) if p.replace(L.START, "", 1).isalpha()}
+    assert set(L.read_pieces()) == want and max(map(len, want)) > 8
