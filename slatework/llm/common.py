@@ -38,6 +38,13 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def slices(batches, rows: int = 256):
+    """Cut the Arrow batches of a task into batches of ``rows`` whole texts."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def key_columns(df: DataFrame) -> dict[str, Column]:
     parts = [x for c in df.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
     return {k: F.xxhash64(F.lit(i), *parts) for i, k in enumerate(KEY)}
