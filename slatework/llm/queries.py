@@ -6,7 +6,7 @@ offsets are not in DuckDB's SQL. tests/llm holds them against brute force.
 
 from __future__ import annotations
 
-from . import (decontam, fim, langid, line_dedup, merkle, mixing, pii, secret_scan, sharding, simhash, substring_dedup,
+from . import (collocations, decontam, fim, langid, line_dedup, merkle, mixing, pii, secret_scan, sharding, simhash, substring_dedup,
                toxicity)
 
 QUERIES = {
@@ -21,6 +21,7 @@ QUERIES = {
     "op9_merkle": merkle.query,
     "op10_pii": pii.query,
     "op11_secrets": secret_scan.query,
+    "op12_collocations": collocations.query,
     "op13_fim": fim.query,
 }
 
@@ -28,5 +29,6 @@ ORACLE = {
     "op5_line_dedup": line_dedup.SQL,
     "op6_mixing": mixing.SQL,
     "op9_merkle": merkle.SQL,
+    "op12_collocations": collocations.SQL,
     "op13_fim": fim.SQL,
 }
