@@ -41,6 +41,25 @@ def test_edit_is_found_and_likeness_follows(spark):
     assert r.aa == 1 and r.ab > 0.95 and r.ac == 0 and r.n == 1
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_ends_are_those_of_the_leaves(spark, seed):
+    rnd = random.Random(seed)
+    rows = []
+    for _ in range(150):
+        a = rnd.choices(["a.", "b.", "c.", "dd.", "e!", "f?", "16.", "3."], k=rnd.randint(0, 40))
+        i, j = sorted(rnd.choices(range(len(a) + 1), k=2))
+        b = rnd.choice([a, a[:i] + rnd.choices(["a.", "zz.", "16."], k=rnd.randint(0, 3)) + a[j:], a[i:], a[:j]])
+        rows.append(("".join(a), "".join(b)))
+    df = spark.createDataFrame(rows, "a string, b string")
+    got = df.select("*", M.same_ends(M.fingerprint(F.col("a")), M.fingerprint(F.col("b"))).alias("e")).collect()
+    for r in got:
+        x, y = (re.findall(M.LEAF, t) for t in (r.a, r.b))
+        head = next((k for k, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+        rest = min(len(x), len(y)) - head
+        tail = next((k for k in range(rest) if x[-1 - k] != y[-1 - k]), rest)
+        assert (r.e.head, r.e.tail) == (head, tail), (r.a, r.b)
+
+
 def test_edited_text(spark):
     rows = [("abcde", "XYZ", "abcXY"), ("ab😀d", "é", "abé"), ("", "x", ""), ("a", "b", "a"), ("abcdef", "", "abc")]
     df = spark.createDataFrame(rows, "t string, n string, want string")
@@ -67,7 +86,7 @@ def test_awkward(spark, per):
 def test_colliding_short_texts_differ(spark, tmp_path):
     a, b = "Record 6426 closed.", "Record 6728 closed."  # md5 of both begins with 081f59
     df = spark.createDataFrame([(a, b)], "a string, b string")
-    full = df.select(*[M.fingerprint(F.col(x), M.FULL).alias(x) for x in "ab"])
+    full = df.select(*[M.fingerprint(F.col(x)).alias(x) for x in "ab"])
     assert full.select(M.likeness(F.col("a"), F.col("b"))).first()[0] == 0
     r = full.first()
     assert r.a[:32] != r.b[:32]
@@ -82,7 +101,32 @@ def test_moved_leaves_are_found(spark):
     moved = [*parts[:20], parts[21], parts[20], *parts[22:]]
     two = ["Changed. " if i in (5, 50) else x for i, x in enumerate(parts)]
     df = spark.createDataFrame([("".join(parts), "".join(moved), "".join(two))], "a string, b string, c string")
-    full = df.select(*[M.fingerprint(F.col(x), M.FULL).alias(x) for x in "abc"])
-    r = full.select(*[M.differing_leaves(F.col("a"), F.col(x), M.FULL).alias(x) for x in "abc"]).first()
+    full = df.select(*[M.fingerprint(F.col(x)).alias(x) for x in "abc"])
+    r = full.select(*[M.differing_leaves(F.col("a"), F.col(x)).alias(x) for x in "abc"]).first()
     md5 = [hashlib.md5(x.encode()).hexdigest() for x in parts]
     assert r.a == [] and r.b == md5[20:22] and {md5[5], md5[50]} <= set(r.c)
+
+
+def test_query_equals_its_sql_at_two_sizes(spark):
+    import duckdb
+    for sf in ("0.001", "0.01"):
+        db = duckdb.connect()
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf{sf}/documents.parquet'")
+        want = {r[0]: r for r in db.execute(M.SQL).fetchall()}
+        out = M.query(spark, f"/root/testdata/sf{sf}")
+        assert out.columns == [c[0] for c in db.description]
+        got = {r.doc_id: tuple(r) for r in out.collect()}
+        assert got == want
+
+
+def test_many_null_ids_are_dealt_over_buckets(spark):
+    docs = table(spark, [(None if i % 3 else i, f"text {i}", "en", "s", 1) for i in range(600)])
+    got = M.with_next(docs, "doc_id", "text", 20).collect()
+    assert len(got) == 600
+    # one ring through all rows
+    after = {r._text: r._next_text for r in got}
+    seen, at = set(), "text 0"
+    while at not in seen:
+        seen.add(at)
+        at = after[at]
+    assert len(seen) == 600
