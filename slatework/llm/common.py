@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
-KEY = ("_ka", "_kb")
+KEY = ("__row_key_a", "__row_key_b")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,11 +33,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bound the Arrow batches sent to Python: ``rows`` whole texts a batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def slices(batches, rows: int = 256):
     """Cut the Arrow batches of a task into batches of ``rows`` whole texts."""
     for b in batches:
@@ -45,13 +40,30 @@ def slices(batches, rows: int = 256):
             yield b.slice(at, rows)
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """The columns of ``df``, whatever signs their names hold."""
+    return [F.col(_quoted(c)) for c in df.columns]
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def key_columns(df: DataFrame) -> dict[str, Column]:
-    parts = [x for c in df.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    """The row key's columns; maps, which have no hash, count by their JSON text."""
+    def hashable(name: str) -> Column:
+        c = F.col(_quoted(name))
+        kind = df.schema[name].dataType.simpleString()
+        return F.to_json(F.struct(c.alias("v"))) if "map<" in kind or kind in ("variant", "interval") else c
+
+    parts = [x for c in df.columns for x in (hashable(c), F.col(_quoted(c)).isNull())]
     return {k: F.xxhash64(F.lit(i), *parts) for i, k in enumerate(KEY)}
 
 
 def with_key(df: DataFrame) -> DataFrame:
-    """Add the row key to ``df``."""
+    """Add the row key to ``df``; its two names are the only ones a table may not use."""
+    if set(KEY) & set(df.columns):
+        raise ValueError(f"columns {KEY} are reserved")
     return df.withColumns(key_columns(df))
 
 

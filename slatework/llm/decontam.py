@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, small_batches, stored, table, with_key
+from .common import KEY, columns, slices, stored, table, with_key
 
 SHINGLE = 5
 SHARE = 0.8
@@ -71,7 +71,7 @@ def item_shingles(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
     equal rows count once; an item without words has no row.
     """
     x = with_key(items.select(F.col(item_col).alias("_item"), F.col(text_col).alias("_text"))).dropDuplicates(list(KEY))
-    x = x.select("_item", F.col("_ka").alias("_text_no"), "_text")
+    x = x.select("_item", F.col(KEY[0]).alias("_text_no"), "_text")
 
     def run(batches):
         memo = _Memo()
@@ -105,13 +105,12 @@ def _slots(shingles: DataFrame) -> tuple[np.ndarray, list[tuple[int, int]]]:
 def hits(docs: DataFrame, mask: np.ndarray, parts: list[tuple[int, int]], carry: list[str], text_col: str) -> DataFrame:
     """``carry`` and ``hits``: a document's shingle hashes that an item of a
     size partition within its reach may have; documents without any go."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(mask)
     x = docs.select(*carry, F.col(text_col).alias("_text"))
 
     def run(batches):
         memo, slots = _Memo(), shared.value
-        for b in batches:
+        for b in slices(batches):
             rows, found = [], []
             for i, text in enumerate(b.column("_text").to_pylist()):
                 hs = shingle_hashes(text, memo)
@@ -141,9 +140,8 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
     """
     shingles = stored(item_shingles(items, item_col, item_text_col), "item-shingles")
     mask, parts = _slots(shingles)
-    own = with_key(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")))
     keyed = docs.select(*[c for c in KEY if c in docs.columns], F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    found = hits(keyed if set(KEY) <= set(docs.columns) else own, mask, parts, [*KEY, "_id"], "_text")
+    found = hits(keyed if KEY[0] in docs.columns else with_key(keyed), mask, parts, [*KEY, "_id"], "_text")
     # repeated rows share a key and have equal hits
     found = stored(found.dropDuplicates(list(KEY)), "hits")
     each = found.select(*KEY, F.explode("hits").alias("hash"))
@@ -168,4 +166,4 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a test item go."""
     keyed = with_key(docs)
     bad = contained(keyed, table(spark, sf_dir, "benchmark")).select(*KEY).distinct()
-    return keyed.join(bad, list(KEY), "left_anti").select(docs.columns)
+    return keyed.join(bad, list(KEY), "left_anti").select(columns(docs))

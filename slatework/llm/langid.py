@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import seeded, small_batches, stored, table, unit
+from .common import seeded, slices, stored, table, unit
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 RUN = 32  # a longer run of letters is scored in stretches of this many
@@ -209,12 +209,11 @@ def fit(docs: DataFrame, path: str = VOCABULARY, per_lang: int = PER_LANG, turns
         text_col: str = "text") -> Model:
     """Learn from the rows with a language; null languages and texts are left out."""
     spark = docs.sparkSession
-    small_batches(spark)
     rows = sample(docs, per_lang, lang_col, text_col)
 
     def count(batches):
         from collections import Counter
-        for b in batches:
+        for b in slices(batches):
             got = Counter((lang, w) for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
                           for w in words_of(text))
             yield pa.RecordBatch.from_pydict({"lang": [k for k, _ in got], "word": [w for _, w in got], "n": list(got.values())},
@@ -233,7 +232,7 @@ def fit(docs: DataFrame, path: str = VOCABULARY, per_lang: int = PER_LANG, turns
             pieces, probs, langs = state.value
             place = {x: i for i, x in enumerate(langs)}
             total = np.zeros_like(probs)
-            for b in batches:
+            for b in slices(batches):
                 counts = np.zeros((b.num_rows, len(langs)))
                 at = [place[x] for x in b.column(0).to_pylist()]
                 counts[np.arange(b.num_rows), at] = b.column(2).to_numpy()
@@ -256,7 +255,6 @@ def predict(docs: DataFrame, model: Model, carry: list[str], text_col: str = "te
     being equally likely before). A null text, one without letters, or a model
     without languages gives ``und`` and score 0; of equal scores the first
     language by name wins. Texts are scored whole."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     x = docs.select(*carry, F.col(text_col).alias("_text"))
 
@@ -264,7 +262,7 @@ def predict(docs: DataFrame, model: Model, carry: list[str], text_col: str = "te
         m = shared.value
         memo: dict[str, int] = {}
         known = np.empty((0, len(m.langs)))
-        for b in batches:
+        for b in slices(batches):
             if len(memo) > MEMO:
                 memo, known = {}, known[:0]
             texts = [words_of(t) for t in b.column("_text").to_pylist()]

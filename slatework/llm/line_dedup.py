@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, let, stored, table, with_key
+from .common import KEY, columns, let, stored, table, with_key
 
 WINDOW = 3
 
@@ -81,7 +81,7 @@ def dedup_lines(docs: DataFrame, w: int = WINDOW, id_col: str = "doc_id", text_c
     text = F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(
         F.array_join(let(lines, lambda x: F.transform(kept, lambda i: F.get(x, i))), "\n"))
     none = F.array().cast("array<int>")
-    return x.select(*[text.alias(c) if c == text_col else c for c in docs.columns if c not in ("n_lines", "n_removed", "removed")],
+    return x.select(*[text.alias(c) if c == text_col else k for k, c in zip(columns(docs), docs.columns, strict=True) if c not in ("n_lines", "n_removed", "removed")],
                     F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"),
                     F.coalesce(F.size(F.coalesce("_removed", none)), F.lit(0)).alias("n_removed"),
                     F.coalesce("_removed", none).alias("removed"))

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import KEY, cell_count, rejoin, running, seeded, source_key, stored, table, unit, with_key
+from .common import KEY, cell_count, columns, rejoin, running, seeded, source_key, stored, table, unit, with_key
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK = 64  # words; smaller where the table has fewer than 4,096 such blocks
@@ -104,7 +104,7 @@ def mix(docs: DataFrame, seed: int = SEED, block: int = BLOCK, shards: int = SHA
     """
     text = F.col(text_col)
     x = stored(docs.select(id_col, *carry, source_key(F.col(source_col)).alias("_src"), words(text).alias("size"),
-                           F.crc32(text.cast("binary")).alias("_crc"), seeded(seed, F.col(id_col)).alias("_h")),
+                           F.crc32(text.cast("binary")).alias("_crc"), seeded(seed, F.col(id_col), F.md5(text.cast("binary"))).alias("_h")),
                "mix-rows")
     shares = targets(x.groupBy("_src").agg(F.sum("size").alias("source_size")))
     taken = quotas(shares, shards, block).groupBy("_src", "source_size", "target", "block", "blocks").agg(
@@ -137,7 +137,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 SQL = rf"""
 WITH d AS (
   SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size,
-         coalesce('0' || source, '1') AS src, md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null')) AS h
+         coalesce('0' || source, '1') AS src, md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(md5(text), 'null')) AS h
   FROM documents),
 s AS (SELECT src, sum(size)::BIGINT AS source_size, ((row_number() OVER (ORDER BY src) - 1) % 3 + 1)::DOUBLE AS w
       FROM d GROUP BY src),
@@ -173,4 +173,4 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     section are taken in part). Rows taken less than half a time go."""
     x = mix(with_key(docs), carry=KEY).filter("size > 0")
     x = x.select(*KEY, F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_copies")).filter("_copies > 0")
-    return rejoin(docs, x.select(*KEY, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))).select(docs.columns)
+    return rejoin(docs, x.select(*KEY, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))).select(columns(docs))

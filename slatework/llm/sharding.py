@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, cell_count, rejoin, running, seeded, source_key, stored, table, unit, with_key
+from .common import KEY, cell_count, columns, rejoin, running, seeded, source_key, stored, table, unit, with_key
 
 SHARDS = 40
 SEED = 20240229
@@ -35,7 +35,8 @@ def assign(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_col: str
     x = stored(docs.select(
         id_col, *carry, source_key(F.col(source_col)).alias("_src"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"), seeded(seed, F.col(id_col)).alias("_h")), "shard-rows")
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        seeded(seed, F.col(id_col), F.crc32(text.cast("binary"))).alias("_h")), "shard-rows")
     per = x.groupBy("_src").agg(F.count(F.lit(1)).alias("_n"))
     total = x.count()
     cells = cell_count(total)
@@ -58,7 +59,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row with its ``shard`` and ``slot`` (own columns of that name go)."""
-    kept = [c for c in docs.columns if c not in ("shard", "slot")]
+    kept = [x for x, c in zip(columns(docs), docs.columns, strict=True) if c not in ("shard", "slot")]
     x = assign(with_key(docs), carry=KEY).select(*KEY, "shard", "slot")
     return rejoin(docs, x.withColumnsRenamed({"shard": "_shard", "slot": "_slot"})).select(
         *kept, F.col("_shard").alias("shard"), F.col("_slot").alias("slot"))

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, rejoin, small_batches, stored, table, with_key
+from .common import KEY, columns, rejoin, slices, stored, table, with_key
 from .components import components
 
 SHINGLE = 3
@@ -74,11 +74,10 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, carry: list[str], text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``carry`` columns plus ``fp`` (signed 64 bits), one row per row."""
-    small_batches(docs.sparkSession)
     x = docs.select(*carry, F.col(text_col).cast("binary").alias("_text"))
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             fps = np.array([fingerprint(t, shingle) for t in b.column("_text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carry), pa.array(fps.view(np.int64))],
                                              names=[*carry, "fp"])
@@ -197,4 +196,4 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     among rows of one id the smallest row key."""
     x = near_duplicates(with_key(docs), carry=KEY)
     first = x.groupBy("_class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *KEY)).alias("_f"))
-    return rejoin(docs, first.select(*[F.col(f"_f.{k}").alias(k) for k in KEY])).select(docs.columns)
+    return rejoin(docs, first.select(*[F.col(f"_f.{k}").alias(k) for k in KEY])).select(columns(docs))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from .common import KEY, small_batches, stored, table, with_key
+from .common import KEY, columns, slices, stored, table, with_key
 
 LEAST = 8  # words of a unit
 
@@ -130,7 +130,6 @@ def units(text: str, least: int = LEAST) -> list[tuple[int, int, bytes]]:
 def unit_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(row key, ``_id``, ``_start``, ``_end``, ``_d1``, ``_d2``): the units of each distinct
     row as arrays (offsets and 128-bit digests); rows without units go."""
-    small_batches(docs.sparkSession)
     x = docs.select(*KEY, F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     carry = [*KEY, "_id"]
 
@@ -138,7 +137,7 @@ def unit_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         return pa.ListArray.from_arrays(at, pa.array(values, kind))
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             rows, at, spans, digests = [], [0], [], []
             for i, text in enumerate(b.column("_text").to_pylist()):
                 found = units(text) if text else []
@@ -170,7 +169,7 @@ def later_units(found: DataFrame) -> DataFrame:
     x = stored(x.join(repeated, "_d1", "left_semi"), "repeated-units")
     place = F.struct(F.col("_id").isNull().alias("nil"), F.col("_id").alias("id"), *KEY, F.col("_start").alias("at"))
     first = x.groupBy("_d1", "_d2").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    own = (F.col("_first._ka") == F.col("_ka")) & (F.col("_first._kb") == F.col("_kb")) & (F.col("_first.at") == F.col("_start"))
+    own = (F.col(f"_first.{KEY[0]}") == F.col(KEY[0])) & (F.col(f"_first.{KEY[1]}") == F.col(KEY[1])) & (F.col("_first.at") == F.col("_start"))
     gone = x.join(first, ["_d1", "_d2"]).filter(~own)
     return gone.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct(
         F.col("_start").alias("start"), F.col("_end").alias("end")))).alias("_removed"))
@@ -195,7 +194,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                                     lambda z: F.substring(text, z["a"] + 1, z["b"] - z["a"])), "")
     none = F.array().cast("array<struct<start:int,end:int>>")
     clean = F.when(F.col("_removed").isNull(), text).otherwise(kept)
-    return x.select(*[clean.alias(c) if c == text_col else c for c in docs.columns if c != "removed"],
+    return x.select(*[clean.alias(c) if c == text_col else k for k, c in zip(columns(docs), docs.columns, strict=True) if c != "removed"],
                     F.coalesce("_removed", none).alias("removed"))
 
 

@@ -43,13 +43,14 @@ def labelled(docs: DataFrame, labels: DataFrame, categories: dict[str, str], sam
     """At most ``sample`` labelled ids with their words, fold and 0/1 columns.
 
     Several label rows of an id count as their maximum; a null label leaves
-    the id out; of repeated ids in ``docs`` one row is used.
+    the id out; of repeated ids in ``docs`` the text with the least MD5 is used.
     """
     y = labels.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(
         *[F.max(F.expr(sql)).cast("double").alias(f"y_{c}") for c, sql in categories.items()]).dropna()
     y = y.withColumn("_h", seeded(3, F.col("_id"))).orderBy("_h").limit(sample)
     x = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    x = x.join(F.broadcast(y), "_id").dropDuplicates(["_id"])  # bounded by ``sample``
+    x = x.join(F.broadcast(y), "_id")  # bounded by ``sample``, but for repeated ids
+    x = x.groupBy("_id", "_h", *[f"y_{c}" for c in categories]).agg(F.min(F.struct(F.md5(F.col("_text").cast("binary")), "_text"))["_text"].alias("_text"))
     fold = F.pmod(F.crc32(F.col("_h").cast("binary")), F.lit(FOLDS)).cast("int")
     return x.select("_id", fold.alias("_fold"), *[f"y_{c}" for c in categories], tokens(F.col("_text")).alias("_words"))
 

@@ -20,6 +20,8 @@ def table(spark, rows, clash=False):
     if clash:
         from pyspark.sql import functions as F
         df = df.withColumns({c.split()[0]: F.lit(7).cast(c.split()[1]) for c in CLASH.split(", ")})
+        df = df.withColumns({"a.b": F.lit("dot"), "_ka": F.lit(1), "_kb": F.lit(2), "_text": F.lit("no"), "_id": F.lit(3),
+                             "notes": F.create_map(F.lit("k"), F.col("doc_id"))})
     return df
 
 

@@ -22,7 +22,8 @@ def naive_shards(data, shards, seed, each=False):
     import hashlib
     by = defaultdict(list)
     for r in data:
-        h = hashlib.md5(f"{seed}:{'null' if r[0] is None else r[0]}".encode()).hexdigest()
+        crc = "null" if r[1] is None else zlib.crc32(r[1].encode())
+        h = hashlib.md5(f"{seed}:{'null' if r[0] is None else r[0]}:{crc}".encode()).hexdigest()
         by["1" if r[3] is None else "0" + r[3]].append((h, r))
     line = [((2 * k + 1) / (2 * len(g)), s, h, r) for s, g in by.items() for k, (h, r) in enumerate(sorted(g, key=lambda x: x[0]))]
     line.sort(key=lambda x: x[:3])
