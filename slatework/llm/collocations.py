@@ -5,12 +5,13 @@ spills subtrees as sorted runs of (language, phrase, count). The runs are dealt
 prefix partitions (language, first word) and merged there by an aggregate; a
 prefix is salted by the phrase, so a frequent first word is spread as well.
 
-Sequences are counted by length: words, pairs, then triples and quadruples. A
-phrase can reach ``least`` occurrences only if its parts do, so pairs are counted
-where both words are frequent and longer phrases where all their pairs are. What
-is frequent is passed to the tasks as a filter of 2^``FILTER_BITS`` bits, of one
-size at any input. It lets some rare sequences through, never keeps a frequent
-one out, and what passes is counted exactly, so the result does not depend on it.
+The texts are read twice. A phrase can reach ``least`` occurrences only if its
+pairs of words do. The first reading counts the words and, beside them, the pairs
+by a hash of 32 bits. The hashes with ``least`` occurrences and more become a
+filter of 2^``FILTER_BITS`` bits, of one size at any input. The second reading
+counts the phrases of 2 to 4 words whose pairs all pass it. Equal hashes only let
+rare phrases through, which are then counted exactly like all others, so the
+result does not depend on the filter.
 
 Scores, the cuts' counts and the cover by longer phrases are joins and aggregates
 on the merged counts.
@@ -26,13 +27,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, stored, table, union_all
+from .common import slices, stored, table
 from .hat_trie import BITS, MASK, HatTrie, Words
 
 LEAST = 30
 TOP = 2000
 LONGEST = 4
 COVER = 80  # per cent of a phrase's occurrences that make a longer one its cover
+SLOT_BITS = 32  # of a pair's hash
 FILTER_BITS = 26
 SALT = 64
 LIMIT = 1_500_000  # entries a task's tries hold before they spill half
@@ -40,6 +42,7 @@ WORDS = 1 << 20  # distinct words a task holds before it spills all
 BURST = 4096  # entries of a container
 STEP = 1 << 19  # words counted at a time; ids so stay below 2^BITS
 RUN_ROWS = 200_000  # rows of a run after which it is written
+SLOT_ROWS = 2_000_000  # pair hashes a task holds before it writes them
 
 # exact where products pass 64 bits
 SCORE = "(cast(a as decimal(20,0)) * 2000000) div (cast(l as decimal(20,0)) + cast(r as decimal(20,0)))"
@@ -50,12 +53,14 @@ _MULT, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 class _Counter:
-    """Counts the sequences of ``lengths`` words of one task."""
+    """Counts the sequences of ``lengths`` words of one task: with ``seen`` those whose
+    pairs all pass it; without, the hashes of all pairs as well."""
 
-    def __init__(self, lengths: tuple[int, ...], part: int, seen: np.ndarray | None, limit: int, words: int, burst: int) -> None:
-        self.lengths, self.part, self.seen = lengths, part, seen
+    def __init__(self, lengths: tuple[int, ...], seen: np.ndarray | None, limit: int, words: int, burst: int) -> None:
+        self.lengths, self.seen = lengths, seen
         self.limit, self.most_words = limit, words
         self.trie = {"burst": burst, "depth": min(2, max(1, max(lengths) - 1))}
+        self.slots: list[tuple[np.ndarray, np.ndarray]] = []
         self.forget()
 
     def forget(self) -> None:
@@ -73,41 +78,51 @@ class _Counter:
         self.hashed = n
         return ids
 
-    def phrase_hash(self, lang: str, columns: list[np.ndarray]) -> np.ndarray:
-        """64-bit hash of sequences given as columns of word ids, 0 behind the last word."""
-        h = np.full(len(columns[0]), xxhash.xxh64_intdigest(lang.encode(), 1), np.uint64)
-        for ids in columns:
-            mixed = (h ^ self.hashes[ids]) * _MULT
-            h = np.where(ids > 0, mixed ^ (mixed >> np.uint64(29)), h)
-        h = h * _MIX
-        return h ^ (h >> np.uint64(32))
-
-    def _passes(self, lang: str, ids: np.ndarray) -> np.ndarray:
-        """Where a sequence of ``part`` words starts that ``seen`` lets through."""
-        inside = _inside(ids, self.part)
-        at = np.flatnonzero(inside)
-        slot = self.phrase_hash(lang, [ids[at + j] for j in range(self.part)]) >> np.uint64(64 - FILTER_BITS)
-        inside[at] = self.seen[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1
-        return inside
+    def _pairs(self, lang: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where two words stand together in one piece, and their hashes."""
+        at = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
+        h = (self.hashes[ids[at]] ^ np.uint64(xxhash.xxh64_intdigest(lang.encode(), 1))) * _MULT
+        h = ((h ^ (h >> np.uint64(29))) ^ self.hashes[ids[at + 1]]) * _MIX
+        return at, h ^ (h >> np.uint64(32))
+
+    def _note(self, hashes: np.ndarray) -> None:
+        """Count pair hashes; merged when many are held."""
+        self.slots.append(np.unique(hashes >> np.uint64(64 - SLOT_BITS), return_counts=True))
+        if sum(len(x) for x, _ in self.slots) > SLOT_ROWS:
+            self.slots = [self._merged()]
+
+    def _merged(self) -> tuple[np.ndarray, np.ndarray]:
+        slots, counts = (np.concatenate(x) for x in zip(*self.slots))
+        order = np.argsort(slots, kind="stable")
+        slots, counts = slots[order], counts[order]
+        start = np.flatnonzero(np.concatenate([[True], slots[1:] != slots[:-1]]))
+        return slots[start], np.add.reduceat(counts, start)
 
     def add(self, lang: str, texts: list[str]) -> Iterator[pa.RecordBatch]:
         """Count the texts, ``STEP`` words at a time; runs that have to go meanwhile."""
         joined = _BREAK.join([t.encode().translate(_TABLE) for t in texts])
         tokens = joined.replace(b"\n", _BREAK).split()
         for at in range(0, len(tokens), STEP):
-            self._count(lang, self._ids(tokens[at:at + STEP + max(self.lengths) - 1]))
+            self._count(lang, self._ids(tokens[at:at + STEP + max(1, max(self.lengths) - 1)]))
             yield from self.runs()
 
     def _count(self, lang: str, ids: np.ndarray) -> None:
         """Count the sequences that start at the first ``STEP`` ids; id 0 parts two pieces."""
-        passes = None if self.seen is None else self._passes(lang, ids)
+        at, hashes = self._pairs(lang, ids)
+        passes = None
+        if self.seen is None:
+            self._note(hashes[at < STEP])
+        else:
+            slot = hashes >> np.uint64(64 - FILTER_BITS)
+            passes = np.zeros(max(0, len(ids) - 1), bool)
+            passes[at] = self.seen[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1
         firsts, rests = [], []
         for n in self.lengths:
-            if passes is None:
-                good = _inside(ids, n)
+            if n == 1:
+                good = ids > 0
             else:
                 good = np.ones(max(0, len(ids) - n + 1), bool)
-                for j in range(n - self.part + 1):
+                for j in range(n - 1):
                     good &= passes[j:j + len(good)]
             at = np.flatnonzero(good[:STEP])
             # a single word is the rest of a sequence without a first word: one container for all
@@ -120,7 +135,7 @@ class _Counter:
         first, rest = np.concatenate(firsts), np.concatenate(rests)
         if not len(first):
             return
-        order = np.lexsort((rest, first))
+        order = np.lexsort((rest, first)) if self.lengths != (1,) else np.argsort(rest)
         first, rest = first[order], rest[order]
         start = np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1]) | (rest[1:] != rest[:-1])]))
         counts = np.diff(np.concatenate([start, [len(first)]])).tolist()
@@ -151,6 +166,13 @@ class _Counter:
                     yield self._run(lang, held, names, rank)
         if everything and not end:
             self.forget()
+        held = sum(len(x) for x, _ in self.slots)
+        if held > SLOT_ROWS or end and held:
+            slots, counts = self._merged()
+            self.slots = []
+            none = pa.nulls(len(slots), pa.string())
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(slots.astype(np.int64)), pa.array(counts)],
+                                             names=["lang", "phrase", "slot", "n"])
 
     def _run(self, lang: str, trees: list[tuple], names: np.ndarray, rank: np.ndarray) -> pa.RecordBatch:
         first, rest, counts = (np.concatenate(c) for c in zip(*trees))
@@ -164,27 +186,18 @@ class _Counter:
         phrases = parts[0] if len(parts) == 1 else [b" ".join(p).rstrip(b" ") for p in zip(*parts)]
         return pa.RecordBatch.from_arrays(
             [pa.array([lang]).take(pa.array(np.zeros(len(order), np.int32))), pa.array(phrases, pa.binary()).cast(pa.string()),
-             pa.array(sum((c > 0).astype(np.int32) for c in columns)), pa.array(self.phrase_hash(lang, columns).view(np.int64)),
-             pa.array(counts[order])], names=["lang", "phrase", "size", "hash", "n"])
+             pa.nulls(len(order), pa.int64()), pa.array(counts[order])], names=["lang", "phrase", "slot", "n"])
 
 
-def _inside(ids: np.ndarray, n: int) -> np.ndarray:
-    """Where n words stand together in one piece."""
-    m = max(0, len(ids) - n + 1)
-    out = np.ones(m, bool)
-    for j in range(n):
-        out &= ids[j:j + m] > 0
-    return out
-
-
-def counted(texts: DataFrame, lengths: tuple[int, ...], part: int = 0, seen: np.ndarray | None = None,
-            limit: int = LIMIT, words: int = WORDS, burst: int = BURST) -> DataFrame:
-    """(``lang``, ``phrase``, ``size``, ``hash``, ``n``) of the sequences of ``lengths`` words in
-    (``lang``, ``text``) rows; with ``seen``, of those whose sequences of ``part`` words all pass it."""
+def counted(texts: DataFrame, lengths: tuple[int, ...], seen: np.ndarray | None = None, limit: int = LIMIT, words: int = WORDS,
+            burst: int = BURST) -> DataFrame:
+    """(``lang``, ``phrase``, ``slot``, ``n``) of the sequences of ``lengths`` words in (``lang``, ``text``)
+    rows. Without ``seen`` there are rows of pair hashes too, which have a ``slot`` and no
+    phrase; with it, only sequences whose pairs all pass it are counted."""
     shared = None if seen is None else texts.sparkSession.sparkContext.broadcast(seen)
 
     def run(batches):
-        counter = _Counter(lengths, part, None if shared is None else shared.value, limit, words, burst)
+        counter = _Counter(lengths, None if shared is None else shared.value, limit, words, burst)
         for b in slices(batches, 1000):
             langs: dict[str, list[str]] = {}
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -193,15 +206,15 @@ def counted(texts: DataFrame, lengths: tuple[int, ...], part: int = 0, seen: np.
                 yield from counter.add(lang, held)
         yield from counter.runs(end=True)
 
-    runs = texts.select("lang", "text").mapInArrow(run, "lang string, phrase string, size int, hash long, n long")
-    runs = runs.withColumns({"prefix": F.substring_index("phrase", " ", 1), "salt": F.pmod(F.col("hash"), F.lit(SALT))})
-    runs = runs.repartition("lang", "prefix", "salt")
-    return runs.groupBy("lang", "prefix", "salt", "phrase", "size", "hash").agg(F.sum("n").alias("n")).drop("prefix", "salt")
+    runs = texts.select("lang", "text").mapInArrow(run, "lang string, phrase string, slot long, n long")
+    salt = F.coalesce("slot", F.pmod(F.xxhash64("phrase"), F.lit(SALT)))
+    runs = runs.withColumns({"prefix": F.substring_index("phrase", " ", 1), "salt": salt}).repartition("lang", "prefix", "salt")
+    return runs.groupBy("lang", "prefix", "salt", "phrase", "slot").agg(F.sum("n").alias("n")).drop("prefix", "salt")
 
 
-def frequent_filter(frequent: DataFrame) -> np.ndarray:
-    """Bits of the slots that frequent phrases fall into: 2^``FILTER_BITS`` bits whatever their number."""
-    slot = F.shiftrightunsigned("hash", 64 - FILTER_BITS)
+def pair_filter(frequent: DataFrame) -> np.ndarray:
+    """Bits of the slots of frequent pairs: 2^``FILTER_BITS`` bits whatever their number."""
+    slot = F.shiftright("slot", SLOT_BITS - FILTER_BITS)
     maps = (frequent.groupBy(F.shiftright(slot, 15).alias("block"))
             .agg(F.bitmap_construct_agg(slot.bitwiseAND(F.lit(32767))).alias("bits")).collect())
     out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
@@ -215,13 +228,13 @@ def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
     ``n`` >= ``least``, and (``lang``, ``n``) with all word occurrences."""
     texts = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"),
                         F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    words = stored(counted(texts, (1,), **bounds), "words")
-    totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    found = [words.filter(F.col("n") >= least)]
-    for part, lengths in ((1, (2,)), (2, (3, 4))):
-        seen = frequent_filter(found[-1])
-        found.append(stored(counted(texts, lengths, part, seen, **bounds).filter(F.col("n") >= least), "phrases"))
-    return union_all(found).drop("hash"), totals
+    often = F.col("n") >= least
+    first = stored(counted(texts, (1,), **bounds).filter(often | F.col("phrase").isNotNull()), "words")
+    words, pairs = first.filter("phrase IS NOT NULL"), first.filter("slot IS NOT NULL")
+    more = stored(counted(texts, (2, 3, 4), pair_filter(pairs), **bounds).filter(often), "phrases")
+    frequent = words.filter(often).unionByName(more)
+    return (frequent.select("lang", "phrase", F.size(F.split("phrase", " ", -1)).alias("size"), "n"),
+            words.groupBy("lang").agg(F.sum("n").alias("n")))
 
 
 def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, top: int | None = TOP,

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,10 +69,10 @@ def test_a_long_text_in_steps(spark, monkeypatch):
     rnd = random.Random(2)
     text = " ".join(rnd.choices(["a", "b", "c", "d."], k=5000))
     monkeypatch.setattr(C, "STEP", 7)
-    counter = C._Counter((3, 4), 2, None, 100, 3, 5)
+    counter = C._Counter((3, 4), np.full(1 << (C.FILTER_BITS - 3), 255, np.uint8), 100, 3, 5)
     found = Counter()
     for batch in [*counter.add("en", [text, text]), *counter.runs(end=True)]:
-        for p, n in zip(batch.column(1).to_pylist(), batch.column(4).to_pylist()):
+        for p, n in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist()):
             found[p] += n
     want = Counter()
     for piece in text.split("."):
@@ -105,7 +106,7 @@ def test_trie_counts_bursts_and_spills_the_largest():
 
 
 def test_runs_are_sorted():
-    counter = C._Counter((2,), 1, None, 10**6, 10**6, 4)
+    counter = C._Counter((2,), np.full(1 << (C.FILTER_BITS - 3), 255, np.uint8), 10**6, 10**6, 4)
     list(counter.add("en", ["b a c a b c a. c c b"]))
     (run,) = counter.runs(end=True)
     phrases = run.column(1).to_pylist()
@@ -119,3 +120,15 @@ def test_query_and_sql(spark, tmp_path):
     db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     got = rows(C.query(spark, str(tmp_path)))
     assert got and got == sorted(db.execute(C.SQL).fetchall(), key=repr)
+
+
+def test_pair_hashes_are_merged(monkeypatch):
+    monkeypatch.setattr(C, "SLOT_ROWS", 3)
+    monkeypatch.setattr(C, "STEP", 4)
+    counter = C._Counter((1,), None, 10**6, 10**6, 4)
+    found = Counter()
+    for batch in [*counter.add("en", ["a b c. a b c a b. b a", "a b c"]), *counter.runs(end=True)]:
+        for slot, n in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            if slot is not None:
+                found[slot] += n
+    assert sorted(found.values()) == [1, 1, 3, 4]  # c a, b a, b c, a b
