@@ -7,7 +7,7 @@ it changes. Verdict order follows the application: the first failing check
 wins. Nothing is written; persisting a new version is ``sources.export``.
 
 Several requests for one key in one batch:
-- full replacements (M2, M5, M7, M9 updates, M13 updates, M15 renames):
+- full replacements (M2, M5, M9 updates, M13 updates, M15 renames):
   every request gets its own verdict, the last accepted one by
   (requested_at, id) gives the state;
 - deletes (M8, M10, M11): the first accepted one takes effect, later ones
@@ -26,12 +26,11 @@ from pyspark.sql import functions as F
 
 from ..functions import enums as E
 from ..functions import scalars as X
+from ..session import stored
 from . import checks as C
-from . import scan
 from . import reads as R
 from . import scan
-
-ACCEPTED = "accepted"
+from .settle import ACCEPTED, first_wins, numbered, settled
 
 
 def first_failure(checks: Sequence[tuple[Column, str, str]]) -> tuple[Column, Column]:
@@ -74,14 +73,6 @@ def _latest(df: DataFrame, keys: Sequence[str], value_cols: Sequence[str]) -> Da
                                                          ["requested_at", "id", *value_cols]])
 
 
-def _earliest_flag(df: DataFrame, keys: Sequence[str], flag: str, identity: str = "id") -> DataFrame:
-    """Mark rows whose ``identity`` is the one of the earliest (requested_at, id) row per key."""
-    order = F.struct("requested_at", "id")
-    win = df.groupBy(*keys).agg(F.min_by(F.col(identity), order).alias("_wid"))
-    out = df.join(win, list(keys), "left")
-    return out.withColumn(flag, F.col(identity) == F.col("_wid")).drop("_wid")
-
-
 def _member_role(requests: DataFrame, memberships: DataFrame, user_col: str, ws_col: str, out: str) -> DataFrame:
     m = memberships.select(F.col("workspace_id").alias("_mw"), F.col("user_id").alias("_mu"), F.col("role").alias(out))
     return requests.join(m, (F.col(ws_col) == F.col("_mw")) & (F.col(user_col) == F.col("_mu")), "left").drop(
@@ -181,58 +172,87 @@ def _admin_checks(requests: DataFrame, memberships: DataFrame) -> DataFrame:
     return _member_role(requests, memberships, "actor_id", "workspace_id", "_actor_role")
 
 
-def change_roles(memberships: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Admin changes another member's role.
+_GONE = ""  # stands for a removed membership among the roles
+
+
+def write_members(memberships: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Role changes and removals of members, as if applied one by one in
+    (requested_at, id) order.
 
-    requests: id, actor_id, workspace_id, target_user_id, role, requested_at.
-    Order: actor not a member -> not admin -> bad role -> self -> target
-    not a member. Admin rights are those at the start of the batch.
+    requests: id, kind ('change_role'/'remove'), actor_id, workspace_id,
+    target_user_id, role, requested_at. Order: actor not a member -> not admin
+    -> (change_role) bad role -> self -> target not a member. The roles of actor
+    and target are those they have by then: who was demoted or removed earlier
+    in the batch has no rights any more, who became an admin has.
+
+    Every request is on two lines, its actor's and its target's, and the last
+    accepted request on a line gives the role there; rounds of this settle the
+    outcomes (``settle.settled``). Only narrow rows take part.
     """
-    g = _admin_checks(requests, memberships)
-    g = _member_role(g, memberships, "target_user_id", "workspace_id", "_target_role")
-    verdict, field = first_failure([
-        (F.col("_actor_role").isNull(), "not_found", "workspace"),
-        (F.col("_actor_role") != "admin", "forbidden", "role"),
-        (_bad_enum("role", "role"), "invalid_enum", "role"),
-        (F.col("actor_id") == F.col("target_user_id"), "self", "user_id"),
-        (F.col("_target_role").isNull(), "not_found", "membership"),
+    change = F.col("kind") == "change_role"
+    all_rows = numbered(requests, "member-requests")
+    g = _member_role(all_rows, memberships, "actor_id", "workspace_id", "_actor0")
+    g = _member_role(g, memberships, "target_user_id", "workspace_id", "_target0")
+    narrow = ["_row", "id", "requested_at", "workspace_id", "actor_id", "target_user_id"]
+    chain = first_failure([
+        (F.col("_actor").isNull(), "not_found", "workspace"),
+        (F.col("_actor") != "admin", "forbidden", "role"),
+        (F.col("_sets").isNull(), "invalid_enum", "role"),
+        (F.coalesce(F.col("actor_id") == F.col("target_user_id"), F.lit(False)), "self", "user_id"),
+        (F.col("_target").isNull(), "not_found", "membership"),
     ])
-    verdicts = g.select(*requests.columns, verdict.alias("verdict"), field.alias("field"))
-    acc = verdicts.filter(F.col("verdict") == ACCEPTED).withColumnRenamed("target_user_id", "user_id")
-    last = _latest(acc, ["workspace_id", "user_id"], ["role"]).select(
-        "workspace_id", "user_id", F.col("role").alias("_new_role"))
+    sets = F.when(~change, F.lit(_GONE)).when(~_bad_enum("role", "role"), F.col("role"))
+    start = g.select(*narrow, "_actor0", "_target0", sets.alias("_sets")).withColumns({
+        "_actor": F.col("_actor0"), "_target": F.col("_target0")})
+
+    def verdicts_of(x: DataFrame) -> DataFrame:
+        return x.withColumns({"verdict": chain[0], "field": chain[1]}).withColumn("_ok", F.col("verdict") == ACCEPTED)
+
+    def judge(x: DataFrame) -> DataFrame:
+        def side(user: str, value: Column, name: str) -> DataFrame:
+            return x.select("workspace_id", F.col(user).alias("_user"), "requested_at", "id", "_row",
+                            F.lit(name).alias("_side"), value.alias("_value"))
+
+        line = side("actor_id", F.lit(None).cast("string"), "a").unionByName(
+            side("target_user_id", F.when(F.col("_ok"), F.col("_sets")), "t"))
+        seen = scan.last_before(line, ["workspace_id", "_user"], ["requested_at", "id", "_row", "_side"], "_value", "_now")
+        by_row = seen.groupBy(F.col("_row").alias("_r")).agg(
+            *[F.max(F.when(F.col("_side") == k, F.col("_now"))).alias(f"_{k}") for k in "at"])
+        y = x.drop("_actor", "_target", "verdict", "field", "_ok").join(by_row, F.col("_row") == F.col("_r"), "left")
+
+        def role(now: str, before: str) -> Column:
+            return F.when(F.col(now) == _GONE, None).otherwise(F.coalesce(now, before))
+
+        return verdicts_of(y.withColumns({"_actor": role("_a", "_actor0"), "_target": role("_t", "_target0")}).drop("_r", "_a", "_t"))
+
+    done = settled(stored(verdicts_of(start), "members"), judge)
+    verdicts = all_rows.join(done.select(F.col("_row").alias("_r"), "verdict", "field"), F.col("_row") == F.col("_r")).select(
+        *requests.columns, "verdict", "field")
+    last = done.filter("_ok").groupBy("workspace_id", F.col("target_user_id").alias("user_id")).agg(
+        F.max(F.struct("requested_at", "id", "_row", "_sets"))["_sets"].alias("_new_role"))
     new = (memberships.join(last, ["workspace_id", "user_id"], "left")
-           .withColumn("role", F.coalesce("_new_role", "role")).drop("_new_role"))
+           .filter(F.col("_new_role").isNull() | (F.col("_new_role") != _GONE))
+           .withColumn("role", F.coalesce("_new_role", "role")).select(memberships.columns))
     return verdicts, new
 
 
-def remove_members(memberships: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Admin removes another member; the first accepted removal of a
-    membership takes effect, later ones find nothing (not_found).
+def _of_kind(memberships: DataFrame, requests: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
+    full = requests.withColumn("kind", F.lit(kind))
+    if "role" not in requests.columns:
+        full = full.withColumn("role", F.lit(None).cast("string"))
+    verdicts, new = write_members(memberships, full)
+    return verdicts.select(*requests.columns, "verdict", "field"), new
 
-    requests: id, actor_id, workspace_id, target_user_id, requested_at.
-    Order: actor not a member -> not admin -> self -> target not a member.
-    """
-    g = _admin_checks(requests, memberships)
-    g = _member_role(g, memberships, "target_user_id", "workspace_id", "_target_role")
-    verdict, field = first_failure([
-        (F.col("_actor_role").isNull(), "not_found", "workspace"),
-        (F.col("_actor_role") != "admin", "forbidden", "role"),
-        (F.col("actor_id") == F.col("target_user_id"), "self", "user_id"),
-        (F.col("_target_role").isNull(), "not_found", "membership"),
-    ])
-    g = g.withColumn("_v", verdict).withColumn("_f", field)
-    ok = g.filter(F.col("_v") == ACCEPTED)
-    ok = _earliest_flag(ok, ["workspace_id", "target_user_id"], "_first").select("id", "_first")
-    g = g.join(ok, "id", "left")
-    verdicts = g.select(*requests.columns,
-                        F.when((F.col("_v") == ACCEPTED) & ~F.col("_first"), "not_found").otherwise(F.col("_v"))
-                        .alias("verdict"),
-                        F.when((F.col("_v") == ACCEPTED) & ~F.col("_first"), "membership").otherwise(F.col("_f"))
-                        .alias("field"))
-    gone = verdicts.filter(F.col("verdict") == ACCEPTED).select(
-        "workspace_id", F.col("target_user_id").alias("user_id"))
-    return verdicts, memberships.join(gone, ["workspace_id", "user_id"], "left_anti")
+
+def change_roles(memberships: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """M7: admins change other members' roles: ``write_members`` with only that kind."""
+    return _of_kind(memberships, requests, "change_role")
+
+
+def remove_members(memberships: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """M8: admins remove other members: ``write_members`` with only that kind; the first
+    accepted removal of a membership takes effect, later ones find nothing."""
+    return _of_kind(memberships, requests, "remove")
 
 
 # M9 ------------------------------------------------------------------------
@@ -242,36 +262,52 @@ def write_clients(clients: DataFrame, requests: DataFrame, as_of=None) -> tuple[
     requests: id, workspace_id, kind ('create'/'update'), client_id (for
     updates), name, social_handles (JSON text), notes, active, requested_at.
     New clients take the request id and are always active. Order: name
-    required -> (update) client not found (live, in the workspace) -> name
-    taken. A name (lower-cased, per workspace) is taken when another live
-    client holds it, or when an earlier request of this batch claims it for
-    another client; handles are normalised to a map (null/non-object -> {}).
+    required -> (update) client not found (live, in the workspace at the start
+    of the batch) -> name taken. A name (lower-cased, per workspace) is taken
+    when another live client holds it by then: requests count as applied one by
+    one in (requested_at, id) order, so a rename frees the old name for the
+    requests after it. One rename touches two names, so the outcomes settle in
+    rounds (``settle.settled``) over narrow rows, each a count of holders before
+    every request. Handles are normalised to a map (null/non-object -> {}).
     """
-    is_update = F.col("kind") == "update"
-    # identity of the client a request writes: an existing one or a new one
-    target = F.when(is_update, F.concat(F.lit("c:"), F.col("client_id").cast("string"))) \
-        .otherwise(F.concat(F.lit("n:"), F.col("id").cast("string")))
-    r = requests.withColumn("_target", target).withColumn("_key", F.lower("name"))
+    is_update = F.coalesce(F.col("kind") == "update", F.lit(False))
+    all_rows = numbered(requests, "client-requests")
     live = R.live_rows(clients)
-    g = C._exists_flag(r, live, [("client_id", "id"), ("workspace_id", "workspace_id")], "_found")
-    holders = live.select(F.col("workspace_id").alias("_hw"), F.lower("name").alias("_hk"),
-                          F.concat(F.lit("c:"), F.col("id").cast("string")).alias("_hid"))
-    taken_by_other = (g.join(holders, (F.col("workspace_id") == F.col("_hw")) & (F.col("_key") == F.col("_hk")) &
-                             (F.col("_hid") != F.col("_target")), "left_semi").select("id")
-                      .withColumn("_taken", F.lit(True)))
-    g = g.join(taken_by_other, "id", "left").withColumn("_taken", F.coalesce("_taken", F.lit(False)))
-    pre, pre_field = first_failure([
-        (_blank("name"), "required", "name"),
-        (is_update & ~F.col("_found"), "not_found", "client"),
-        (F.col("_taken"), "conflict", "name"),
-    ])
-    g = g.withColumn("_v", pre).withColumn("_f", pre_field)
-    cand = _earliest_flag(g.filter(F.col("_v") == ACCEPTED), ["workspace_id", "_key"], "_win", identity="_target")
-    g = g.join(cand.select("id", "_win"), "id", "left")
-    lost = (F.col("_v") == ACCEPTED) & ~F.coalesce(F.col("_win"), F.lit(False))
-    verdicts = g.select(*requests.columns,
-                        F.when(lost, "conflict").otherwise(F.col("_v")).alias("verdict"),
-                        F.when(lost, "name").otherwise(F.col("_f")).alias("field"))
+    found = live.groupBy(F.col("id").alias("_cid"), F.col("workspace_id").alias("_cws")).agg(F.min(F.lower("name")).alias("_name0"))
+    held = live.groupBy(F.col("workspace_id").alias("_hw"), F.lower("name").alias("_hk")).agg(F.count(F.lit(1)).alias("_holders0"))
+    g = all_rows.select("_row", "id", "requested_at", "workspace_id", F.when(is_update, F.col("client_id")).alias("_client"),
+                        is_update.alias("_update"), F.lower("name").alias("_key"), _blank("name").alias("_no_name"))
+    g = g.join(found, (F.col("_client") == F.col("_cid")) & (F.col("workspace_id") == F.col("_cws")), "left")
+    g = g.join(held, (F.col("workspace_id") == F.col("_hw")) & (F.col("_key") == F.col("_hk")), "left")
+    pre, pre_field = first_failure([(F.col("_no_name"), "required", "name"),
+                                    (F.col("_update") & F.col("_cid").isNull(), "not_found", "client")])
+    g = stored(g.select("_row", "id", "requested_at", "workspace_id", "_client", "_update", "_key", "_name0",
+                        F.coalesce("_holders0", F.lit(0)).alias("_holders0"), pre.alias("_pre"), pre_field.alias("_pre_field"))
+               .withColumn("_ok", F.col("_pre") == ACCEPTED), "client-checks")
+    order = ["requested_at", "id", "_row"]
+    renames = not g.filter(F.col("_ok") & F.col("_update")).isEmpty()
+
+    def judge(x: DataFrame) -> DataFrame:
+        """Who holds the name by then: clients that held it at first, and those that took it, less those that left it."""
+        asking = x.filter(F.col("_pre") == ACCEPTED)
+        own = asking.filter(~F.col("_update")).withColumn("_own", F.lit(None).cast("string"))
+        if renames:
+            line = asking.filter("_update").withColumn("_took", F.when(F.col("_ok"), F.col("_key")))
+            line = scan.last_before(line, ["workspace_id", "_client"], order, "_took", "_last").drop("_took")
+            own = own.unionByName(line.withColumn("_own", F.coalesce("_last", "_name0")).drop("_last"))
+        moves = F.col("_ok") & ~F.col("_own").eqNullSafe(F.col("_key"))
+        asks = own.withColumns({"_name": F.col("_key"), "_delta": moves.cast("long"), "_ask": F.lit(True)})
+        frees = own.filter(moves & F.col("_own").isNotNull()).withColumns({
+            "_name": F.col("_own"), "_delta": F.lit(-1).cast("long"), "_ask": F.lit(False)})
+        x2 = scan.prefix_sum(asks.unionByName(frees) if renames else asks, ["workspace_id", "_name"], order, "_delta", "_before").filter("_ask")
+        others = F.col("_holders0") + F.col("_before") - F.col("_own").eqNullSafe(F.col("_key")).cast("long")
+        return x2.withColumn("_ok", others == 0).select(x.columns).unionByName(x.filter(F.col("_pre") != ACCEPTED))
+
+    done = settled(g, judge)
+    lost = (F.col("_pre") == ACCEPTED) & ~F.col("_ok")
+    outcome = done.select(F.col("_row").alias("_r"), F.when(lost, "conflict").otherwise(F.col("_pre")).alias("verdict"),
+                          F.when(lost, "name").otherwise(F.col("_pre_field")).alias("field"))
+    verdicts = all_rows.join(outcome, F.col("_row") == F.col("_r")).select(*requests.columns, "verdict", "field")
     acc = verdicts.filter(F.col("verdict") == ACCEPTED).withColumns({
         "social_handles": X.handles_map("social_handles"),
         "notes": F.coalesce("notes", F.lit("")),
@@ -301,17 +337,19 @@ def write_clients(clients: DataFrame, requests: DataFrame, as_of=None) -> tuple[
 
 
 # M10 -----------------------------------------------------------------------
+def _found_or(g: DataFrame, requests: DataFrame, what: str) -> DataFrame:
+    """Verdict and field of a deletion from ``_found``."""
+    return g.select(*requests.columns, F.when(F.col("_found"), ACCEPTED).otherwise("not_found").alias("verdict"),
+                    F.when(~F.col("_found"), F.lit(what)).alias("field"))
+
+
 def soft_delete_clients(clients: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """requests: id, workspace_id, client_id, requested_at. A live client of
     that workspace is marked deleted at the request time; a second delete
     of the same client finds nothing."""
     g = C._exists_flag(requests, R.live_rows(clients), [("client_id", "id"), ("workspace_id", "workspace_id")],
                        "_found")
-    ok = _earliest_flag(g.filter("_found"), ["client_id", "workspace_id"], "_first").select("id", "_first")
-    g = g.join(ok, "id", "left")
-    acc = F.coalesce(F.col("_first"), F.lit(False))
-    verdicts = g.select(*requests.columns, F.when(acc, ACCEPTED).otherwise("not_found").alias("verdict"),
-                        F.when(acc, None).otherwise(F.lit("client")).alias("field"))
+    verdicts = first_wins(_found_or(g, requests, "client"), ["client_id", "workspace_id"], "not_found", "client")
     d = verdicts.filter(F.col("verdict") == ACCEPTED).select(
         F.col("client_id").alias("_cid"), F.col("workspace_id").alias("_cws"), F.col("requested_at").alias("_at"))
     new = (clients.join(d, (F.col("id") == F.col("_cid")) & (F.col("workspace_id") == F.col("_cws")), "left")
@@ -330,12 +368,8 @@ def soft_delete_workspaces(workspaces: DataFrame, memberships: DataFrame, reques
         (F.col("_actor_role") != "admin", "forbidden", "role"),
         (~F.col("_live"), "not_found", "workspace"),
     ])
-    g = g.withColumn("_v", pre).withColumn("_f", pre_f)
-    ok = _earliest_flag(g.filter(F.col("_v") == ACCEPTED), ["workspace_id"], "_first").select("id", "_first")
-    g = g.join(ok, "id", "left")
-    lost = (F.col("_v") == ACCEPTED) & ~F.coalesce(F.col("_first"), F.lit(False))
-    verdicts = g.select(*requests.columns, F.when(lost, "not_found").otherwise(F.col("_v")).alias("verdict"),
-                        F.when(lost, "workspace").otherwise(F.col("_f")).alias("field"))
+    verdicts = first_wins(g.select(*requests.columns, pre.alias("verdict"), pre_f.alias("field")), ["workspace_id"],
+                          "not_found", "workspace")
     d = verdicts.filter(F.col("verdict") == ACCEPTED).select(F.col("workspace_id").alias("_wid"),
                                                              F.col("requested_at").alias("_at"))
     new = (workspaces.join(d, F.col("id") == F.col("_wid"), "left")
@@ -348,11 +382,7 @@ def delete_tasks(tasks: DataFrame, requests: DataFrame) -> tuple[DataFrame, Data
     """requests: id, workspace_id, task_id, requested_at. Hard delete; the
     first request removes the task, later ones find nothing."""
     g = C._exists_flag(requests, tasks, [("task_id", "id"), ("workspace_id", "workspace_id")], "_found")
-    ok = _earliest_flag(g.filter("_found"), ["task_id", "workspace_id"], "_first").select("id", "_first")
-    g = g.join(ok, "id", "left")
-    acc = F.coalesce(F.col("_first"), F.lit(False))
-    verdicts = g.select(*requests.columns, F.when(acc, ACCEPTED).otherwise("not_found").alias("verdict"),
-                        F.when(acc, None).otherwise(F.lit("task")).alias("field"))
+    verdicts = first_wins(_found_or(g, requests, "task"), ["task_id", "workspace_id"], "not_found", "task")
     gone = verdicts.filter(F.col("verdict") == ACCEPTED).select(F.col("task_id").alias("id"), "workspace_id")
     return verdicts, tasks.join(gone, ["id", "workspace_id"], "left_anti")
 
@@ -361,11 +391,8 @@ def delete_comments(comments: DataFrame, items: DataFrame, requests: DataFrame)
     """requests: id, workspace_id, comment_id, author_id, requested_at.
     Only the author may delete, within the comment's workspace (J8)."""
     g = C.deletable_comments(requests, comments, items)
-    ok = _earliest_flag(g.filter(F.col("verdict") == ACCEPTED), ["comment_id"], "_first").select("id", "_first")
-    g = g.join(ok, "id", "left")
-    acc = F.coalesce(F.col("_first"), F.lit(False))
-    verdicts = g.select(*requests.columns, F.when(acc, ACCEPTED).otherwise("not_found").alias("verdict"),
-                        F.when(acc, None).otherwise(F.lit("comment")).alias("field"))
+    g = g.withColumn("_found", F.col("verdict") == ACCEPTED).drop("verdict")
+    verdicts = first_wins(_found_or(g, requests, "comment"), ["comment_id"], "not_found", "comment")
     gone = verdicts.filter(F.col("verdict") == ACCEPTED).select(F.col("comment_id").alias("id"))
     return verdicts, comments.join(gone, "id", "left_anti")
 
@@ -540,12 +567,7 @@ def register_users(users: DataFrame, workspaces: DataFrame, memberships: DataFra
     """
     g = C._exists_flag(requests, users, [("email", "email")], "_taken")
     pre, pre_f = first_failure([(_blank("email"), "required", "email"), (F.col("_taken"), "conflict", "email")])
-    g = g.withColumn("_v", pre).withColumn("_f", pre_f)
-    ok = _earliest_flag(g.filter(F.col("_v") == ACCEPTED), ["email"], "_first").select("id", "_first")
-    g = g.join(ok, "id", "left")
-    lost = (F.col("_v") == ACCEPTED) & ~F.coalesce(F.col("_first"), F.lit(False))
-    verdicts = g.select(*requests.columns, F.when(lost, "conflict").otherwise(F.col("_v")).alias("verdict"),
-                        F.when(lost, "email").otherwise(F.col("_f")).alias("field"))
+    verdicts = first_wins(g.select(*requests.columns, pre.alias("verdict"), pre_f.alias("field")), ["email"], "conflict", "email")
     acc = verdicts.filter(F.col("verdict") == ACCEPTED).withColumn("_name", X.user_display_name("name", "email"))
     new_users = acc.select(F.col("new_user_id").alias("id"), "email", F.col("_name").alias("name"),
                            F.col("requested_at").alias("created_at"), F.col("requested_at").alias("updated_at"))
@@ -621,26 +643,22 @@ def add_comments(comments: DataFrame, items: DataFrame, requests: DataFrame) ->
 # M17 -----------------------------------------------------------------------
 def issue_invites(invites: DataFrame, memberships: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """requests: id, actor_id, workspace_id, token, max_uses,
-    expires_in_hours, requested_at. Admin only; max_uses <= 0 means 10,
-    hours <= 0 mean 7 days. The token is supplied by the caller and unique:
+    expires_in_hours, requested_at. Admin only; a token is required (the
+    table has no invite without one); max_uses <= 0 means 10, hours <= 0 mean 7 days. The token is supplied by the caller and unique:
     one that a stored invite or an earlier accepted request has is a conflict."""
     held = invites.select(F.col("token").alias("_held")).distinct()
     g = _admin_checks(requests, memberships).join(held, F.col("token") == F.col("_held"), "left")
     verdict, field = first_failure([
         (F.col("_actor_role").isNull(), "not_found", "workspace"),
         (F.col("_actor_role") != "admin", "forbidden", "role"),
+        (_blank("token"), "required", "token"),
         (F.col("_held").isNotNull(), "conflict", "token"),
     ])
-    g = g.withColumns({"_v": verdict, "_f": field})
     # the earliest request that passes takes the token
-    passing = F.when(F.col("_v") == ACCEPTED, F.struct("requested_at", "id"))
-    won = g.groupBy("token").agg(F.min(passing).alias("_won")).withColumnRenamed("token", "_tk")
-    g = g.join(won, F.col("token").eqNullSafe(F.col("_tk")), "left")
-    late = (F.col("_v") == ACCEPTED) & F.col("token").isNotNull() & (F.struct("requested_at", "id") != F.col("_won"))
-    verdict, field = F.when(late, "conflict").otherwise(F.col("_v")), F.when(late, "token").otherwise(F.col("_f"))
-    verdicts = g.select(*requests.columns, verdict.alias("verdict"), field.alias("field"),
-                        X.invite_max_uses("max_uses").alias("effective_max_uses"),
-                        X.invite_expires_at("requested_at", "expires_in_hours").alias("expires_at"))
+    judged = first_wins(g.select(*requests.columns, verdict.alias("verdict"), field.alias("field")), ["token"], "conflict", "token")
+    verdicts = judged.select(*requests.columns, "verdict", "field",
+                             X.invite_max_uses("max_uses").alias("effective_max_uses"),
+                             X.invite_expires_at("requested_at", "expires_in_hours").alias("expires_at"))
     new = verdicts.filter(F.col("verdict") == ACCEPTED).select(
         "id", "workspace_id", F.col("actor_id").alias("created_by"), "token",
         F.col("effective_max_uses").alias("max_uses"), F.lit(0).alias("use_count"), "expires_at",

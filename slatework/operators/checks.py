@@ -159,36 +159,47 @@ def bad_enums(specs: list[tuple[DataFrame, str, str, str]]) -> DataFrame:
 
 
 # Q4 ------------------------------------------------------------------------
-# (child table, child key, reference column, parent table, parent key)
-FOREIGN_KEYS = [
-    ("memberships", "user_id", "workspace_id", "workspaces", "id"),
-    ("memberships", "workspace_id", "user_id", "users", "id"),
-    ("workspace_invites", "id", "workspace_id", "workspaces", "id"),
-    ("clients", "id", "workspace_id", "workspaces", "id"),
-    ("content_items", "id", "workspace_id", "workspaces", "id"),
-    ("content_items", "id", "client_id", "clients", "id"),
-    ("content_items", "id", "created_by", "users", "id"),
-    ("comments", "id", "content_item_id", "content_items", "id"),
-    ("comments", "id", "author_id", "users", "id"),
-    ("tasks", "id", "workspace_id", "workspaces", "id"),
-    ("tasks", "id", "assignee_id", "users", "id"),
-    ("tasks", "id", "content_item_id", "content_items", "id"),
-    ("tasks", "id", "client_id", "clients", "id"),
-]
+# child table -> (its row key, {reference column: parent table}); a reference holds the parent's id
+FOREIGN_KEYS: dict[str, tuple[tuple[str, ...], dict[str, str]]] = {
+    "memberships": (("workspace_id", "user_id"), {"workspace_id": "workspaces", "user_id": "users"}),
+    "workspace_invites": (("id",), {"workspace_id": "workspaces", "created_by": "users"}),
+    "clients": (("id",), {"workspace_id": "workspaces"}),
+    "content_items": (("id",), {"workspace_id": "workspaces", "client_id": "clients", "created_by": "users"}),
+    "comments": (("id",), {"content_item_id": "content_items", "author_id": "users"}),
+    "tasks": (("id",), {"workspace_id": "workspaces", "assignee_id": "users", "content_item_id": "content_items", "client_id": "clients"}),
+}
+
+
+def require_columns(tables: dict[str, DataFrame], columns: dict[str, set[str]]) -> None:
+    """Raise unless every table has the columns named: an audit never skips one in silence."""
+    missing = {t: sorted(cols - set(tables[t].columns)) for t, cols in columns.items() if cols - set(tables[t].columns)}
+    if missing:
+        raise KeyError(f"columns missing: {missing}")
 
 
 def orphans(tables: dict[str, DataFrame]) -> DataFrame:
     """References whose parent row does not exist (null references are fine).
-    Rows: child table, reference column, child key, missing value."""
-    require(tables, {t for k in FOREIGN_KEYS for t in (k[0], k[3])})
-    parts = []
-    for child, ckey, ref, parent, pkey in FOREIGN_KEYS:
-        c = tables[child].filter(F.col(ref).isNotNull())
-        p = tables[parent].select(F.col(pkey).alias("_pk"))
-        parts.append(c.join(p, c[ref] == p["_pk"], "left_anti")
-                     .select(F.lit(child).alias("table_name"), F.lit(ref).alias("column_name"),
-                             F.col(ckey).cast("string").alias("row_key"), F.col(ref).cast("string").alias("missing")))
-    return reduce(DataFrame.unionByName, parts)
+    Rows: child table, reference column, child row key (comma-joined), missing value.
+
+    All references of all tables are stacked, all parents' ids too, and one
+    join on (parent table, value) finds the orphans: every table is read
+    once as a child and once as a parent, whatever the number of references.
+    """
+    parents = {p for _, refs in FOREIGN_KEYS.values() for p in refs.values()}
+    require(tables, set(FOREIGN_KEYS) | parents)
+    require_columns(tables, {t: {*key, *refs} for t, (key, refs) in FOREIGN_KEYS.items()} | {p: {"id"} for p in parents})
+    children = []
+    for child, (key, refs) in FOREIGN_KEYS.items():
+        row_key = F.concat_ws(",", *[F.col(k).cast("string") for k in key])
+        each = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(p).alias("_parent"), F.col(c).cast("string").alias("missing"))
+                         for c, p in refs.items()])
+        children.append(tables[child].select(F.lit(child).alias("table_name"), row_key.alias("row_key"), F.inline(each)))
+    held = reduce(DataFrame.unionByName, [tables[p].select(F.lit(p).alias("_parent"), F.col("id").cast("string").alias("missing"))
+                                          for p in sorted(parents)])
+    refs = reduce(DataFrame.unionByName, children).filter(F.col("missing").isNotNull())
+    # an outer join, since an anti join would be pushed below the union, once per table
+    return (refs.join(held.withColumn("_held", F.lit(True)), ["_parent", "missing"], "left").filter(F.col("_held").isNull())
+            .select("table_name", "column_name", "row_key", "missing"))
 
 
 # Q5 ------------------------------------------------------------------------
@@ -207,14 +218,15 @@ def cross_tenant_refs(items: DataFrame, tasks: DataFrame, clients: DataFrame, me
 
 # Q6 ------------------------------------------------------------------------
 NOT_NULL = {
-    "users": ["id", "email", "name"],
-    "workspaces": ["id", "name"],
-    "memberships": ["workspace_id", "user_id", "role"],
-    "workspace_invites": ["id", "workspace_id", "token", "max_uses", "use_count", "expires_at"],
-    "clients": ["id", "workspace_id", "name", "active"],
-    "content_items": ["id", "workspace_id", "title", "platform", "content_type", "status"],
-    "comments": ["id", "content_item_id", "body"],
-    "tasks": ["id", "workspace_id", "done"],
+    "users": ["id", "email", "name", "created_at", "updated_at"],
+    "workspaces": ["id", "name", "created_at", "updated_at"],
+    "memberships": ["workspace_id", "user_id", "role", "joined_at"],
+    "workspace_invites": ["id", "workspace_id", "created_by", "token", "max_uses", "use_count", "expires_at", "created_at"],
+    "clients": ["id", "workspace_id", "name", "social_handles", "notes", "active", "created_at", "updated_at"],
+    "content_items": ["id", "workspace_id", "title", "description", "platform", "content_type", "status", "created_by",
+                      "created_at", "updated_at"],
+    "comments": ["id", "content_item_id", "author_id", "body", "created_at"],
+    "tasks": ["id", "workspace_id", "title", "description", "done", "created_at", "updated_at"],
 }
 
 
@@ -222,10 +234,10 @@ def null_violations(tables: dict[str, DataFrame]) -> DataFrame:
     """Nulls in NOT NULL columns: one aggregate pass per table, then the
     counts unpivoted to (table, column, nulls) rows."""
     require(tables, set(NOT_NULL))
+    require_columns(tables, {t: set(cols) for t, cols in NOT_NULL.items()})
     parts = []
     for table, cols in NOT_NULL.items():
         df = tables[table]
-        cols = [c for c in cols if c in df.columns]
         agg = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols])
         stack = "stack({n}, {pairs}) as (column_name, nulls)".format(
             n=len(cols), pairs=", ".join(f"'{c}', `{c}`" for c in cols))

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import enums as E
 from ..functions import scalars as X
 from . import scan
-
-ACCEPTED = "accepted"
+from .settle import ACCEPTED, first_wins
 
 
 def invite_state(invites: DataFrame, as_of) -> DataFrame:
@@ -55,18 +54,25 @@ def claim_invites(invites: DataFrame, memberships: DataFrame, claims: DataFrame
                            F.col("role").alias("_role"))
     v = v.join(m, (F.col("workspace_id") == F.col("_mw")) & (F.col("user_id") == F.col("_mu")), "left")
     acc = F.col("verdict") == ACCEPTED
-    v = v.withColumn("role", F.when(acc, F.coalesce("_role", F.lit(E.DEFAULT_ROLE))))
-    v = v.withColumn("_joins", acc & F.col("_mw").isNull()).drop("_mw", "_mu", "_role")
-    first = (v.filter("_joins").groupBy("workspace_id", "user_id")
-             .agg(F.min(F.struct("claimed_at", "id")).alias("_f"))
-             .select("workspace_id", "user_id", F.col("_f.id").alias("_fid"), F.col("_f.claimed_at").alias("joined_at")))
-    verdicts = (v.join(first.select(F.col("_fid").alias("id"), F.lit(True).alias("new_member")), "id", "left")
-                .withColumn("new_member", F.coalesce("new_member", F.lit(False)))
-                .withColumn("field", F.when(~acc, F.lit("token")))
-                .drop("_joins"))
-    new_members = first.select("workspace_id", "user_id", F.lit(E.DEFAULT_ROLE).alias("role"), "joined_at")
-    used = (verdicts.filter(acc).groupBy("token").agg(F.count(F.lit(1)).alias("_used")))
+    joins = acc & F.col("_mw").isNull()
+    # the first join of a (workspace, user) by (claimed_at, id) makes the member; the marking never joins on the claim's id
+    v = v.select(*claims.columns, "workspace_id", F.col("verdict").alias("_verdict"),
+                 F.when(acc, F.coalesce("_role", F.lit(E.DEFAULT_ROLE))).alias("role"),
+                 F.when(joins, ACCEPTED).alias("verdict"), F.lit(None).cast("string").alias("field"))
+    v = first_wins(v, ["workspace_id", "user_id"], "later", "later", order=("claimed_at", "id"))
+    verdicts = v.select(*claims.columns, "workspace_id", F.col("_verdict").alias("verdict"), "role",
+                        F.coalesce(F.col("verdict") == ACCEPTED, F.lit(False)).alias("new_member"),
+                        F.when(F.col("_verdict") != ACCEPTED, F.lit("token")).alias("field"))
+    return verdicts, *after_claims(verdicts, memberships, invites)
+
+
+def after_claims(verdicts: DataFrame, memberships: DataFrame, invites: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(memberships, invites) after claims with these verdicts, of a batch or a stream."""
+    accepted = verdicts.filter(F.col("verdict") == ACCEPTED)
+    new_members = accepted.filter("new_member").select("workspace_id", "user_id", F.lit(E.DEFAULT_ROLE).alias("role"),
+                                                       F.col("claimed_at").alias("joined_at"))
+    used = accepted.groupBy("token").agg(F.count(F.lit(1)).alias("_used"))
     new_invites = (invites.join(used, "token", "left")
                    .withColumn("use_count", (F.col("use_count") + F.coalesce("_used", F.lit(0))).cast("int"))
-                   .drop("_used"))
-    return verdicts, memberships.unionByName(new_members, allowMissingColumns=True), new_invites
+                   .select(invites.columns))
+    return memberships.unionByName(new_members, allowMissingColumns=True), new_invites

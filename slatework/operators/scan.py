@@ -75,6 +75,18 @@ def prefix_count(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colum
         "_pid", "_pos", "_p0", "_off")
 
 
+def prefix_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], value: str, out: str) -> DataFrame:
+    """Add ``out`` = the sum of ``value`` over the rows with the same keys that come
+    earlier in ``order`` (0 for the first); segments are summed like in ``prefix_count``."""
+    x = positions(df, keys, order)
+    seg = x.groupBy(*keys, "_pid").agg(F.sum(value).alias("_sum"))
+    w = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    seg = seg.withColumn("_off", F.coalesce(F.sum("_sum").over(w), F.lit(0))).drop("_sum")
+    here = Window.partitionBy(*keys, "_pid").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
+    y = _join_segments(x, seg, keys)
+    return y.withColumn(out, F.col("_off") + F.coalesce(F.sum(value).over(here), F.lit(0))).drop("_pid", "_pos", "_off")
+
+
 def last_before(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], value: str, out: str) -> DataFrame:
     """Add ``out`` = the last non-null ``value`` among the rows with the same
     keys that come earlier in ``order`` (null if there is none).

@@ -173,70 +173,112 @@ def claim_invites(fx):
     return v.select("id", "token", "user_id", "workspace_id", "verdict", "role", "new_member")
 
 
-_ROLE_BASE = """
-with r as (select q.*, a.role as actor_role, t.role as target_role from member_requests q
-  left join memberships a on a.workspace_id = q.workspace_id and a.user_id = q.actor_id
-  left join memberships t on t.workspace_id = q.workspace_id and t.user_id = q.target_user_id
-  where q.kind = '{kind}')"""
+def _members_sql(kinds: str) -> str:
+    """One by one: the members of a workspace as a list, stepped by its requests in time order."""
+    role = "list_filter(w.st, lambda m: m.u = {})[1].r"
+    actor, target = role.format("r.actor_id"), role.format("r.target_user_id")
+    checks = _chain([
+        ("actor is null", "not_found", "workspace"),
+        ("actor <> 'admin'", "forbidden", "role"),
+        (f"kind = 'change_role' and (role is null or role not in {_ROLES})", "invalid_enum", "role"),
+        ("actor_id = target_user_id", "self", "user_id"),
+        ("target is null", "not_found", "membership")])
+    return f"""
+with recursive r as (select *, row_number() over (partition by workspace_id order by requested_at, id) as rn
+                     from member_requests where kind in ({kinds})),
+s as (select workspace_id, list(struct_pack(u := user_id, r := role)) as st from memberships group by workspace_id),
+walk as (
+  select workspace_id, cast(0 as bigint) as rn, cast(null as bigint) as id, cast(null as varchar) as kind,
+         cast(null as varchar) as verdict, cast(null as varchar) as field, st
+  from s where workspace_id in (select workspace_id from r)
+  union all
+  select workspace_id, rn, id, kind, verdict, field,
+         case when verdict <> 'accepted' then st when kind = 'remove' then list_filter(st, lambda m: m.u <> target_user_id)
+              else list_transform(st, lambda m: struct_pack(u := m.u, r := case when m.u = target_user_id then role else m.r end)) end
+  from (select *, {checks}
+        from (select r.*, w.st, {actor} as actor, {target} as target
+              from walk w join r on r.workspace_id = w.workspace_id and r.rn = w.rn + 1))),
+done as (select id, kind, verdict, field from walk where rn > 0
+         union all select id, kind, 'not_found', 'workspace' from r where workspace_id not in (select workspace_id from s))"""
 
 
-@register("change_roles", uses=("member_requests", "memberships"), sql=_ROLE_BASE.format(kind="change_role") + f"""
-select id, {_chain([
-    ("actor_role is null", "not_found", "workspace"),
-    ("actor_role <> 'admin'", "forbidden", "role"),
-    (f"role is null or role not in {_ROLES}", "invalid_enum", "role"),
-    ("actor_id = target_user_id", "self", "user_id"),
-    ("target_role is null", "not_found", "membership")])}
-from r""")
+@register("change_roles", uses=("member_requests", "memberships"), sql=_members_sql("'change_role'") + "\nselect id, verdict, field from done")
 def change_roles(fx):
-    """M7: an admin changes another member's role."""
+    """M7: admins change other members' roles, one by one in time order."""
     req = fx.member_requests.filter(F.col("kind") == "change_role")
     v, _ = M.change_roles(fx.memberships, req)
     return v.select("id", "verdict", "field")
 
 
-@register("remove_members", uses=("member_requests", "memberships"), sql=_ROLE_BASE.format(kind="remove") + f"""
-, p as (select *, {_chain([
-    ("actor_role is null", "not_found", "workspace"),
-    ("actor_role <> 'admin'", "forbidden", "role"),
-    ("actor_id = target_user_id", "self", "user_id"),
-    ("target_role is null", "not_found", "membership")])} from r),
-w as (select id, row_number() over (partition by workspace_id, target_user_id order by requested_at, id) as rk
-      from p where verdict = 'accepted')
-select p.id, case when p.verdict = 'accepted' and w.rk > 1 then 'not_found' else p.verdict end as verdict,
-       case when p.verdict = 'accepted' and w.rk > 1 then 'membership' else p.field end as field
-from p left join w on w.id = p.id""")
+@register("remove_members", uses=("member_requests", "memberships"), sql=_members_sql("'remove'") + "\nselect id, verdict, field from done")
 def remove_members(fx):
-    """M8: an admin removes another member; the first removal takes effect."""
+    """M8: admins remove other members, one by one in time order."""
     req = fx.member_requests.filter(F.col("kind") == "remove")
     v, _ = M.remove_members(fx.memberships, req)
     return v.select("id", "verdict", "field")
 
 
-@register("write_clients", uses=("client_requests", "clients"), sql="""
-with live as (select * from clients where deleted_at is null),
-r as (select q.*, case when kind = 'update' then 'c:' || cast(client_id as varchar) else 'n:' || cast(id as varchar) end as target,
-             lower(name) as k from client_requests q),
-g as (select r.*,
-        exists (select 1 from live c where c.id = r.client_id and c.workspace_id = r.workspace_id) as found,
-        exists (select 1 from live c where c.workspace_id = r.workspace_id and lower(c.name) = r.k
-                and 'c:' || cast(c.id as varchar) <> r.target) as taken from r),
-p as (select *, case when name is null or name = '' then 'required' when kind = 'update' and not found then 'not_found'
-                     when taken then 'conflict' else 'accepted' end as pre,
-                case when name is null or name = '' then 'name' when kind = 'update' and not found then 'client'
-                     when taken then 'name' end as pre_field from g),
-w as (select workspace_id, k, target as wtarget from (
-        select *, row_number() over (partition by workspace_id, k order by requested_at, id) as rk
-        from p where pre = 'accepted') where rk = 1)
-select p.id, p.kind, case when p.pre = 'accepted' and p.target <> w.wtarget then 'conflict' else p.pre end as verdict,
-       case when p.pre = 'accepted' and p.target <> w.wtarget then 'name' else p.pre_field end as field
-from p left join w on w.workspace_id = p.workspace_id and w.k = p.k""")
+@register("write_members", uses=("member_requests", "memberships"),
+          sql=_members_sql("'change_role', 'remove'") + "\nselect id, kind, verdict, field from done")
+def write_members(fx):
+    """M7, M8: role changes and removals in one time order; rights are those at the time."""
+    v, _ = M.write_members(fx.memberships, fx.member_requests)
+    return v.select("id", "kind", "verdict", "field")
+
+
+@register("write_members_state", uses=("member_requests", "memberships"), sql=_members_sql("'change_role', 'remove'") + """,
+last as (select workspace_id, st from walk qualify row_number() over (partition by workspace_id order by rn desc) = 1)
+select workspace_id, m.u as user_id, m.r as role from (select workspace_id, unnest(st) as m from last)
+union all select workspace_id, user_id, role from memberships where workspace_id not in (select workspace_id from r)""")
+def write_members_state(fx):
+    """M7, M8: the members after the batch."""
+    _, out = M.write_members(fx.memberships, fx.member_requests)
+    return out.select("workspace_id", "user_id", "role")
+
+
+# One by one: the live clients of a workspace with their names as a list, stepped by its requests in time order.
+_CLIENTS_SQL = """
+with recursive r as (select *, row_number() over (partition by workspace_id order by requested_at, id) as rn,
+    case when kind = 'update' then 'c:' || client_id else 'n:' || id end as target from client_requests),
+s as (select w.workspace_id, coalesce(list(struct_pack(c := 'c:' || c.id, k := lower(c.name))) filter (where c.id is not null), []) as st
+      from (select distinct workspace_id from r) w
+      left join clients c on c.workspace_id = w.workspace_id and c.deleted_at is null group by w.workspace_id),
+walk as (
+  select workspace_id, cast(0 as bigint) as rn, cast(null as bigint) as id, cast(null as varchar) as kind,
+         cast(null as varchar) as verdict, st from s
+  union all
+  select workspace_id, rn, id, kind, verdict,
+         case when verdict <> 'accepted' then st
+              else list_append(list_filter(st, lambda x: x.c <> target), struct_pack(c := target, k := lower(name))) end
+  from (select *, case when name is null or name = '' then 'required'
+                       when kind = 'update' and len(list_filter(st, lambda x: x.c = target)) = 0 then 'not_found'
+                       when len(list_filter(st, lambda x: x.k = lower(name) and x.c <> target)) > 0 then 'conflict'
+                       else 'accepted' end as verdict
+        from (select r.*, w.st from walk w join r on r.workspace_id = w.workspace_id and r.rn = w.rn + 1)))"""
+
+
+@register("write_clients", uses=("client_requests", "clients"), sql=_CLIENTS_SQL + """
+select id, kind, verdict, case verdict when 'required' then 'name' when 'conflict' then 'name' when 'not_found' then 'client' end as field
+from walk where rn > 0""")
 def write_clients(fx):
-    """M9: create and update clients; names unique per workspace ignoring case."""
+    """M9: create and update clients one by one in time order; names unique per workspace ignoring case."""
     v, _ = M.write_clients(fx.clients, fx.client_requests)
     return v.select("id", "kind", "verdict", "field")
 
 
+@register("write_clients_state", uses=("client_requests", "clients"), sql=_CLIENTS_SQL + """,
+ok as (select r.* from r join walk w on w.workspace_id = r.workspace_id and w.rn = r.rn where w.verdict = 'accepted'),
+u as (select * from ok where kind = 'update'
+      qualify row_number() over (partition by client_id, workspace_id order by requested_at desc, id desc) = 1)
+select c.id, c.workspace_id, coalesce(u.name, c.name) as name, case when u.id is null then c.active else u.active end as active,
+       c.deleted_at from clients c left join u on u.client_id = c.id and u.workspace_id = c.workspace_id
+union all select id, workspace_id, name, true, null from ok where kind = 'create'""")
+def write_clients_state(fx):
+    """M9: the clients after the batch."""
+    _, out = M.write_clients(fx.clients, fx.client_requests)
+    return out.select("id", "workspace_id", "name", "active", "deleted_at")
+
+
 @register("soft_delete", uses=("delete_requests", "clients"), sql=f"""
 with r as (select id, workspace_id, cast(target_id as bigint) as client_id, requested_at from delete_requests
            where target = 'client'),
@@ -452,6 +494,7 @@ with j as (
   select r.*, {_chain([
     ("m.role is null", "not_found", "workspace"),
     ("m.role <> 'admin'", "forbidden", "role"),
+    ("r.token is null or r.token = ''", "required", "token"),
     ("r.token in (select token from invites where token is not null)", "conflict", "token")])}
   from invite_requests r left join memberships m on m.workspace_id = r.workspace_id and m.user_id = r.actor_id),
 k as (select *, verdict = 'accepted' and token is not null
@@ -491,6 +534,8 @@ from .registry import BODIES, ORACLE  # noqa: E402
 def _narrowed_sql(base_key: str, table_ref: str, kind: str) -> str:
     sql = ORACLE[base_key]
     assert sql.count(table_ref) == 1, (base_key, table_ref)
+    if table_ref.endswith(")"):
+        return sql.replace(table_ref, f"{table_ref[:-1]} where kind = '{kind}')")
     alias = table_ref.split()[-1]
     return sql.replace(table_ref, f"from (select * from {table_ref.split()[1]} where kind = '{kind}') {alias}")
 
@@ -523,9 +568,9 @@ class _KindFixtures:
 
 
 for _name, _base, _ref, _kind, _table, _doc in [
-    ("create_clients", "write_clients", "from client_requests q", "create", "client_requests",
+    ("create_clients", "write_clients", "target from client_requests)", "create", "client_requests",
      "M9: create clients (name required, unique per workspace ignoring case, handles normalised)."),
-    ("update_clients", "write_clients", "from client_requests q", "update", "client_requests",
+    ("update_clients", "write_clients", "target from client_requests)", "update", "client_requests",
      "M9: update live clients (name required, found, unique per workspace ignoring case)."),
     ("create_tasks", "write_tasks", "from task_requests q", "create", "task_requests",
      "M13: create tasks (title, due date, then the three tenant guards)."),

@@ -133,17 +133,49 @@ def bad_enums(fx):
     return C.bad_enums([(fx[t], t, c, f) for t, c, f in _ENUM_SPECS])
 
 
-def _orphan_sql():
-    parts = [f"select '{ch}' as table_name, '{ref}' as column_name, cast(c.{ck} as varchar) as row_key, "
-             f"cast(c.{ref} as varchar) as missing from {_NAME.get(ch, ch)} c where c.{ref} is not null and not exists "
-             f"(select 1 from {pa} p where p.{pk} = c.{ref})" for ch, ck, ref, pa, pk in C.FOREIGN_KEYS]
-    return "\nunion all\n".join(parts)
-
-
-@register("orphans", uses=ENTITY_FIXTURES, sql=_orphan_sql())
+FULL = tuple(f"full_{n}" for n in ENTITY_FIXTURES)
+
+
+def _full(fx):
+    return {"workspace_invites" if n == "invites" else n: fx[f"full_{n}"] for n in ENTITY_FIXTURES}
+
+
+# Written out from the tables' definitions, not from the operator's own list.
+_ORPHAN_SQL = """
+select 'memberships' as table_name, 'workspace_id' as column_name, c.workspace_id || ',' || c.user_id as row_key, cast(c.workspace_id as varchar) as missing
+  from full_memberships c where c.workspace_id is not null and not exists (select 1 from full_workspaces p where p.id = c.workspace_id)
+union all select 'memberships', 'user_id', c.workspace_id || ',' || c.user_id, cast(c.user_id as varchar)
+  from full_memberships c where c.user_id is not null and not exists (select 1 from full_users p where p.id = c.user_id)
+union all select 'workspace_invites', 'workspace_id', cast(c.id as varchar), cast(c.workspace_id as varchar)
+  from full_invites c where c.workspace_id is not null and not exists (select 1 from full_workspaces p where p.id = c.workspace_id)
+union all select 'workspace_invites', 'created_by', cast(c.id as varchar), cast(c.created_by as varchar)
+  from full_invites c where c.created_by is not null and not exists (select 1 from full_users p where p.id = c.created_by)
+union all select 'clients', 'workspace_id', cast(c.id as varchar), cast(c.workspace_id as varchar)
+  from full_clients c where c.workspace_id is not null and not exists (select 1 from full_workspaces p where p.id = c.workspace_id)
+union all select 'content_items', 'workspace_id', cast(c.id as varchar), cast(c.workspace_id as varchar)
+  from full_content_items c where c.workspace_id is not null and not exists (select 1 from full_workspaces p where p.id = c.workspace_id)
+union all select 'content_items', 'client_id', cast(c.id as varchar), cast(c.client_id as varchar)
+  from full_content_items c where c.client_id is not null and not exists (select 1 from full_clients p where p.id = c.client_id)
+union all select 'content_items', 'created_by', cast(c.id as varchar), cast(c.created_by as varchar)
+  from full_content_items c where c.created_by is not null and not exists (select 1 from full_users p where p.id = c.created_by)
+union all select 'comments', 'content_item_id', cast(c.id as varchar), cast(c.content_item_id as varchar)
+  from full_comments c where c.content_item_id is not null and not exists (select 1 from full_content_items p where p.id = c.content_item_id)
+union all select 'comments', 'author_id', cast(c.id as varchar), cast(c.author_id as varchar)
+  from full_comments c where c.author_id is not null and not exists (select 1 from full_users p where p.id = c.author_id)
+union all select 'tasks', 'workspace_id', c.id, cast(c.workspace_id as varchar)
+  from full_tasks c where c.workspace_id is not null and not exists (select 1 from full_workspaces p where p.id = c.workspace_id)
+union all select 'tasks', 'assignee_id', c.id, cast(c.assignee_id as varchar)
+  from full_tasks c where c.assignee_id is not null and not exists (select 1 from full_users p where p.id = c.assignee_id)
+union all select 'tasks', 'content_item_id', c.id, cast(c.content_item_id as varchar)
+  from full_tasks c where c.content_item_id is not null and not exists (select 1 from full_content_items p where p.id = c.content_item_id)
+union all select 'tasks', 'client_id', c.id, cast(c.client_id as varchar)
+  from full_tasks c where c.client_id is not null and not exists (select 1 from full_clients p where p.id = c.client_id)"""
+
+
+@register("orphans", uses=FULL, sql=_ORPHAN_SQL)
 def orphans(fx):
-    """Q4: references whose parent row is missing."""
-    return C.orphans(_tables(fx))
+    """Q4: references whose parent row is missing, over every reference of the data model."""
+    return C.orphans(_full(fx))
 
 
 @register("cross_tenant_refs", uses=("content_items", "tasks", "clients", "memberships"), sql=f"""
@@ -165,13 +197,24 @@ def cross_tenant_refs(fx):
     return C.cross_tenant_refs(fx.content_items, fx.tasks, fx.clients, fx.memberships)
 
 
-def _null_sql():
-    parts = [f"select '{t}' as table_name, '{c}' as column_name, count(*) filter (where {c} is null) as nulls from {_NAME.get(t, t)}"
-             for t, cols in C.NOT_NULL.items() for c in cols]
-    return "\nunion all\n".join(parts)
-
-
-@register("null_violations", uses=ENTITY_FIXTURES, sql=_null_sql())
+# Per table, written out from the tables' definitions.
+_REQUIRED_COLUMNS = [
+    ("users", "full_users", "id email name created_at updated_at"),
+    ("workspaces", "full_workspaces", "id name created_at updated_at"),
+    ("memberships", "full_memberships", "workspace_id user_id role joined_at"),
+    ("workspace_invites", "full_invites", "id workspace_id created_by token max_uses use_count expires_at created_at"),
+    ("clients", "full_clients", "id workspace_id name social_handles notes active created_at updated_at"),
+    ("content_items", "full_content_items",
+     "id workspace_id title description platform content_type status created_by created_at updated_at"),
+    ("comments", "full_comments", "id content_item_id author_id body created_at"),
+    ("tasks", "full_tasks", "id workspace_id title description done created_at updated_at"),
+]
+_NULL_SQL = "\nunion all\n".join(
+    f"select '{t}' as table_name, '{c}' as column_name, count(*) filter (where {c} is null) as nulls from {f}"
+    for t, f, cols in _REQUIRED_COLUMNS for c in cols.split())
+
+
+@register("null_violations", uses=FULL, sql=_NULL_SQL)
 def null_violations(fx):
-    """Q6: nulls in NOT NULL columns, per table and column."""
-    return C.null_violations(_tables(fx))
+    """Q6: nulls in every NOT NULL column of the data model, per table and column."""
+    return C.null_violations(_full(fx))

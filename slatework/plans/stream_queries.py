@@ -32,17 +32,11 @@ def transitions_stream(fx):
     return out.select("id", "content_item_id", "to_status", "from_status", "verdict")
 
 
-_CLAIM_VERDICTS_SQL = _CLAIMS_SQL.replace(
-    """select vm.id, vm.token, vm.user_id, vm.workspace_id, vm.verdict,
-       case when vm.verdict = 'accepted' then coalesce(vm.mrole, 'viewer') end as role,
-       coalesce(nj.rk = 1, false) as new_member
-from vm left join nj on nj.id = vm.id""", "select id, token, user_id, workspace_id, verdict from v")
-
-
-@register("claims_stream", uses=("claims", "invites", "memberships"), sql=_CLAIM_VERDICTS_SQL)
+@register("claims_stream", uses=("claims", "invites", "memberships"), sql=_CLAIMS_SQL)
 def claims_stream(fx):
-    """R2: invite claims as a stream, judged against expiry and the quota
-    used so far (state per token)."""
+    """R2: invite claims as a stream, judged against expiry, the quota used so
+    far (state per token) and the joins so far (state per workspace and user)."""
     claims = _derive(fx, "claims", _event_stream(fx))
-    out = S.run_to_table(fx.spark, S.claims_stream(claims, fx.invites), shared_root(fx.spark), "claims")
-    return out.select("id", "token", "user_id", F.col("workspace_id").cast("bigint").alias("workspace_id"), "verdict")
+    out = S.run_to_table(fx.spark, S.claims_stream(claims, fx.invites, fx.memberships), shared_root(fx.spark), "claims")
+    return out.select("id", "token", "user_id", F.col("workspace_id").cast("bigint").alias("workspace_id"), "verdict",
+                      "role", "new_member")

@@ -220,6 +220,21 @@ select p_partkey as id, (p_partkey % 40) + 1 as actor_id, p_partkey % 25 as work
 from {part}""",
 }
 
+# The entity tables with all columns of the data model, for the audits; some
+# values are null and some references point nowhere (FIXTURES.md section 5).
+_STAMP = "cast('1995-01-01' as {TS}) + (x.id % 300) * interval '1' day"
+_FULL = {
+    "users": f"x.*, case when x.id % 4 = 0 then null else {_STAMP} end as created_at, {_STAMP} as updated_at",
+    "workspaces": f"x.*, {_STAMP} as created_at, case when x.id % 7 = 3 then null else {_STAMP} end as updated_at",
+    "memberships": "x.workspace_id, x.user_id, x.role, case when x.user_id % 5 = 0 then null else x.joined_at end as joined_at",
+    "invites": f"x.*, case when x.id % 17 = 0 then 900000 + x.id when x.id % 19 = 0 then null else x.id % 10 + 1 end as created_by, {_STAMP} as created_at",
+    "clients": f"x.*, case when x.id % 8 = 0 then null else 'noted' end as notes, {_STAMP} as created_at, {_STAMP} as updated_at",
+    "content_items": "x.*, case when x.id % 9 = 0 then null else 'described' end as description",
+    "comments": "x.*",
+    "tasks": "x.*, case when length(x.id) % 11 = 0 then null else 'Task' end as title, '' as description, x.created_at as updated_at",
+}
+FIXTURE_SQL |= {f"full_{t}": f"\nselect {cols} from ({FIXTURE_SQL[t].strip()}) x" for t, cols in _FULL.items()}
+
 FIXTURE_NAMES = list(FIXTURE_SQL)
 
 _PLACEHOLDER = re.compile(r"\{(\w+)\}")

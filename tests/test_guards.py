@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from slatework.operators import changes as M
 from slatework.operators import checks as C
 
@@ -73,12 +75,26 @@ def test_role_change_order(spark):
     assert {r.user_id: r.role for r in m.collect()} == {1: "admin", 2: "cm", 3: "cm"}
 
 
+def _all_tables(spark, **given):
+    """The eight tables with all their columns, empty where not given (missing columns become null)."""
+    from pyspark.sql import types as T
+
+    from slatework.sources.schemas import TABLE_NAMES, entity_schema
+    out = {}
+    for name in TABLE_NAMES:
+        schema = T.StructType([T.StructField(f.name, f.dataType) for f in entity_schema(name, T.LongType())])
+        out[name] = spark.createDataFrame([], schema)
+        if name in given:
+            out[name] = out[name].unionByName(given[name], allowMissingColumns=True)
+    return out
+
+
 def test_dup_keys_finds_repeats(spark):
     users = spark.createDataFrame([(1, "a@x"), (2, "a@x"), (2, "b@x")], "id long, email string")
     members = spark.createDataFrame([(10, 1, "cm"), (10, 1, "viewer"), (11, 1, "cm")],
                                     "workspace_id long, user_id long, role string")
     got = {(r.table_name, r.key_name, r.value): r.occurrences
-           for r in C.dup_keys({"users": users, "memberships": members}).collect()}
+           for r in C.dup_keys(_all_tables(spark, users=users, memberships=members)).collect()}
     assert got == {("users", "id", "2"): 2, ("users", "email", "a@x"): 2,
                    ("memberships", "workspace_id,user_id", "10,1"): 2}
 
@@ -88,10 +104,30 @@ def test_orphans_and_null_refs(spark):
     items = spark.createDataFrame([(1, 10, None), (2, 11, 5)], "id long, workspace_id long, client_id long")
     clients = spark.createDataFrame([(6, 10)], "id long, workspace_id long")
     got = sorted((r.table_name, r.column_name, r.row_key, r.missing) for r in
-                 C.orphans({"workspaces": ws, "content_items": items, "clients": clients}).collect())
+                 C.orphans(_all_tables(spark, workspaces=ws, content_items=items, clients=clients)).collect())
     assert got == [("content_items", "client_id", "2", "5"), ("content_items", "workspace_id", "2", "11")]
 
 
+def test_orphans_plan_and_audits_raise(spark):
+    import pytest
+    tables = _all_tables(spark)
+    plan = C.orphans(tables)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 3
+    for audit, table, column in ((C.orphans, "workspace_invites", "created_by"), (C.null_violations, "tasks", "title")):
+        with pytest.raises(KeyError):
+            audit(tables | {table: tables[table].drop(column)})
+        with pytest.raises(KeyError):
+            audit({k: v for k, v in tables.items() if k != table})
+
+
+def test_nulls_of_every_required_column(spark):
+    from slatework.sources.schemas import TABLE_NAMES
+    one = {n: spark.range(1).select(F.lit(None).cast("string").alias("name")) for n in ("users", "workspaces", "clients")}
+    got = {(r.table_name, r.column_name): r.nulls for r in C.null_violations(_all_tables(spark, **one)).collect()}
+    assert {t for t, _ in got} == set(TABLE_NAMES) and len(got) == 51
+    assert {k for k, n in got.items() if n} == {k for k in got if k[0] in one}
+
+
 def test_task_writes_state(spark):
     T0 = dt.datetime(2026, 1, 1)
     tasks = spark.createDataFrame(

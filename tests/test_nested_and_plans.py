@@ -77,7 +77,7 @@ def test_hot_workspace_is_written_by_many_tasks(spark, tmp_path):
     keep = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
     try:
-        df = spark.range(300_000).select("id", F.lit(1).alias("workspace_id"), F.md5(F.col("id").cast("string")).alias("title"))
+        df = spark.range(0, 300_000, 1, 8).select("id", F.lit(1).alias("workspace_id"), F.md5(F.col("id").cast("string")).alias("title"))
         path = S.write_snapshot(df, str(tmp_path), "content_items")
         files = spark.read.parquet(path).select(F.input_file_name().alias("f")).distinct().count()
         assert files > 4 and spark.read.parquet(path).count() == 300_000
@@ -112,7 +112,9 @@ def test_streams_take_string_ids(spark, tmp_path):
     invites = spark.createDataFrame([("w1", "tok", 3, 1, at + dt.timedelta(days=9))],
                                     "workspace_id string, token string, max_uses int, use_count int, expires_at timestamp_ntz")
     stream = spark.readStream.schema(claims.schema).parquet(str(tmp_path / "claims"))
-    out = S.run_to_table(spark, S.claims_stream(stream, invites), str(tmp_path), "c")
+    members = spark.createDataFrame([("w1", "u1", "cm")], "workspace_id string, user_id string, role string")
+    out = S.run_to_table(spark, S.claims_stream(stream, invites, members), str(tmp_path), "c")
+    assert sorted((r.id, r.role, r.new_member) for r in out.filter("verdict = 'accepted'").collect()) == [("c0", "viewer", True), ("c1", "cm", False)]
     assert sorted((r.id, r.workspace_id, r.verdict) for r in out.collect()) == [
         ("c0", "w1", "accepted"), ("c1", "w1", "accepted"), ("c2", "w1", "unusable"), ("c3", "w1", "unusable"), ("c4", "w1", "unusable")]
     req = spark.createDataFrame([("r1", "i1", "review", at), ("r2", "i1", "review", at + dt.timedelta(hours=1))],
