@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import seeded, slices, stored, table, unit
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-RUN = 32  # a longer run of letters is scored in stretches of this many
-LONGEST = RUN + 1  # characters of a piece with its start mark; a longer one fits no stretch
+RUN = 32  # longer runs of letters are scored one by one; the model learns from them in stretches of this many
+LONGEST = 64  # characters of a piece with its start mark; the vocabulary has no longer one
 PER_LANG = 400
 TURNS = 3
 FLOOR = 1e-7  # probability of a character that begins no piece
@@ -50,14 +50,14 @@ def read_pieces(path: str = VOCABULARY, longest: int = LONGEST) -> list[str]:
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-case runs of letters, cut into stretches of ``RUN``, with the start mark."""
-    out = []
-    for w in _LETTERS.findall(text.lower()) if text else ():
-        if len(w) <= RUN:
-            out.append(START + w)
-        else:
-            out += [START + w[i:i + RUN] for i in range(0, len(w), RUN)]
-    return out
+    """Lower-case runs of letters with the start mark."""
+    return [START + w for w in _LETTERS.findall(text.lower())] if text else []
+
+
+def stretches(words: list[str]) -> list[str]:
+    """Words to learn from: those of over ``RUN`` letters in stretches."""
+    return [w if len(w) <= RUN + 1 else START + w[i:i + RUN] for w in words
+            for i in range(1, 2 if len(w) <= RUN + 1 else len(w), RUN)]
 
 
 class Pieces:
@@ -97,6 +97,17 @@ class Pieces:
     def _slot(self, h: np.ndarray, turn: int) -> np.ndarray:
         return (h * np.uint64(0xBF58476D1CE4E5B9 + 2 * turn) >> np.uint64(64 - self.BITS)).astype(np.int64)
 
+    def along(self, codes: np.ndarray) -> np.ndarray:
+        """One word's codes (L,) -> (longest, L): number of the piece of l + 1 characters at each place."""
+        out = np.zeros((self.longest, len(codes)), np.int32)
+        h = np.zeros(len(codes), np.uint64)
+        for size in range(1, min(self.longest, len(codes)) + 1):
+            h = self._push(h[:len(codes) - size + 1], codes[size - 1:])
+            for t, (keys, ids) in enumerate(self.tables):
+                slot = self._slot(h, t)
+                out[size - 1, :len(h)] = np.where(keys[slot] == h, ids[slot], out[size - 1, :len(h)])
+        return out
+
     def find(self, codes: np.ndarray) -> list[list[np.ndarray]]:
         """codes (L, n) -> at[i][l - 1]: number (0: none) of the piece that begins
         at place i and has l characters, for each of the n words."""
@@ -136,14 +147,41 @@ def forward(pieces: Pieces, probs: np.ndarray, words: list[str]) -> np.ndarray:
 
     ``probs``: (pieces + 1, languages), row 0 zero."""
     out = np.empty((len(words), probs.shape[1]))
-    order = np.argsort([len(w) for w in words], kind="stable")
-    for lo in range(0, len(words), 4096):  # words of like length together
+    sizes = np.array([len(w) for w in words], np.int64)
+    for i in np.flatnonzero(sizes > RUN + 1):
+        out[i] = _long(pieces, probs, words[i])
+    order = np.flatnonzero(sizes <= RUN + 1)
+    order = order[np.argsort(sizes[order], kind="stable")]
+    for lo in range(0, len(order), 4096):  # words of like length together
         some = order[lo:lo + 4096]
         codes, sizes = _coded([words[i] for i in some])
         out[some] = np.log(_alphas(pieces.find(codes), probs, len(some))[sizes, np.arange(len(some))])
     return out
 
 
+def _long(pieces: Pieces, probs: np.ndarray, word: str) -> np.ndarray:
+    """``forward`` for one word of any length: only the last ``longest`` places are
+    held, each scaled to 1, and the scales' logarithms are summed."""
+    codes = np.frombuffer(word.encode("utf-32-le", errors="surrogatepass"), np.uint32).astype(np.uint64)
+    log, ahead = np.zeros(probs.shape[1]), np.zeros((pieces.longest + 1, probs.shape[1]))
+    for lo in range(0, len(codes), 1 << 16):
+        n = min(1 << 16, len(codes) - lo)
+        at = pieces.along(codes[lo:lo + n + pieces.longest - 1])[:, :n]
+        place, size = np.nonzero(at.T)
+        cuts = np.searchsorted(place, np.arange(n + 1))
+        for i in range(n):
+            some = size[cuts[i]:cuts[i + 1]]
+            ahead[some + 1] += probs[at[some, i]]
+            if not at[0, i]:
+                ahead[1] += FLOOR
+            scale = ahead[1].copy()
+            log += np.log(scale)
+            ahead[:-1] = ahead[1:] / scale
+            ahead[-1] = 0
+            ahead[0] = 1
+    return log
+
+
 def _alphas(at: list[list[np.ndarray]], probs: np.ndarray, n: int) -> np.ndarray:
     """(L + 1, n, languages) probabilities of the first j characters."""
     alpha = np.zeros((len(at) + 1, n, probs.shape[1]))
@@ -215,7 +253,7 @@ def fit(docs: DataFrame, path: str = VOCABULARY, per_lang: int = PER_LANG, turns
         from collections import Counter
         for b in slices(batches):
             got = Counter((lang, w) for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
-                          for w in words_of(text))
+                          for w in stretches(words_of(text)))
             yield pa.RecordBatch.from_pydict({"lang": [k for k, _ in got], "word": [w for _, w in got], "n": list(got.values())},
                                              pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())]))
 

@@ -1,30 +1,34 @@
 """Line dedup by winnowing over line hashes (operator 5).
 
 A text is a sequence of lines, compared without surrounding blanks; blank
-lines take no part. Of every window of ``w`` lines the smallest line hash is
-selected as a fingerprint, so every run of ``w`` lines that occurs twice has
-the same fingerprint at the same place of both (winnowing guarantee).
-
-1. Fingerprint positions are counted by hash; only those that occur at two
-   positions can belong to a repeated run and go on.
-2. A joined fingerprint is extended both ways: for each split of w - 1 lines
-   into lines before and after it, the run around it is keyed by the hash of
-   all its lines. Equal keys are equal runs of w lines.
-3. The first position of each key stays; later ones are deleted. The deleted
-   runs of a text are united, so longer repeats go as a whole.
+lines take no part. Of every window of ``w`` lines (of all lines, if they are
+fewer) the smallest line hash is selected as a fingerprint, so every run of
+``w`` lines that occurs twice has the same fingerprint at the same place of
+both (winnowing guarantee).
+
+1. A fingerprint's first position is its anchor; every later position joins it.
+2. Each joined position is extended both ways, line by line, to the longest run
+   that it shares with the text of the anchor. Positions of one text that meet
+   one other text at the same distance lie on one line-up, which is compared once
+   from end to end. The runs so found are deleted.
+3. A repeated run of fewer than ``w`` lines may hold no fingerprint. The lines that
+   are left are compared one by one, and those that an earlier position holds go.
+
+So of every line the first occurrence stays, and no other.
 
 Positions are ordered by (id, row key, line). Every hash group is reduced by
-an aggregate and joined back, so no pair of two later positions is formed.
+an aggregate to its anchor and joined back, so no pair of two later positions is
+formed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import KEY, columns, let, stored, table, with_key
 
-WINDOW = 3
+WINDOW = 4
 
 
 def line_sequences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -38,31 +42,69 @@ def line_sequences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return x.filter(F.size("_hash") > 0).dropDuplicates(list(KEY))
 
 
-def repeated_runs(seq: DataFrame, w: int = WINDOW) -> DataFrame:
-    """(row key, ``_s``, ``_w``): starts (in non-blank lines) and lengths of runs
-    that occurred before. A text of fewer than ``w`` lines is one run."""
-    n = F.size("_hash")
+def selected(hashes: Column, w: int = WINDOW) -> Column:
+    """Places of the window minima, the last of equal ones."""
+    n = F.size(hashes)
     starts = F.sequence(F.lit(0), F.greatest(n - w, F.lit(0)))
-    x = seq.select(*KEY, "_id", F.least(n, F.lit(w)).alias("_w"), F.explode(F.transform(starts, lambda s: F.struct(
-        s.alias("s"), F.slice("_hash", s + 1, w).alias("run")))).alias("_r"))
-    x = x.select(*KEY, "_id", "_w", F.col("_r.s").alias("_s"), F.array_min("_r.run").alias("_print"),
-                 F.xxhash64("_w", "_r.run").alias("_run"),
-                 (F.col("_r.s") + F.array_position("_r.run", F.array_min("_r.run")) - 1).alias("_pos"))
-    prints = x.select(*KEY, "_pos", "_print").distinct()
-    joined = prints.groupBy("_print").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_print")
-    x = stored(x.join(joined, "_print", "left_semi").drop("_print", "_pos"), "runs")
-    place = F.struct(F.col("_id").isNull().alias("nil"), F.col("_id").alias("id"), *KEY, F.col("_s").alias("s"))
-    first = x.groupBy("_run").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    same = F.lit(True)
-    for k in KEY:
-        same = same & (F.col(k) == F.col(f"_first.{k}"))
-    # in one text a later run must not overlap the first
-    later = x.join(first, "_run").filter(~same | (F.col("_s") >= F.col("_first.s") + F.col("_w")))
-    return later.select(*KEY, "_s", "_w")
+
+    def least(s: Column) -> Column:
+        return let(F.slice(hashes, s + 1, w), lambda run: s + F.size(run) - F.array_position(
+            F.reverse(run), F.array_min(run)).cast("int"))
+
+    return F.array_distinct(F.transform(starts, least))
+
+
+def _place(at: str) -> Column:
+    return F.struct(F.col("_id").isNull().alias("nil"), F.col("_id").alias("id"), *KEY, F.col(at).alias("at"))
+
+
+def _later(x: DataFrame) -> DataFrame:
+    """Rows (row key, ``_id``, ``_p``, ``_h``) whose hash an earlier place holds, with the first place ``_first``."""
+    first = x.groupBy("_h").agg(F.min(_place("_p")).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    first = first.select("_h", *[F.col(f"_first.{k}").alias(f"_f{i}") for i, k in enumerate(KEY)], F.col("_first.at").alias("_fp"))
+    own = (F.col("_f0") == F.col(KEY[0])) & (F.col("_f1") == F.col(KEY[1])) & (F.col("_fp") == F.col("_p"))
+    return x.join(first, "_h").filter(~own)
+
+
+def runs(seq: DataFrame, w: int = WINDOW) -> DataFrame:
+    """(row key, ``_gone``: places) of the later repeated runs around the fingerprints."""
+    marks = seq.select(*KEY, "_id", F.explode(F.transform(selected(F.col("_hash"), w), lambda p: F.struct(
+        p.alias("_p"), F.get("_hash", p).alias("_h")))).alias("_m")).select(*KEY, "_id", "_m._p", "_m._h")
+    met = _later(marks).withColumn("_off", F.col("_p") - F.col("_fp"))
+    lines = met.groupBy(*KEY, "_f0", "_f1", "_off").agg(F.collect_set("_p").alias("_ps"))  # places of one text
+    ours = seq.select(*KEY, F.col("_hash").alias("_a"))
+    theirs = seq.select(*[F.col(k).alias(f"_f{i}") for i, k in enumerate(KEY)], F.col("_hash").alias("_b"))
+    x = lines.join(ours, list(KEY)).join(theirs, ["_f0", "_f1"])
+    # places whose line equals the one at the same distance; a run reaches from a mark to the next unequal line
+    differ = F.filter(F.sequence(F.lit(0), F.size("_a") - 1), lambda i: ~F.get("_a", i).eqNullSafe(F.get("_b", i - F.col("_off"))))
+
+    def around(differ: Column) -> Column:
+        walls = F.concat(F.array(F.lit(-1)), differ, F.array(F.size("_a")))
+        inside = F.transform(F.slice(walls, F.lit(1), F.size(walls) - 1), lambda v, k: F.struct(v.alias("lo"), F.get(walls, k + 1).alias("hi")))
+        hit = F.filter(inside, lambda r: F.exists("_ps", lambda p: (p > r["lo"]) & (p < r["hi"])))
+        return F.flatten(F.transform(hit, lambda r: F.sequence(r["lo"] + 1, r["hi"] - 1)))
+
+    x = x.select(*KEY, let(differ, around).alias("_run"))
+    return x.groupBy(*KEY).agg(F.array_distinct(F.flatten(F.collect_list("_run"))).alias("_gone"))
+
+
+def repeated_lines(seq: DataFrame, w: int = WINDOW) -> DataFrame:
+    """(row key, ``_gone``: places among the non-blank lines) of all lines that an earlier
+    place holds; texts without any have no row. Ties cannot arise: rows equal in every
+    column are one text, and its places differ."""
+    x = seq.join(stored(runs(seq, w), "runs"), list(KEY), "left")
+    x = stored(x.withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>"))), "lines-left")
+    every = F.sequence(F.lit(0), F.size("_hash") - 1)
+    rest = x.select(*KEY, "_id", F.explode(F.transform(F.array_except(every, F.col("_gone")), lambda p: F.struct(
+        p.alias("_p"), F.get("_hash", p).alias("_h")))).alias("_m")).select(*KEY, "_id", "_m._p", "_m._h")
+    single = _later(rest).groupBy(*KEY).agg(F.collect_list("_p").alias("_more"))
+    x = x.select(*KEY, "_gone").join(single, list(KEY), "left")
+    x = x.withColumn("_gone", F.concat("_gone", F.coalesce("_more", F.array().cast("array<int>")))).drop("_more")
+    return x.filter(F.size("_gone") > 0)
 
 
 def dedup_lines(docs: DataFrame, w: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` with the later repeated runs taken out of
+    """All columns of ``docs`` with the later repeated lines taken out of
     ``text_col``, plus ``n_lines``, ``n_removed`` and ``removed`` (line numbers).
 
     A null text stays null. Rows that are equal in every column are one
@@ -71,8 +113,7 @@ def dedup_lines(docs: DataFrame, w: int = WINDOW, id_col: str = "doc_id", text_c
     """
     keyed = with_key(docs)
     seq = stored(line_sequences(keyed, id_col, text_col), "lines")
-    gone = repeated_runs(seq, w).groupBy(*KEY).agg(
-        F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("_s"), F.col("_s") + F.col("_w") - 1)))).alias("_gone"))
+    gone = repeated_lines(seq, w)
     gone = gone.join(seq.select(*KEY, "_at"), list(KEY)).select(
         *KEY, F.array_sort(F.transform("_gone", lambda i: F.get("_at", i))).alias("_removed"))
     x = keyed.join(gone, list(KEY), "left")
@@ -94,19 +135,12 @@ def query(spark, sf_dir: str) -> DataFrame:
                     F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
 
 
-# By brute force: every window is keyed by its own text.
-SQL = rf"""
+# By brute force: every line against all earlier ones.
+SQL = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS pos
            FROM documents),
-b AS (SELECT doc_id, pos, trim(line, ' ') AS line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS i,
-        count(*) OVER (PARTITION BY doc_id) AS n FROM l WHERE trim(line, ' ') <> ''),
-r AS (SELECT a.doc_id, a.i AS s, least(a.n, {WINDOW}) AS w, string_agg(b.line, chr(10) ORDER BY b.i) AS run
-      FROM b a JOIN b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i AND a.i + {WINDOW - 1}
-      WHERE a.i <= greatest(a.n - {WINDOW}, 0) GROUP BY ALL),
-f AS (SELECT *, first_value(doc_id) OVER k AS fd, first_value(s) OVER k AS fs FROM r
-      WINDOW k AS (PARTITION BY w, run ORDER BY doc_id, s)),
-g AS (SELECT DISTINCT b.doc_id, b.pos FROM f JOIN b ON b.doc_id = f.doc_id AND b.i BETWEEN f.s AND f.s + f.w - 1
-      WHERE f.doc_id <> f.fd OR f.s >= f.fs + f.w),
+g AS (SELECT doc_id, pos FROM l WHERE trim(line, ' ') <> ''
+      QUALIFY row_number() OVER (PARTITION BY trim(line, ' ') ORDER BY doc_id, pos) > 1),
 t AS (SELECT l.doc_id, count(*) FILTER (g.pos IS NOT NULL) AS n_removed,
         string_agg(l.pos::VARCHAR, ',' ORDER BY l.pos) FILTER (g.pos IS NOT NULL) AS removed,
         string_agg(line, chr(10) ORDER BY l.pos) FILTER (g.pos IS NULL) AS kept

@@ -50,7 +50,9 @@ CANDIDATE = rf"(?<![A-Za-z0-9._%+@-])(?:{_JOINED}|{TOKEN})"
 ROUNDS = 3
 SHRINK = 3.0  # instances added to a pattern's total
 CONFIDENT = 0.8
-_SPACE = 48  # characters of context read on either side
+# the words of context that a pattern reads on either side, however long; each word is tried once
+_BEFORE = r"(?<!\S)(?:\S++\s++)?\S++\s*+$"
+_AFTER = r"^\s*+\S*+"
 
 
 def _digits(text: Column) -> Column:
@@ -115,7 +117,7 @@ def matches(text: Column, pattern: str) -> Column:
         left = around(("found", -2), ("gaps", -1), ("found", -1), ("gaps", 0))
         right = around(("gaps", 1), ("found", 1), ("gaps", 2))
         return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("text"),
-                        F.right(left, F.lit(_SPACE)).alias("left"), F.left(right, F.lit(_SPACE)).alias("right"))
+                        F.regexp_extract(left, _BEFORE, 0).alias("left"), F.regexp_extract(right, _AFTER, 0).alias("right"))
 
     return let(let(parts, lengths), spans)
 

@@ -2,24 +2,25 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from slatework.llm import line_dedup as L
 from slatework.llm import substring_dedup as S
+from slatework.llm.common import with_key
 
 from .data import AWKWARD, table
 
 
-def naive_lines(docs, w):
-    """{id: deleted line numbers}: every window against all earlier ones."""
-    first, gone = {}, {}
+def naive_lines(docs):
+    """{id: deleted line numbers}: every line against all earlier ones."""
+    seen, gone = set(), {}
     for d, text in sorted(docs.items()):
-        lines = [(i, x.strip(" ")) for i, x in enumerate(text.split("\n")) if x.strip(" ")]
-        size = min(w, len(lines))
         gone[d] = set()
-        for s in range(max(1, len(lines) - w + 1) if lines else 0):
-            run = (size, *(x for _, x in lines[s:s + w]))
-            at = first.setdefault(run, (d, s))
-            if at[0] != d or s >= at[1] + size:
-                gone[d] |= {i for i, _ in lines[s:s + size]}
+        for i, x in enumerate(text.split("\n")):
+            if x.strip(" "):
+                if x.strip(" ") in seen:
+                    gone[d].add(i)
+                seen.add(x.strip(" "))
     return gone
 
 
@@ -34,18 +35,47 @@ def test_repeated_runs_equal_brute_force(spark):
             lines += rnd.choice(runs) if rnd.random() < 0.5 else rnd.choices([*pool, "", f"own {d}", "same"], k=3)
         docs[d] = "\n".join(lines)
     got = L.dedup_lines(table(spark, [(d, t, "en", "s", 1) for d, t in docs.items()])).collect()
-    want = naive_lines(docs, L.WINDOW)
+    want = naive_lines(docs)
     assert {r.doc_id: set(r.removed) for r in got} == want
     for r in got:
         kept = [x for i, x in enumerate(docs[r.doc_id].split("\n")) if i not in want[r.doc_id]]
         assert r.text == "\n".join(kept) and r.n_removed == len(want[r.doc_id])
 
 
-def test_long_run_goes_whole_and_one_line_inside_stays(spark):
+def naive_selected(h, w):
+    out = []
+    for s in range(max(1, len(h) - w + 1)):
+        run = h[s:s + w]
+        p = s + max(i for i, x in enumerate(run) if x == min(run))
+        out += [p] if p not in out else []
+    return out
+
+
+def test_window_minima(spark):
+    rnd = random.Random(6)
+    rows = [([rnd.randint(0, 9) for _ in range(rnd.randint(1, 30))],) for _ in range(100)]
+    for w in (1, 2, 4):
+        got = spark.createDataFrame(rows, "h array<long>").select("h", L.selected(F.col("h"), w).alias("p")).collect()
+        assert all(r.p == naive_selected(r.h, w) for r in got)
+
+
+def test_a_run_is_extended_both_ways_from_its_fingerprints(spark):
+    """Runs of w lines and more go as far as they reach before single lines are looked at."""
+    run = [f"r{i}" for i in range(50)]
+    docs = [(1, "\n".join(["a", *run, "b"]), "en", "s", 1), (2, "\n".join(["c", *run[:30], "NEW", *run[30:], "d"]), "en", "s", 1),
+            (3, "\n".join(["x", *run[10:14], "y"]), "en", "s", 1), (4, "\n".join(["p", "q"] * 6), "en", "s", 1)]
+    seq = L.line_sequences(with_key(table(spark, docs)), "doc_id", "text")
+    key = {tuple(r[:2]): r._id for r in seq.collect()}
+    got = {key[tuple(r[:2])]: sorted(r._gone) for r in L.runs(seq).collect()}
+    assert got == {2: [*range(1, 31), *range(32, 52)], 3: [1, 2, 3, 4], 4: list(range(2, 12))}
+
+
+def test_single_lines_go_too(spark):
     run = [f"r{i}" for i in range(50)]
-    docs = [(1, "\n".join(["a", *run, "b"]), "en", "s", 1), (2, "\n".join(["c", *run[:30], "NEW", *run[30:], "r7", "d"]), "en", "s", 1)]
+    docs = [(1, "\n".join(["a", *run, "b"]), "en", "s", 1), (2, "\n".join(["c", *run[:30], "NEW", *run[30:], "r7", "d"]), "en", "s", 1),
+            (3, "r9", "en", "s", 1), (4, "z\n r9 \n\nr3\nz", "en", "s", 1)]
     got = {r.doc_id: r.text for r in L.dedup_lines(table(spark, docs)).collect()}
-    assert got == {1: docs[0][1], 2: "c\nNEW\nr7\nd"}
+    assert got == {1: docs[0][1], 2: "c\nNEW\nd", 3: "", 4: "z\n"}
 
 
 def test_lines_awkward(spark):

@@ -115,3 +115,37 @@ def test_no_piece_of_letters_is_left_out():
     m = sentencepiece.SentencePieceProcessor(model_file=L.VOCABULARY)
     want = {p for p in (m.id_to_piece(i).lower() for i in range(m.get_piece_size())) if p.replace(L.START, "", 1).isalpha()}
     assert set(L.read_pieces()) == want and max(map(len, want)) > 8
+
+
+def test_long_words_are_scored_whole(model, monkeypatch):
+    p, _, probs = model
+    rnd = random.Random(3)
+    words = ["▁" + "".join(rnd.choices("thequickbrownfüßñ漢", k=n)) for n in (1, 5, 17, 18, 33, 34, 60, 200)]
+    rolled = L.forward(p, probs, words)
+    monkeypatch.setattr(L, "RUN", 10**6)
+    assert np.allclose(rolled[:7], L.forward(p, probs, words[:7]), rtol=1e-9)  # the last one passes the range of a double
+    monkeypatch.undo()
+    monkeypatch.setattr(L, "RUN", 0)
+    assert np.allclose(rolled, L.forward(p, probs, words), rtol=1e-9)
+    assert np.isfinite(L.forward(p, probs, ["▁" + "x" * 70_000])).all()
+    monkeypatch.undo()
+    assert L.stretches(["▁abc", "▁" + "y" * 40]) == ["▁abc", "▁" + "y" * 32, "▁" + "y" * 8]
+
+
+def test_query_end_to_end(spark, tmp_path):
+    import zlib
+    rows = texts(240)
+    held = [i for i, *_ in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    # a language that only held-out rows have is never learned
+    rows = [(i, t, "xx" if i == held[0] else lang, "s", 1) for i, t, lang, *_ in rows]
+    rows += [(5000, None, "en", "s", 1), (5001, "12 34 !", "en", "s", 1), (None, rows[0][1], "en", "s", 1), (5002, "", None, None, None)]
+    table(spark, rows, clash=True).write.parquet(str(tmp_path / "documents.parquet"))
+    out = L.query(spark, str(tmp_path))
+    assert out.dtypes == [("doc_id", "bigint"), ("held_out", "boolean"), ("lang_pred", "string"), ("score", "double")]
+    got = {r.doc_id: r for r in out.collect()}
+    assert len(got) == len(rows)
+    assert all(got[i].held_out == (i is not None and zlib.crc32(str(i).encode()) % 5 == 0) for i in got)
+    assert all(0 <= r.score <= 1 and r.lang_pred in ("en", "de", "fr", "und") for r in got.values())
+    assert {i for i, r in got.items() if r.lang_pred == "und"} == {5000, 5001, 5002}
+    right = [got[i].lang_pred == lang for i, _, lang, *_ in rows if i in held and lang != "xx"]
+    assert sum(right) / len(right) > 0.95

@@ -104,3 +104,34 @@ def test_candidates():
     found = re.compile(P.CANDIDATE).findall
     assert found("030 1234 567, (310) 555-4444 12 4929-XXXX-1 a@b 7. x @ -- 1 2") == [
         "030 1234 567", "(310) 555-4444 12", "4929-XXXX-1", "a@b", "7.", "1 2"]
+
+
+def test_contexts_are_read_in_whole_words(spark):
+    """A neighbour word of any length is part of the pattern, not only its end."""
+    tail, rows = "z" * 60, []
+    for i in range(60):
+        rows.append((i, f"{'a' * 30}{tail} card {4111111111111111 if i % 2 else 5500000000000004} " + "ok" * 40 + "b", "en", "s", 1))
+    found = P.extract(table(spark, rows)).count()
+    text = F.lit(f"{'a' * 30}{tail} 4111111111111111 {'ok' * 40}b next")
+    m = spark.range(1).select(P.matches(text, P.PATTERNS["card"]).alias("m")).first().m[0]
+    assert found == 60 and m["left"].strip() == "a" * 30 + tail and m["right"].strip() == "ok" * 40 + "b"
+    m = spark.range(1).select(P.matches(F.lit("one two three 4111111111111111"), P.PATTERNS["card"]).alias("m")).first().m[0]
+    assert m["left"].split() == ["two", "three"] and m["right"] == ""
+
+
+def test_query_end_to_end(spark, tmp_path):
+    import hashlib
+    rnd = random.Random(12)
+    bits = ["a@b.c", "1.2.3.4", "4111111111111111", "+49 30 1234567", "word", "12", "x@", "\n", "é"]
+    rows = [(i, " ".join(rnd.choices(bits, k=rnd.randint(0, 12))), "en", "s", 1) for i in range(150)] + [(None, None, None, None, None), (900, "", "en", "s", 0)]
+    table(spark, rows, clash=True).write.parquet(str(tmp_path / "documents.parquet"))
+    out = P.query(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
+    got = {r.doc_id: r for r in out.collect()}
+    assert len(got) == len(rows)
+    for i, text, *_ in rows:
+        want = base(text)
+        kinds = [x.split(":")[0] for x in want.split(",")]
+        assert [got[i][f"n_{k}"] for k in P.KINDS] == [kinds.count(k) for k in P.KINDS]
+        assert got[i].base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+        assert set(want.split(",")) <= set(got[i].spans.split(",")) | {""}
