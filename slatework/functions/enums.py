@@ -59,6 +59,20 @@ DEFAULT_INVITE_HOURS = 7 * 24
 RECENT_ITEMS_LIMIT = 10
 DATE_FORMAT = "yyyy-MM-dd"
 WORKSPACE_NAME_SUFFIX = "'s Workspace"
+
+# error messages by code; {field}, {value}, {from} and {to} are filled in
+ERROR_MESSAGES = {
+    "required": "{field} is required",
+    "invalid_enum": 'invalid {field}: "{value}"',
+    "invalid_format": 'invalid {field}: "{value}" (expected YYYY-MM-DD)',
+    "invalid_reference": "invalid {field}: does not belong to this workspace",
+    "invalid_transition": "cannot transition from {from} to {to}",
+    "not_found": "{field} not found",
+    "forbidden": "insufficient role",
+    "conflict": "{field} already exists",
+    "unusable": "invite is expired or exhausted",
+}
+EXPECTED_DATE = "YYYY-MM-DD"
 # -- end of fixed values -----------------------------------------------------
 
 ENUMS = {

@@ -6,6 +6,8 @@ codegen; no Python runs per row.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -175,17 +177,34 @@ def author_label(name: ColumnOrName, email: ColumnOrName, author_id: ColumnOrNam
 
 
 # X14 -----------------------------------------------------------------------
-def error_message(code: ColumnOrName, field: ColumnOrName, value: ColumnOrName) -> Column:
-    """Human-readable message for a verdict row (null for accepted rows)."""
-    c, f, v = _c(code), _c(field), _c(value).cast("string")
-    return (
-        F.when(c == "required", F.format_string("%s is required", f))
-        .when(c == "invalid_enum", F.format_string("invalid %s: \"%s\"", f, v))
-        .when(c == "invalid_format", F.format_string("invalid %s: \"%s\" (expected YYYY-MM-DD)", f, v))
-        .when(c == "invalid_reference", F.format_string("invalid %s: does not belong to this workspace", f))
-        .when(c == "invalid_transition", F.format_string("cannot transition to %s", v))
-        .when(c == "not_found", F.format_string("%s not found", f))
-        .when(c == "forbidden", F.lit("insufficient role"))
-        .when(c == "conflict", F.format_string("%s already exists", f))
-        .when(c == "unusable", F.lit("invite is expired or exhausted"))
-    )
+def error_message(code: ColumnOrName, field: ColumnOrName, value: ColumnOrName, from_status: ColumnOrName | None = None) -> Column:
+    """Message of a verdict row (null for accepted rows): the code's text with its
+    places filled in. ``value`` is the rejected value, for a transition the target."""
+    filled = {"field": _c(field), "value": _c(value).cast("string"), "to": _c(value).cast("string"),
+              "from": F.lit(None).cast("string") if from_status is None else _c(from_status)}
+    out = F.lit(None).cast("string")
+    for known, text in E.ERROR_MESSAGES.items():
+        parts = re.split(r"\{(\w+)\}", text)
+        said = F.concat(*[filled[x] if i % 2 else F.lit(x) for i, x in enumerate(parts) if i % 2 or x])
+        out = F.when(_c(code) == known, said).otherwise(out)
+    return out
+
+
+def error_allowed(code: ColumnOrName, field: ColumnOrName, from_status: ColumnOrName | None = None) -> Column:
+    """The values that would have passed: of the field's enum, or the statuses that
+    ``from_status`` may move to; null for other codes."""
+    def listed(values: list[str]) -> Column:
+        return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+
+    enum = move = F.lit(None).cast("array<string>")
+    for name, values in E.ENUMS.items():
+        enum = F.when(_c(field) == name, listed(values)).otherwise(enum)
+    if from_status is not None:
+        for src, targets in E.TRANSITIONS.items():
+            move = F.when(_c(from_status) == src, listed(targets)).otherwise(move)
+    return F.when(_c(code) == "invalid_enum", enum).when(_c(code) == "invalid_transition", move)
+
+
+def error_expected(code: ColumnOrName) -> Column:
+    """The format an ``invalid_format`` value should have had."""
+    return F.when(_c(code) == "invalid_format", F.lit(E.EXPECTED_DATE))

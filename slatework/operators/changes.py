@@ -20,6 +20,7 @@ map-side partial aggregation, so a hot key costs one row per task.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -398,75 +399,82 @@ def delete_comments(comments: DataFrame, items: DataFrame, requests: DataFrame)
 
 
 # M12 -----------------------------------------------------------------------
-_TOUCHED = {
-    "workspaces": {"workspaces", "memberships", "workspace_invites", "clients", "content_items", "comments", "tasks"},
-    "users": {"users", "memberships", "workspace_invites", "content_items", "comments", "tasks"},
-    "clients": {"clients", "content_items", "tasks"},
-    "content_items": {"content_items", "comments", "tasks"},
-}
+def _touched(parents: set[str]) -> dict[str, set[str]]:
+    """Tables that removals from ``parents`` reach, with the reference columns involved."""
+    reached = {p: {"id"} for p in parents}
+    going = list(parents)
+    for parent in going:
+        for child, (_, refs) in C.FOREIGN_KEYS.items():
+            for col, (p, rule) in refs.items():
+                if p == parent:
+                    reached.setdefault(child, set()).add(col)
+                    if rule == "cascade" and child not in going:
+                        going.append(child)
+    return reached
+
+
+def _order(names: set[str]) -> list[str]:
+    """Parents before the children that follow them, children before the parents that they hold back."""
+    from graphlib import TopologicalSorter
+    after: dict[str, set[str]] = {n: set() for n in names}
+    for child, (_, refs) in C.FOREIGN_KEYS.items():
+        for parent, rule in refs.values():
+            if child in names and parent in names:
+                before, behind = (child, parent) if rule == "restrict" else (parent, child)
+                after[behind].add(before)
+    return list(TopologicalSorter({n: sorted(after[n]) for n in sorted(names)}).static_order())
 
 
 def cascade_delete(tables: dict[str, DataFrame], removed: dict[str, DataFrame]
                    ) -> tuple[dict[str, DataFrame], DataFrame | None]:
-    """Follow the delete rules from removed parent rows.
-
-    ``removed`` maps 'workspaces', 'users', 'clients', 'content_items' to
-    frames with the removed ``id`` values; ``tables`` has the names of
-    ``read_tables``, and a table that a removal touches must be there.
-    Children of a removed workspace are removed (memberships, invites,
-    clients, content items with their comments, tasks), and so are
-    memberships and invites of removed users and comments of removed items;
-    references to removed clients, items and users in content items and
-    tasks are set to null. A user who created a surviving item or wrote a
-    surviving comment cannot be removed (those references have no delete
-    action). Returns (surviving tables, verdicts); verdicts has a row per user
-    to be removed ('accepted' or 'in_use'), and is None without users.
+    """Follow the delete rules of ``checks.FOREIGN_KEYS`` from removed parent rows.
+
+    ``removed`` maps parent tables ('workspaces', 'users', 'clients',
+    'content_items') to frames with the removed ``id`` values; ``tables`` has the
+    names of ``read_tables``, and a table that a removal reaches must be there
+    with its reference columns. Rows that cascade go, and with them what hangs on
+    them; other references to removed rows are set to null; a row that a
+    surviving row holds back (a user who created a surviving item or wrote a
+    surviving comment) stays. Returns (surviving tables, verdicts); verdicts has a
+    row per row to be removed that could be held back ('accepted' or 'in_use'),
+    and is None without such ones.
     """
-    unknown = set(removed) - set(_TOUCHED)
-    if unknown:
-        raise KeyError(f"no delete rules for {sorted(unknown)}")
-    C.require(tables, set().union(*(_TOUCHED[k] for k in removed)))
-    gone = {k: v.select("id").distinct() for k, v in removed.items()}
-
-    def drop(name, col, parent):
-        if parent in gone:
-            key = gone[parent].withColumnRenamed("id", "_pid")
-            out[name] = out[name].join(key, F.col(col) == F.col("_pid"), "left_anti")
-
-    def clear(name, col, parent):
-        if parent in gone:
-            key = gone[parent].select(F.col("id").alias("_rid"), F.lit(True).alias("_gone"))
-            out[name] = (out[name].join(key, F.col(col) == F.col("_rid"), "left")
-                         .withColumn(col, F.when(F.col("_gone").isNull(), F.col(col))).drop("_rid", "_gone"))
-
-    out = dict(tables)
-    # a removed workspace takes its clients and items along, whose own rules then apply
-    if "workspaces" in gone:
-        for name in ("clients", "content_items"):
-            inside = tables[name].join(gone["workspaces"].withColumnRenamed("id", "workspace_id"), "workspace_id",
-                                       "left_semi").select("id")
-            gone[name] = gone[name].unionByName(inside).distinct() if name in gone else inside
-    drop("workspaces", "id", "workspaces")
-    drop("clients", "id", "clients")
-    drop("content_items", "id", "content_items")
-    clear("content_items", "client_id", "clients")
-    drop("comments", "content_item_id", "content_items")
-    verdicts = None
-    if "users" in gone:
-        owners = out["content_items"].select(F.col("created_by").alias("_owner")).unionByName(
-            out["comments"].select(F.col("author_id").alias("_owner"))).distinct()
-        verdicts = gone["users"].join(owners, F.col("id") == F.col("_owner"), "left").select(
-            "id", F.when(F.col("_owner").isNull(), F.lit(ACCEPTED)).otherwise(F.lit("in_use")).alias("verdict"))
-        gone["users"] = verdicts.filter(F.col("verdict") == ACCEPTED).select("id")
-    drop("users", "id", "users")
-    for name in ("memberships", "workspace_invites", "tasks"):
-        drop(name, "workspace_id", "workspaces")
-    drop("memberships", "user_id", "users")
-    if "users" in gone and "created_by" in out["workspace_invites"].columns:
-        drop("workspace_invites", "created_by", "users")
-    clear("tasks", "client_id", "clients")
-    clear("tasks", "content_item_id", "content_items")
-    clear("tasks", "assignee_id", "users")
+    parents = {p for _, refs in C.FOREIGN_KEYS.values() for p, _ in refs.values()}
+    if set(removed) - parents:
+        raise KeyError(f"no delete rules for {sorted(set(removed) - parents)}")
+    reached = _touched(set(removed))
+    C.require(tables, set(reached))
+    C.require_columns(tables, reached)
+    out, gone, verdicts = dict(tables), {}, None
+    for name in _order(set(reached)):
+        rows = tables[name]
+        _, refs = C.FOREIGN_KEYS.get(name, (("id",), {}))
+        dropped = []
+        if name in removed:
+            ids = removed[name].select("id").distinct()
+            holders = [out[child].select(F.col(col).alias("_held")) for child, (_, links) in C.FOREIGN_KEYS.items()
+                       for col, (p, rule) in links.items() if p == name and rule == "restrict"]
+            if holders:
+                held = reduce(DataFrame.unionByName, holders).distinct()
+                verdicts = ids.join(held, F.col("id") == F.col("_held"), "left").select(
+                    "id", F.when(F.col("_held").isNull(), F.lit(ACCEPTED)).otherwise(F.lit("in_use")).alias("verdict"))
+                ids = verdicts.filter(F.col("verdict") == ACCEPTED).select("id")
+            dropped.append(ids)
+            rows = rows.join(ids.select(F.col("id").alias("_rid")), F.col("id") == F.col("_rid"), "left_anti")
+        for col, (parent, rule) in refs.items():
+            if parent in gone and rule == "cascade":
+                ids = gone[parent].select(F.col("id").alias("_rid"))
+                if name in parents:
+                    dropped.append(tables[name].join(ids, F.col(col) == F.col("_rid"), "left_semi").select("id"))
+                rows = rows.join(ids, F.col(col) == F.col("_rid"), "left_anti")
+        for col, (parent, rule) in refs.items():
+            if parent in gone and rule == "null":
+                ids = gone[parent].select(F.col("id").alias("_rid"), F.lit(True).alias("_gone"))
+                rows = (rows.join(ids, F.col(col) == F.col("_rid"), "left")
+                        .withColumn(col, F.when(F.col("_gone").isNull(), F.col(col))).drop("_rid", "_gone"))
+        if dropped:
+            gone[name] = reduce(DataFrame.unionByName, dropped).distinct()
+        out[name] = rows
     return out, verdicts
 
 
@@ -482,38 +490,36 @@ def write_tasks(tasks: DataFrame, requests: DataFrame, clients: DataFrame, items
     update: title -> due_date -> not found -> client -> content item -> assignee.
     toggle: not found -> the references the task has by then (those of the
     last accepted update before it in (requested_at, id) order, else the
-    stored ones) pass the same guards, done flipped.
+    stored ones) pass the same guards, done flipped. The guards run once, on
+    the stored references for toggles.
     New tasks take the request id (as text).
     """
     refs = ("client_id", "content_item_id", "assignee_id")
+    is_toggle, creating = F.col("kind") == "toggle", F.col("kind") == "create"
     t = tasks.select(F.col("id").alias("_tid"), F.col("workspace_id").alias("_tws"),
-                     F.struct(*[(F.col(c) if c in tasks.columns else F.lit(None)).alias(c) for c in refs]).alias("_stored"))
+                     *[(F.col(c) if c in tasks.columns else F.lit(None).cast(dict(requests.dtypes)[c])).alias(f"_stored_{c}") for c in refs])
     r = requests.join(t, (F.col("task_key") == F.col("_tid")) & (F.col("workspace_id") == F.col("_tws")), "left")
-    is_toggle = F.col("kind") == "toggle"
-    creating = F.col("kind") == "create"
-
-    def judged(rows: DataFrame) -> DataFrame:
-        """Guards on the references in ``_refs``."""
-        rows = rows.withColumns({f"_e_{c}": F.col(f"_refs.{c}") for c in refs})
-        g = C.task_ref_check(rows, clients, items, memberships, client_col="_e_client_id",
-                             item_col="_e_content_item_id", assignee_col="_e_assignee_id")
-        g = _with_date_checks(g, "due_date")
-        verdict, field = first_failure([
-            (~is_toggle & _blank("title"), "required", "title"),
-            (~is_toggle & _bad_date("due_date"), "invalid_format", "due_date"),
-            (~creating & F.col("_tid").isNull(), "not_found", "task"),
-            (~F.col("client_ok"), "invalid_reference", "client_id"),
-            (~F.col("content_item_ok"), "invalid_reference", "content_item_id"),
-            (~F.col("assignee_ok"), "invalid_reference", "assignee_id"),
-        ])
-        return g.select(*requests.columns, verdict.alias("verdict"), field.alias("field"))
-
-    writes = judged(r.filter(~is_toggle | F.col("kind").isNull()).withColumn("_refs", F.struct(*refs)))
-    updates = writes.filter((F.col("kind") == "update") & (F.col("verdict") == ACCEPTED)).select(
-        "task_key", "workspace_id", "requested_at", "id", "kind", F.struct(*refs).alias("_new"))
-    line = r.filter(is_toggle).select(*requests.columns, "_tid", "_stored").unionByName(updates, allowMissingColumns=True)
-    toggles = scan.last_before(line, ["task_key", "workspace_id"], ["requested_at", "id"], "_new", "_before").filter(is_toggle)
-    verdicts = writes.unionByName(judged(toggles.withColumn("_refs", F.coalesce("_before", "_stored"))))
+    r = r.withColumns({f"_e_{c}": F.when(is_toggle, F.col(f"_stored_{c}")).otherwise(F.col(c)) for c in refs})
+    g = C.task_ref_check(r, clients, items, memberships, client_col="_e_client_id",
+                         item_col="_e_content_item_id", assignee_col="_e_assignee_id")
+    g = _with_date_checks(g, "due_date")
+    verdict, field = first_failure([
+        (~is_toggle & _blank("title"), "required", "title"),
+        (~is_toggle & _bad_date("due_date"), "invalid_format", "due_date"),
+        (~creating & F.col("_tid").isNull(), "not_found", "task"),
+        (~F.col("client_ok"), "invalid_reference", "client_id"),
+        (~F.col("content_item_ok"), "invalid_reference", "content_item_id"),
+        (~F.col("assignee_ok"), "invalid_reference", "assignee_id"),
+    ])
+    judged = numbered(g.select(*requests.columns, verdict.alias("verdict"), field.alias("field")), "task-verdicts")
+    # references that an accepted update has set have passed the guards, so a toggle behind one passes
+    place = F.struct("requested_at", "id", "_row")
+    first = (judged.filter((F.col("kind") == "update") & (F.col("verdict") == ACCEPTED))
+             .groupBy(F.col("task_key").alias("_tk"), F.col("workspace_id").alias("_tw")).agg(F.min(place).alias("_since")))
+    judged = judged.join(first, (F.col("task_key") == F.col("_tk")) & (F.col("workspace_id") == F.col("_tw")), "left")
+    mended = F.coalesce(is_toggle & (F.col("verdict") == "invalid_reference") & (F.col("_since") < place), F.lit(False))
+    verdicts = judged.select(*requests.columns, F.when(mended, ACCEPTED).otherwise(F.col("verdict")).alias("verdict"),
+                             F.when(~mended, F.col("field")).alias("field"))
     acc = verdicts.filter(F.col("verdict") == ACCEPTED)
     due = X.parse_strict_date(X.empty_to_null("due_date"))
     created = acc.filter(creating).select(

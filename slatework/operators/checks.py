@@ -159,14 +159,18 @@ def bad_enums(specs: list[tuple[DataFrame, str, str, str]]) -> DataFrame:
 
 
 # Q4 ------------------------------------------------------------------------
-# child table -> (its row key, {reference column: parent table}); a reference holds the parent's id
-FOREIGN_KEYS: dict[str, tuple[tuple[str, ...], dict[str, str]]] = {
-    "memberships": (("workspace_id", "user_id"), {"workspace_id": "workspaces", "user_id": "users"}),
-    "workspace_invites": (("id",), {"workspace_id": "workspaces", "created_by": "users"}),
-    "clients": (("id",), {"workspace_id": "workspaces"}),
-    "content_items": (("id",), {"workspace_id": "workspaces", "client_id": "clients", "created_by": "users"}),
-    "comments": (("id",), {"content_item_id": "content_items", "author_id": "users"}),
-    "tasks": (("id",), {"workspace_id": "workspaces", "assignee_id": "users", "content_item_id": "content_items", "client_id": "clients"}),
+# child table -> (its row key, {reference column: (parent table, rule when the parent goes)}); a
+# reference holds the parent's id. 'cascade': the child goes too; 'null': the reference is
+# cleared; 'restrict': the parent stays as long as the child does.
+FOREIGN_KEYS: dict[str, tuple[tuple[str, ...], dict[str, tuple[str, str]]]] = {
+    "memberships": (("workspace_id", "user_id"), {"workspace_id": ("workspaces", "cascade"), "user_id": ("users", "cascade")}),
+    "workspace_invites": (("id",), {"workspace_id": ("workspaces", "cascade"), "created_by": ("users", "cascade")}),
+    "clients": (("id",), {"workspace_id": ("workspaces", "cascade")}),
+    "content_items": (("id",), {"workspace_id": ("workspaces", "cascade"), "client_id": ("clients", "null"),
+                                "created_by": ("users", "restrict")}),
+    "comments": (("id",), {"content_item_id": ("content_items", "cascade"), "author_id": ("users", "restrict")}),
+    "tasks": (("id",), {"workspace_id": ("workspaces", "cascade"), "assignee_id": ("users", "null"),
+                        "content_item_id": ("content_items", "null"), "client_id": ("clients", "null")}),
 }
 
 
@@ -185,14 +189,14 @@ def orphans(tables: dict[str, DataFrame]) -> DataFrame:
     join on (parent table, value) finds the orphans: every table is read
     once as a child and once as a parent, whatever the number of references.
     """
-    parents = {p for _, refs in FOREIGN_KEYS.values() for p in refs.values()}
+    parents = {p for _, refs in FOREIGN_KEYS.values() for p, _ in refs.values()}
     require(tables, set(FOREIGN_KEYS) | parents)
     require_columns(tables, {t: {*key, *refs} for t, (key, refs) in FOREIGN_KEYS.items()} | {p: {"id"} for p in parents})
     children = []
     for child, (key, refs) in FOREIGN_KEYS.items():
         row_key = F.concat_ws(",", *[F.col(k).cast("string") for k in key])
         each = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(p).alias("_parent"), F.col(c).cast("string").alias("missing"))
-                         for c, p in refs.items()])
+                         for c, (p, _) in refs.items()])
         children.append(tables[child].select(F.lit(child).alias("table_name"), row_key.alias("row_key"), F.inline(each)))
     held = reduce(DataFrame.unionByName, [tables[p].select(F.lit(p).alias("_parent"), F.col("id").cast("string").alias("missing"))
                                           for p in sorted(parents)])

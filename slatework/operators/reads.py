@@ -264,13 +264,15 @@ def recent_items(items: DataFrame, n: int = E.RECENT_ITEMS_LIMIT, workspace_id=N
 # The seven list orders of the application; ``id`` ends each one so that
 # ties are resolved the same way every time.
 ORDERS = {
-    "content": ("workspace_id", lambda: [F.col("updated_at").desc(), F.col("id")]),
-    "month": ("workspace_id", lambda: [F.col("scheduled_date").asc(), F.col("created_at").asc(), F.col("id")]),
-    "tasks": ("workspace_id", lambda: [F.col("due_date").asc_nulls_last(), F.col("created_at").desc(), F.col("id")]),
-    "clients": ("workspace_id", lambda: [F.col("name").asc(), F.col("id")]),
-    "workspaces": ("user_id", lambda: [F.col("workspace_name").asc(), F.col("workspace_id")]),
-    "members": ("workspace_id", lambda: [F.col("joined_at").asc(), F.col("user_id")]),
-    "comments": ("content_item_id", lambda: [F.col("created_at").asc(), F.col("id")]),
+    "content": ("workspace_id", ["updated_at", "id"], lambda: [F.col("updated_at").desc(), F.col("id")]),
+    "month": ("workspace_id", ["scheduled_date", "created_at", "id"],
+              lambda: [F.col("scheduled_date").asc(), F.col("created_at").asc(), F.col("id")]),
+    "tasks": ("workspace_id", ["due_date", "created_at", "id"],
+              lambda: [F.col("due_date").asc_nulls_last(), F.col("created_at").desc(), F.col("id")]),
+    "clients": ("workspace_id", ["name", "id"], lambda: [F.col("name").asc(), F.col("id")]),
+    "workspaces": ("user_id", ["workspace_name", "workspace_id"], lambda: [F.col("workspace_name").asc(), F.col("workspace_id")]),
+    "members": ("workspace_id", ["joined_at", "user_id"], lambda: [F.col("joined_at").asc(), F.col("user_id")]),
+    "comments": ("content_item_id", ["created_at", "id"], lambda: [F.col("created_at").asc(), F.col("id")]),
 }
 
 
@@ -284,6 +286,6 @@ def ordered(df: DataFrame, kind: str) -> DataFrame:
     """
     from . import scan
 
-    key, order = ORDERS[kind]
-    out = scan.prefix_count(df, [key], order(), out="_prior")
+    key, uses, order = ORDERS[kind]
+    out = scan.prefix_count(df, [key], order(), out="_prior", uses=uses)
     return out.withColumn("position", F.col("_prior") + 1).drop("_prior")

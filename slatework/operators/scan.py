@@ -29,7 +29,7 @@ Only built-in expressions are used; no Python runs per row.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,6 +52,34 @@ def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column])
                            F.monotonically_increasing_id().bitwiseAND((1 << POS_BITS) - 1).alias("_pos")), "positions")
 
 
+_KEY = ("_row_key_a", "_row_key_b")
+
+
+def _row_key(df: DataFrame) -> dict[str, Column]:
+    """Two 64-bit hashes over all columns (maps, which have no hash, by their JSON
+    text): only rows equal in every column share a key, and those are interchangeable."""
+    def part(name: str) -> Column:
+        c = F.col(f"`{name}`")
+        return F.to_json(F.struct(c.alias("v"))) if "map<" in df.schema[name].dataType.simpleString() else c
+
+    parts = [x for c in df.columns for x in (part(c), F.col(f"`{c}`").isNull())]
+    return {k: F.xxhash64(F.lit(i), *parts) for i, k in enumerate(_KEY)}
+
+
+def over_narrow(df: DataFrame, used: Sequence[str], work: Callable[[DataFrame], DataFrame], out: str) -> DataFrame:
+    """Run ``work``, which adds column ``out`` and reads only the columns ``used``, over these
+    columns and a row key, then attach the other columns once. What ``work`` sorts and
+    stores so does not grow with the rest of the rows. Rows equal in every column share
+    their key; the rest of a row is kept once per key and joined to as many places."""
+    rest = [c for c in df.columns if c not in used]
+    if not rest:
+        return work(df).select(*df.columns, out)
+    keyed = df.withColumns(_row_key(df))
+    done = work(keyed.select(*used, *_KEY)).select(*used, *_KEY, out)
+    payload = keyed.select(*_KEY, *[F.col(f"`{c}`") for c in rest]).dropDuplicates(list(_KEY))
+    return done.join(payload, list(_KEY)).select(*[F.col(f"`{c}`") for c in df.columns], out)
+
+
 def _join_segments(x: DataFrame, seg: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Bring per-segment columns back to the rows; null keys are keys like others."""
     seg = seg.withColumnsRenamed({k: f"_seg_{i}" for i, k in enumerate([*keys, "_pid"])})
@@ -62,17 +90,21 @@ def _join_segments(x: DataFrame, seg: DataFrame, keys: Sequence[str]) -> DataFra
 
 
 def prefix_count(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
-                 out: str = "prior") -> DataFrame:
+                 out: str = "prior", uses: Sequence[str] | None = None) -> DataFrame:
     """Add ``out`` = number of rows with the same keys that come earlier in
-    ``order`` (0 for the first). ``out + 1`` is the row_number.
+    ``order`` (0 for the first). ``out + 1`` is the row_number. ``uses`` names the
+    columns that ``order`` reads where it holds expressions. Only the key and
+    order columns are sorted and stored (``over_narrow``).
     """
-    x = positions(df, keys, order)
-    seg = x.groupBy(*keys, "_pid").agg(F.min("_pos").alias("_p0"), F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    seg = seg.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
-    y = _join_segments(x, seg, keys)
-    return y.withColumn(out, (F.col("_off") + F.col("_pos") - F.col("_p0")).cast("bigint")).drop(
-        "_pid", "_pos", "_p0", "_off")
+    def work(narrow: DataFrame) -> DataFrame:
+        x = positions(narrow, keys, order)
+        seg = x.groupBy(*keys, "_pid").agg(F.min("_pos").alias("_p0"), F.count(F.lit(1)).alias("_n"))
+        w = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+        seg = seg.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
+        y = _join_segments(x, seg, keys)
+        return y.withColumn(out, (F.col("_off") + F.col("_pos") - F.col("_p0")).cast("bigint"))
+
+    return over_narrow(df, list(dict.fromkeys([*keys, *(uses or order)])), work, out)
 
 
 def prefix_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], value: str, out: str) -> DataFrame:

@@ -63,36 +63,11 @@ def apply_transitions(items: DataFrame, requests: DataFrame) -> tuple[DataFrame,
 
     ``requests``: id, content_item_id, to_status, requested_at and optional
     workspace_id (then an item of another workspace is not found). Returns
-    (verdicts, new items). Requests for an item with only one are judged in
-    one pass; those for an item with several go through ``replay_transitions``,
-    so each sees the status that the one before it left.
+    (verdicts, new items). Several requests for one item are in time order, each
+    sees the status that the one before it left: that is ``replay_transitions``,
+    which reads requests and items once whatever the number per item.
     """
-    several = requests.groupBy("content_item_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("content_item_id")
-    verdicts, changed = _apply_single(items, requests.join(several, "content_item_id", "left_anti").select(requests.columns))
-    more, changed = replay_transitions(changed, requests.join(several, "content_item_id", "left_semi").select(requests.columns))
-    return verdicts.unionByName(more), changed
-
-
-def _apply_single(items: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``apply_transitions`` where no item has two requests."""
-    scoped = "workspace_id" in requests.columns
-    r = _attach_items(requests, items, scoped)
-    enum_ok = X.enum_ok("to_status", "status")
-    allowed = X.is_valid_transition("current_status", "to_status")
-    verdict = _verdict_columns(enum_ok, F.col("_found"), allowed)
-    verdicts = r.select(*requests.columns,
-                        F.when(enum_ok, F.col("current_status")).alias("from_status"),
-                        verdict.alias("verdict"))
-    verdicts = verdicts.withColumn("field", F.when(F.col("verdict").isin("invalid_enum", "invalid_transition"),
-                                                   F.lit("status")).when(F.col("verdict") == "not_found",
-                                                                         F.lit("content_item")))
-    acc = verdicts.filter(F.col("verdict") == "accepted").select(
-        F.col("content_item_id").alias("_cid"), F.col("to_status").alias("_new"), F.col("requested_at").alias("_at"))
-    new_items = (items.join(acc, items["id"] == acc["_cid"], "left")
-                 .withColumn("status", F.coalesce("_new", "status"))
-                 .withColumn("updated_at", F.coalesce("_at", "updated_at"))
-                 .drop("_cid", "_new", "_at"))
-    return verdicts, new_items
+    return replay_transitions(items, requests)
 
 
 def replay_transitions(items: DataFrame, requests: DataFrame, block: int = scan.DEFAULT_BLOCK

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import change_queries, check_queries, function_queries, read_queries, stream_queries  # noqa: F401
+from . import (change_queries, check_queries, function_queries, list_queries, read_queries, state_queries,  # noqa: F401
+               stream_queries)
 from .registry import ORACLE, QUERIES
 
 

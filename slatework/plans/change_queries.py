@@ -349,7 +349,7 @@ _ALL = ("users", "workspaces", "memberships", "invites", "clients", "content_ite
 
 
 def _entities(fx):
-    return {"workspace_invites" if n == "invites" else n: fx[n] for n in _ALL}
+    return {"workspace_invites" if n == "invites" else n: fx["full_invites" if n == "invites" else n] for n in _ALL}
 
 
 @register("cascade_delete", uses=_ALL, sql="""

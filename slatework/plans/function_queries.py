@@ -208,17 +208,22 @@ select id, code, field,
   case code when 'required' then field || ' is required'
             when 'invalid_enum' then 'invalid ' || field || ': "' || (case field when 'platform' then platform else content_type end) || '"'
             when 'invalid_format' then 'invalid ' || field || ': "' || scheduled_date || '" (expected YYYY-MM-DD)'
-            when 'invalid_reference' then 'invalid ' || field || ': does not belong to this workspace' end as message
+            when 'invalid_reference' then 'invalid ' || field || ': does not belong to this workspace' end as message,
+  case when code = 'invalid_enum' then case field when 'platform' then 'instagram,facebook,twitter,linkedin,tiktok,youtube,other'
+                                                  else 'post,story,reel,video,carousel,other' end end as allowed,
+  case when code = 'invalid_format' then 'YYYY-MM-DD' end as expected
 from v where code is not null""")
 def error_record(fx):
-    """Code, field and message of every rejected draft."""
+    """Code, field, message and what would have passed, for every rejected draft."""
     v, _ = M.create_content(fx.content_drafts, fx.clients, AS_OF)
     v = v.filter(F.col("verdict") != "accepted")
     value = (F.when(F.col("field") == "platform", F.col("platform"))
              .when(F.col("field") == "content_type", F.col("content_type"))
              .when(F.col("field") == "scheduled_date", F.col("scheduled_date")))
     return v.select("id", F.col("verdict").alias("code"), "field",
-                    X.error_message("verdict", "field", value).alias("message"))
+                    X.error_message("verdict", "field", value).alias("message"),
+                    F.array_join(X.error_allowed("verdict", "field"), ",").alias("allowed"),
+                    X.error_expected("verdict").alias("expected"))
 
 
 @register("ordered", uses=("tasks",), sql="""
@@ -239,6 +244,34 @@ def tables(fx):
     return conform(fx.content_items, "content_items", T.LongType())
 
 
+@register("tables_all", uses=("full_users", "full_workspaces", "full_memberships", "full_invites", "full_clients", "full_content_items",
+                              "full_comments", "full_tasks"), sql="""
+select 'users' as table_name, cast(id as varchar) as row_key, email as a, coalesce(name, '') as b from full_users
+union all select 'workspaces', cast(id as varchar), name, cast(deleted_at is null as varchar) from full_workspaces
+union all select 'memberships', workspace_id || ',' || user_id, role, cast(joined_at is null as varchar) from full_memberships
+union all select 'workspace_invites', cast(id as varchar), token, cast(max_uses as varchar) from full_invites
+union all select 'clients', cast(id as varchar), coalesce(notes, ''), coalesce(json_extract_string(social_handles, '$.instagram'), 'none') from full_clients
+union all select 'content_items', cast(id as varchar), coalesce(description, ''), platform from full_content_items
+union all select 'comments', cast(id as varchar), body, cast(author_id as varchar) from full_comments
+union all select 'tasks', id, title, cast(coalesce(done, false) as varchar) from full_tasks""")
+def tables_all(fx):
+    """All eight tables read onto their declared schemas with their defaults."""
+    from functools import reduce
+    shown = {"users": ("email", "name"), "workspaces": ("name", F.col("deleted_at").isNull()), "memberships": ("role", F.col("joined_at").isNull()),
+             "workspace_invites": ("token", "max_uses"), "clients": ("notes", F.coalesce(F.col("social_handles")["instagram"], F.lit("none"))),
+             "content_items": ("description", "platform"), "comments": ("body", "author_id"), "tasks": ("title", "done")}
+    parts = []
+    for name, (a, b) in shown.items():
+        ids = T.StringType() if name == "tasks" else T.LongType()  # the test tasks have text ids
+        t = conform(fx[f"full_{name.replace("workspace_invites", "invites")}"], name, ids)
+        key = ["workspace_id", "user_id"] if name == "memberships" else ["id"]
+        parts.append((name, t, key, a, b))
+    return reduce(lambda x, y: x.unionByName(y), [t.select(
+        F.lit(n).alias("table_name"), F.concat_ws(",", *[F.col(k).cast("string") for k in key]).alias("row_key"),
+        (F.col(a) if isinstance(a, str) else a).cast("string").alias("a"), (F.col(b) if isinstance(b, str) else b).cast("string").alias("b"))
+        for n, t, key, a, b in parts])
+
+
 @register("fill_defaults", uses=("clients",), sql="""
 select id, coalesce(notes, '') as notes, active, coalesce(json_extract_string(social_handles, '$.instagram'), '') as instagram
 from (select *, null as notes from clients)""")

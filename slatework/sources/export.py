@@ -40,6 +40,40 @@ def write_snapshot(df: DataFrame, root: str, table: str, version: str | None = N
     return path
 
 
+# What the application fetches single rows by: table -> columns
+LOOKUP_COLUMNS = {
+    "users": ["id", "email"], "workspaces": ["id"], "memberships": ["user_id", "workspace_id"], "workspace_invites": ["token", "id"],
+    "clients": ["id"], "content_items": ["id"], "comments": ["id"], "tasks": ["id"],
+}
+
+
+def write_lookup_snapshot(df: DataFrame, root: str, table: str, version: str | None = None, row_group_bytes: int = 8 << 20) -> str:
+    """Write ``df`` as a version of ``table`` that answers point lookups (F7) with little reading.
+
+    Rows are range-partitioned and sorted by the first lookup column, so its
+    minima and maxima cut the files and row groups; every lookup column has a
+    Parquet Bloom filter per row group, which cuts those of the other columns.
+    Row groups are small, since a hit reads a whole one.
+    """
+    path = f"{root.rstrip('/')}/{table}_lookup/v={version or uuid.uuid4().hex}"
+    columns = LOOKUP_COLUMNS[table]
+    w = df.repartitionByRange(F.col(columns[0])).sortWithinPartitions(columns[0]).write.option("parquet.block.size", row_group_bytes)
+    for c in columns:
+        w = w.option(f"parquet.bloom.filter.enabled#{c}", "true")
+    w.mode("errorifexists").parquet(path)
+    return path
+
+
+def lookup_few(spark: SparkSession, path: str, column: str, keys: list) -> DataFrame:
+    """The rows of a lookup snapshot whose ``column`` is one of a few ``keys``: the keys go
+    into the scan as a filter, which row groups without any of them never pass.
+    For a table of keys use ``reads.lookup``, which joins."""
+    threshold = int(spark.conf.get("spark.sql.parquet.pushdown.inFilterThreshold"))
+    if len(keys) > threshold:
+        raise ValueError(f"{len(keys)} keys; beyond {threshold} Spark pushes only their range: use reads.lookup")
+    return spark.read.parquet(path).filter(F.col(column).isin(keys))
+
+
 def calendar_json(month_items: DataFrame, day_counts: DataFrame, workspaces: DataFrame | None = None
                   ) -> tuple[DataFrame, DataFrame]:
     """The export shape of the calendar, without gathering a tenant's

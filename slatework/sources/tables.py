@@ -67,17 +67,35 @@ def read_tables(spark: SparkSession, root: str, id_type: T.DataType = T.StringTy
     return out
 
 
+def uuid_ranges(column: str, n: int = 64) -> list[str]:
+    """``n`` predicates (a power of two up to 65536) that together hold for every uuid text
+    exactly once, cut at the first four hex digits; the last one takes null as well."""
+    if n < 1 or n > 65536 or n & (n - 1):
+        raise ValueError(f"{n} is no power of two up to 65536")
+    cuts = [f"{i * 65536 // n:04x}0000-0000-0000-0000-000000000000" for i in range(1, n)]
+    if not cuts:
+        return ["1 = 1"]
+    inner = [f"{column} >= '{a}' AND {column} < '{b}'" for a, b in zip(cuts, cuts[1:])]
+    return [f"{column} < '{cuts[0]}'", *inner, f"{column} >= '{cuts[-1]}' OR {column} IS NULL"]
+
+
 def read_jdbc(spark: SparkSession, url: str, properties: dict[str, str], id_type: T.DataType = T.StringType(),
               partition_column: str | None = None, bounds: dict[str, tuple[int, int]] | None = None,
               num_partitions: int = 64) -> dict[str, DataFrame]:
-    """S1 (optional): read the eight tables from the relational database.
+    """S1 (optional): read the eight tables from the relational database, each by
+    ``num_partitions`` parallel range queries.
 
-    With ``partition_column`` and per-table ``bounds`` (lower, upper) a
-    table is read by ``num_partitions`` parallel range queries instead of
-    one; tables without bounds are read in one query.
+    Uuid ids are cut by their first digits (``uuid_ranges``). Number ids need
+    ``partition_column`` and per-table ``bounds`` (lower, upper); a table without
+    them is read in one query.
     """
     out = {}
     for name in TABLE_NAMES:
+        column = "user_id" if name == "memberships" else "id"
+        if isinstance(id_type, T.StringType):
+            out[name] = conform(spark.read.jdbc(url, name, predicates=uuid_ranges(column, num_partitions), properties=properties),
+                                name, id_type)
+            continue
         reader = spark.read.format("jdbc").option("url", url).option("dbtable", name)
         for k, v in properties.items():
             reader = reader.option(k, v)
