@@ -12,6 +12,7 @@ from slatework.llm import mixing, queries, sharding, simhash
 from tools.check_oracle import _rows, duck_connect
 
 from ..conftest import SMALL
+from .data import AWKWARD, table
 from .test_decontam import shingles
 from .test_shares import naive_shards
 
@@ -96,3 +97,31 @@ def test_query_matches_sql(spark, name):
     df = queries.QUERIES[name](spark, SMALL)
     res = duck_connect(SMALL).execute(queries.ORACLE[name])
     assert _rows(df.columns, [tuple(r) for r in df.collect()]) == _rows([d[0] for d in res.description], res.fetchall())
+
+
+def pipeline_inputs(spark, path, docs):
+    docs.write.parquet(f"{path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SMALL}/{name}.parquet").write.parquet(f"{path}/{name}.parquet")
+    return str(path)
+
+
+def test_stages_take_awkward_rows_and_clashing_columns(spark, tmp_path):
+    docs = table(spark, AWKWARD, clash=True)
+    sf = pipeline_inputs(spark, tmp_path, docs)
+    out = C.run(spark, sf)
+    kept = [c for c in docs.columns if c not in ("shard", "slot")]
+    assert out.columns == [*kept, "shard", "slot"]
+    rows = out.collect()
+    words = {r[1] for r in AWKWARD if r[1] and r[1].split()}
+    assert {r.text for r in rows} <= words  # texts without words give nothing to the mix
+    assert len({r.text for r in rows}) >= 3
+    assert all(r["a.b"] == "dot" and (r._ka, r._kb, r._text, r._id) == (1, 2, "no", 3) and r.notes == {"k": r.doc_id} for r in rows)
+
+
+def test_empty_tables_pass_every_stage(spark, tmp_path):
+    docs = table(spark, AWKWARD, clash=True).limit(0)
+    sf = pipeline_inputs(spark, tmp_path, docs)
+    for _, stage in C.STAGES:
+        assert stage(spark, docs, sf).count() == 0
+    assert C.run(spark, sf).count() == 0
