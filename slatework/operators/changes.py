@@ -31,7 +31,7 @@ from ..session import stored
 from . import checks as C
 from . import reads as R
 from . import scan
-from .settle import ACCEPTED, first_wins, numbered, settled
+from .settle import ACCEPTED, GROUP, first_wins, in_time_order, numbered
 
 
 def first_failure(checks: Sequence[tuple[Column, str, str]]) -> tuple[Column, Column]:
@@ -176,7 +176,7 @@ def _admin_checks(requests: DataFrame, memberships: DataFrame) -> DataFrame:
 _GONE = ""  # stands for a removed membership among the roles
 
 
-def write_members(memberships: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+def write_members(memberships: DataFrame, requests: DataFrame, most: int = GROUP) -> tuple[DataFrame, DataFrame]:
     """Role changes and removals of members, as if applied one by one in
     (requested_at, id) order.
 
@@ -186,9 +186,10 @@ def write_members(memberships: DataFrame, requests: DataFrame) -> tuple[DataFram
     and target are those they have by then: who was demoted or removed earlier
     in the batch has no rights any more, who became an admin has.
 
-    Every request is on two lines, its actor's and its target's, and the last
-    accepted request on a line gives the role there; rounds of this settle the
-    outcomes (``settle.settled``). Only narrow rows take part.
+    The requests of a workspace are applied in one task if they are at most
+    ``most``. In a larger one every request is on two lines, its actor's and its
+    target's, and the last accepted request on a line gives the role there;
+    rounds of this settle the outcomes (``settle``). Only narrow rows take part.
     """
     change = F.col("kind") == "change_role"
     all_rows = numbered(requests, "member-requests")
@@ -226,7 +227,23 @@ def write_members(memberships: DataFrame, requests: DataFrame) -> tuple[DataFram
 
         return verdicts_of(y.withColumns({"_actor": role("_a", "_actor0"), "_target": role("_t", "_target0")}).drop("_r", "_a", "_t"))
 
-    done = settled(stored(verdicts_of(start), "members"), judge)
+    def replay(rows: list[dict]) -> list[dict]:
+        role = {}
+        for r in rows:
+            role[r["actor_id"]], role[r["target_user_id"]] = r["_actor0"], r["_target0"]
+        out = []
+        for r in rows:
+            actor, target = role[r["actor_id"]], role[r["target_user_id"]]
+            failed = next(((code, fld) for bad, code, fld in (
+                (actor is None, "not_found", "workspace"), (actor != "admin", "forbidden", "role"),
+                (r["_sets"] is None, "invalid_enum", "role"), (r["actor_id"] == r["target_user_id"], "self", "user_id"),
+                (target is None, "not_found", "membership")) if bad), (ACCEPTED, None))
+            if failed[0] == ACCEPTED:
+                role[r["target_user_id"]] = r["_sets"] or None
+            out.append({"verdict": failed[0], "field": failed[1], "_ok": failed[0] == ACCEPTED})
+        return out
+
+    done = in_time_order(stored(verdicts_of(start), "members"), "workspace_id", ["requested_at", "id", "_row"], replay, judge, most)
     verdicts = all_rows.join(done.select(F.col("_row").alias("_r"), "verdict", "field"), F.col("_row") == F.col("_r")).select(
         *requests.columns, "verdict", "field")
     last = done.filter("_ok").groupBy("workspace_id", F.col("target_user_id").alias("user_id")).agg(
@@ -257,7 +274,7 @@ def remove_members(memberships: DataFrame, requests: DataFrame) -> tuple[DataFra
 
 
 # M9 ------------------------------------------------------------------------
-def write_clients(clients: DataFrame, requests: DataFrame, as_of=None) -> tuple[DataFrame, DataFrame]:
+def write_clients(clients: DataFrame, requests: DataFrame, as_of=None, most: int = GROUP) -> tuple[DataFrame, DataFrame]:
     """Create and update clients.
 
     requests: id, workspace_id, kind ('create'/'update'), client_id (for
@@ -267,9 +284,10 @@ def write_clients(clients: DataFrame, requests: DataFrame, as_of=None) -> tuple[
     of the batch) -> name taken. A name (lower-cased, per workspace) is taken
     when another live client holds it by then: requests count as applied one by
     one in (requested_at, id) order, so a rename frees the old name for the
-    requests after it. One rename touches two names, so the outcomes settle in
-    rounds (``settle.settled``) over narrow rows, each a count of holders before
-    every request. Handles are normalised to a map (null/non-object -> {}).
+    requests after it. The requests of a workspace are applied in one task if
+    they are at most ``most``. In a larger one the outcomes settle in rounds,
+    since one rename touches two names, each round a count of the holders before
+    every request (``settle``). Only narrow rows take part. Handles are normalised to a map (null/non-object -> {}).
     """
     is_update = F.coalesce(F.col("kind") == "update", F.lit(False))
     all_rows = numbered(requests, "client-requests")
@@ -304,7 +322,25 @@ def write_clients(clients: DataFrame, requests: DataFrame, as_of=None) -> tuple[
         others = F.col("_holders0") + F.col("_before") - F.col("_own").eqNullSafe(F.col("_key")).cast("long")
         return x2.withColumn("_ok", others == 0).select(x.columns).unionByName(x.filter(F.col("_pre") != ACCEPTED))
 
-    done = settled(g, judge)
+    def replay(rows: list[dict]) -> list[dict]:
+        holders = {r["_key"]: r["_holders0"] for r in rows}
+        name = {r["_client"]: r["_name0"] for r in rows if r["_update"]}
+        out = []
+        for r in rows:
+            key, ok = r["_key"], r["_ok"]
+            if r["_pre"] == ACCEPTED:
+                own = name[r["_client"]] if r["_update"] else None
+                ok = holders[key] - (own == key) == 0
+                if ok and own != key:
+                    holders[key] += 1
+                    if own in holders:
+                        holders[own] -= 1
+                    if r["_update"]:
+                        name[r["_client"]] = key
+            out.append({"_ok": ok})
+        return out
+
+    done = in_time_order(g, "workspace_id", order, replay, judge, most)
     lost = (F.col("_pre") == ACCEPTED) & ~F.col("_ok")
     outcome = done.select(F.col("_row").alias("_r"), F.when(lost, "conflict").otherwise(F.col("_pre")).alias("verdict"),
                           F.when(lost, "name").otherwise(F.col("_pre_field")).alias("field"))

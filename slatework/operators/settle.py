@@ -1,5 +1,8 @@
 """Batches whose requests depend on one another.
 
+``in_time_order``: groups of at most ``GROUP`` requests are applied one by one, each
+group in one task; larger ones are settled in rounds, spread over all tasks.
+
 ``first_wins``: of the requests that pass the checks, the first per key takes
 effect. ``settled``: a request's outcome depends on the outcomes of earlier
 requests of other keys (who holds a name by then, whether the actor is still an
@@ -14,12 +17,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
 
 ACCEPTED = "accepted"
+GROUP = 100_000  # requests that are applied one by one in one task
 
 
 def numbered(requests: DataFrame, name: str) -> DataFrame:
@@ -64,3 +70,33 @@ def settled(rows: DataFrame, judge: Callable[[DataFrame], DataFrame]) -> DataFra
         if now.join(before, F.col("_row") == F.col("_r")).filter(F.col("_ok") != F.col("_before")).isEmpty():
             return now
         was = now
+
+
+def in_time_order(rows: DataFrame, group: str, order: Sequence[str], replay: Callable[[list[dict]], list[dict]],
+                  judge: Callable[[DataFrame], DataFrame], most: int = GROUP) -> DataFrame:
+    """Outcomes of requests as if applied one by one within each ``group``.
+
+    ``rows`` are stored and narrow. A group of at most ``most`` rows goes to
+    ``replay`` (its rows in ``order`` as dicts; it gives the changed columns of
+    each), so Spark holds no more than that in one task. Larger groups go
+    through ``settled`` with ``judge``. Both give the same outcomes.
+    """
+    sizes = rows.groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most)
+    large = stored(sizes.select("_g"), "large-groups")
+    same = F.col(group).eqNullSafe(F.col("_g"))
+    small, rest = rows, None
+    if not large.isEmpty():
+        small, rest = rows.join(large, same, "left_anti"), rows.join(large, same, "left_semi")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, sort_keys=[(c, "ascending") for c in order], null_placement="at_start"))
+        made = replay(table.to_pylist())
+        for c in made[0] if made else ():
+            at = table.schema.get_field_index(c)
+            table = table.set_column(at, table.schema.field(at), pa.array([r[c] for r in made], table.schema.field(at).type))
+        return table
+
+    done = small.groupBy(group).applyInArrow(run, rows.schema)
+    if rest is not None:
+        done = done.unionByName(settled(stored(rest, "large"), judge).select(rows.columns))
+    return stored(done, "in-time-order")
