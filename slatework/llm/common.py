@@ -99,8 +99,9 @@ def running(df: DataFrame, keys: Sequence[str], u: Column, order: Sequence[Colum
         "_cell", "_before")
 
 
-def cell_count(rows: int, per_cell: int = 2000, most: int = 10_000) -> int:
-    """Cells for ``rows`` rows; beyond ``most`` the cells grow instead."""
+def cell_count(rows: int, per_cell: int = 2000, most: int = 10_000_000) -> int:
+    """Cells for ``rows`` rows. One task sums a row per cell, which bounds them; beyond
+    ``most``, at 20 billion rows, the cells grow instead."""
     return max(1, min(most, -(-rows // per_cell)))
 
 

@@ -6,8 +6,10 @@ the document does not matter).
 
 - Items are partitioned by size (powers of two of their shingle count). A
   document probes only the partitions whose smallest item could fit into it.
-- An item of n shingles is sketched by its n - ceil(0.8 n) + 1 smallest
-  shingle hashes. A document that holds 80% of the item lacks at most
+- An item of n shingles is sketched by its first n - ceil(0.8 n) + 1 shingles in
+  an order that all items share: those that fewer items hold first, then the
+  smaller hash. So a phrase that many items have seldom is a sketch, and a
+  document with it does not meet them all. A document that holds 80% of the item lacks at most
   n - ceil(0.8 n) of its shingles, so at least one of the sketch is in the
   document: the candidate search loses nothing, however long the document.
 - Candidates are verified by the exact share of the item's shingles.
@@ -24,7 +26,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import KEY, columns, slices, stored, table, with_key
@@ -65,7 +67,7 @@ def shingle_hashes(text: str | None, memo: _Memo, k: int = SHINGLE) -> np.ndarra
 
 
 def item_shingles(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
-    """(``_item``, ``_text_no``, ``hash``, ``n``, ``part``, ``need``, ``sketch``): a row per shingle.
+    """(``_item``, ``_text_no``, ``hash``, ``n``, ``part``, ``need``): a row per shingle.
 
     Items that repeat an id with another text are told apart by their row key;
     equal rows count once; an item without words has no row.
@@ -84,12 +86,18 @@ def item_shingles(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([item.as_py()] * n, b.schema.field(0).type), pa.array([no.as_py()] * n, pa.int64()),
                          pa.array(hs.view(np.int64)), pa.array([n] * n, pa.int32()),
-                         pa.array([n.bit_length()] * n, pa.int32()), pa.array([need] * n, pa.int32()),
-                         pa.array(np.arange(n) < n - need + 1)],
-                        names=["_item", "_text_no", "hash", "n", "part", "need", "sketch"])
+                         pa.array([n.bit_length()] * n, pa.int32()), pa.array([need] * n, pa.int32())],
+                        names=["_item", "_text_no", "hash", "n", "part", "need"])
 
     kind = x.schema["_item"].dataType.simpleString()
-    return x.mapInArrow(run, f"_item {kind}, _text_no long, hash long, n int, part int, need int, sketch boolean")
+    return x.mapInArrow(run, f"_item {kind}, _text_no long, hash long, n int, part int, need int")
+
+
+def sketched(shingles: DataFrame) -> DataFrame:
+    """``item_shingles`` rows with the sketch marked in ``sketch``."""
+    held = shingles.groupBy("hash").agg(F.count(F.lit(1)).alias("_held"))
+    place = F.row_number().over(Window.partitionBy("_item", "_text_no").orderBy("_held", "hash"))
+    return shingles.join(held, "hash").withColumn("sketch", place <= F.col("n") - F.col("need") + 1).drop("_held")
 
 
 def _slots(shingles: DataFrame) -> tuple[np.ndarray, list[tuple[int, int]]]:
@@ -138,7 +146,7 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
     fewer than five words is found where it is the whole text. Repeated rows
     count once, repeated ids with different texts on their own.
     """
-    shingles = stored(item_shingles(items, item_col, item_text_col), "item-shingles")
+    shingles = stored(sketched(item_shingles(items, item_col, item_text_col)), "item-shingles")
     mask, parts = _slots(shingles)
     keyed = docs.select(*[c for c in KEY if c in docs.columns], F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     found = hits(keyed if KEY[0] in docs.columns else with_key(keyed), mask, parts, [*KEY, "_id"], "_text")

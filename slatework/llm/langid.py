@@ -32,6 +32,7 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 RUN = 32  # longer runs of letters are scored one by one; the model learns from them in stretches of this many
 LONGEST = 64  # characters of a piece with its start mark; the vocabulary has no longer one
 PER_LANG = 400
+LANGS = 500  # languages learned at most: those with most distinct texts
 TURNS = 3
 FLOOR = 1e-7  # probability of a character that begins no piece
 START = "▁"
@@ -231,12 +232,14 @@ def sample(docs: DataFrame, per_lang: int, lang_col: str, text_col: str) -> Data
     hash of the text; thinned by rate first, so no language meets in one task.
 
     Copies share their hash, so both the rate and the sample count distinct
-    texts; a language of fewer than ``2 * per_lang`` is not thinned."""
+    texts; a language of fewer than ``2 * per_lang`` is not thinned. Of more than
+    ``LANGS`` languages those with most distinct texts are learned."""
     x = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
     counts = x.select("_lang", F.xxhash64("_text").alias("_x")).distinct().groupBy("_lang").agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.orderBy(F.desc("_n"), "_lang").limit(LANGS)  # a dirty column may hold any number of values
     x = x.withColumn("_h", seeded(1, F.xxhash64("_text")))
-    # one row per language, fewer than the model has columns; else the texts would be shuffled by language
+    # at most LANGS rows; else the texts would be shuffled by language
     x = x.join(F.broadcast(counts), "_lang").filter(unit(F.col("_h")) < F.lit(2.0 * per_lang) / F.col("_n"))
     x = x.select("_lang", "_h", "_text").distinct()  # copies meet in each task before they are shuffled
     place = F.row_number().over(Window.partitionBy("_lang").orderBy("_h", "_text"))

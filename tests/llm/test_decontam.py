@@ -51,3 +51,17 @@ def test_awkward(spark, tmp_path):
     out = C.stage(spark, docs, str(tmp_path))
     assert out.columns == docs.columns
     assert sorted((r.doc_id for r in out.collect()), key=repr) == sorted([1, 2, 3, 7, 8, None], key=repr)
+
+
+def test_a_phrase_that_many_items_share_is_no_sketch(spark):
+    """Rare shingles come first, and nothing is lost by it."""
+    common = "one two three four five six seven eight nine ten"
+    items = [(i, f"{common} own{i}a own{i}b own{i}c own{i}d own{i}e own{i}f own{i}g") for i in range(50)] + [(99, common)]
+    df = spark.createDataFrame(items, "item_id long, text string")
+    x = C.sketched(C.item_shingles(df, "item_id", "text")).collect()
+    shared = {r.hash for r in x if sum(y.hash == r.hash for y in x) > 1}
+    assert not [r for r in x if r.sketch and r.hash in shared and r._item != 99]
+    assert {r._item for r in x if r.sketch} == {i for i, _ in items}
+    docs = table(spark, [(i, "before " + t + " after", "en", "s", 1) for i, t in items[:10]] + [(70, common, "en", "s", 1)])
+    got = {(r.doc_id, r.item_id) for r in C.contained(docs, df).collect()}
+    assert got == {(i, i) for i in range(10)} | {(i, 99) for i in [*range(10), 70]}
