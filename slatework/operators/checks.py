@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import enums as E
+from ..session import stored
 from ..sources.schemas import TABLE_NAMES
 from . import reads as R
 
@@ -185,9 +186,11 @@ def orphans(tables: dict[str, DataFrame]) -> DataFrame:
     """References whose parent row does not exist (null references are fine).
     Rows: child table, reference column, child row key (comma-joined), missing value.
 
-    All references of all tables are stacked, all parents' ids too, and one
-    join on (parent table, value) finds the orphans: every table is read
-    once as a child and once as a parent, whatever the number of references.
+    All references of all tables are stacked and reduced to their distinct
+    (parent table, value) before they are shuffled; one join with all parents'
+    ids finds those without a row, and a second one their children. Every table
+    is read twice as a child and once as a parent, whatever the number of its
+    references.
     """
     parents = {p for _, refs in FOREIGN_KEYS.values() for p, _ in refs.values()}
     require(tables, set(FOREIGN_KEYS) | parents)
@@ -201,9 +204,12 @@ def orphans(tables: dict[str, DataFrame]) -> DataFrame:
     held = reduce(DataFrame.unionByName, [tables[p].select(F.lit(p).alias("_parent"), F.col("id").cast("string").alias("missing"))
                                           for p in sorted(parents)])
     refs = reduce(DataFrame.unionByName, children).filter(F.col("missing").isNotNull())
-    # an outer join, since an anti join would be pushed below the union, once per table
-    return (refs.join(held.withColumn("_held", F.lit(True)), ["_parent", "missing"], "left").filter(F.col("_held").isNull())
-            .select("table_name", "column_name", "row_key", "missing"))
+    # the distinct references are few against the rows, and those without a parent fewer still: stored, they
+    # are joined back by broadcast where Spark finds them small (an outer join, since an anti join would be
+    # pushed below the union, once per table)
+    lost = (refs.select("_parent", "missing").distinct().join(held.withColumn("_held", F.lit(True)), ["_parent", "missing"], "left")
+            .filter(F.col("_held").isNull()).select("_parent", "missing"))
+    return refs.join(stored(lost, "lost-references"), ["_parent", "missing"]).select("table_name", "column_name", "row_key", "missing")
 
 
 # Q5 ------------------------------------------------------------------------
