@@ -97,7 +97,8 @@ def mix(docs: DataFrame, seed: int = SEED, block: int = BLOCK, shards: int = SHA
         text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: id, ``size`` (words; 0 for a null text),
     ``source_size``, ``target``, ``taken`` (words, repeats counted, at most
-    three times ``size``) and ``carry``.
+    three times ``size``), ``shard`` (the one whose quota reaches the row's first
+    word first; null if none does) and ``carry``.
 
     Null ids and sources are ordinary values; repeated rows give on their own;
     a row without words gives nothing. An empty table gives an empty table.
@@ -108,7 +109,7 @@ def mix(docs: DataFrame, seed: int = SEED, block: int = BLOCK, shards: int = SHA
                "mix-rows")
     shares = targets(x.groupBy("_src").agg(F.sum("size").alias("source_size")))
     taken = quotas(shares, shards, block).groupBy("_src", "source_size", "target", "block", "blocks").agg(
-        F.max("seats").alias("_seats"))
+        F.max("seats").alias("_seats"), F.array_sort(F.collect_list(F.struct("shard", "seats"))).alias("_upto"))
     start = F.conv(F.substring(seeded(seed, F.col("_src")), 1, 8), 16, 10).cast("long")
     taken = stored(taken.withColumn("_start", F.when(F.col("blocks") > 0, start % F.col("blocks")).otherwise(0)),
                    "mix-quotas")
@@ -123,8 +124,12 @@ def mix(docs: DataFrame, seed: int = SEED, block: int = BLOCK, shards: int = SHA
     def overlap(a: Column, b: Column) -> Column:
         return F.greatest(F.lit(0), F.least(b, F.col("_at") + F.col("size")) - F.greatest(a, F.col("_at")))
 
+    # the block of the row's first word, counted around the ring from where the shards enter
+    turn_at = F.expr("if(blocks > 0 and size > 0, (_at div block - _start + blocks) % blocks, null)")
+    passed = F.size(F.filter("_upto", lambda s: s["seats"] <= F.col("_turn_at")))
+    x = x.withColumn("_turn_at", turn_at).withColumn("shard", F.when(F.col("_turn_at") < F.col("_seats"), passed).cast("int"))
     got = full * F.col("size") + overlap(lo, F.least(hi, F.col("source_size"))) + overlap(F.lit(0), turn)
-    return x.select(id_col, "size", "source_size", "target", got.cast("long").alias("taken"), *carry)
+    return x.select(id_col, "size", "source_size", "target", got.cast("long").alias("taken"), "shard", *carry)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -148,10 +153,11 @@ lv AS (SELECT a.src, a.cap / a.w AS ratio,
 l AS (SELECT level FROM lv WHERE level <= ratio ORDER BY ratio, src LIMIT 1),
 g AS (SELECT src, source_size, total, least(cap::DOUBLE, level * w) AS target,
         greatest(1, least({BLOCK}, total // {FINEST})) AS block FROM t, l),
-seat AS (SELECT src, count(*) AS seats FROM (
-           SELECT src, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, src, k) AS place, total // block AS house
-           FROM (SELECT *, unnest(range(0, (target / block)::BIGINT + 30)) AS k FROM g WHERE target > 0))
-         WHERE place <= house GROUP BY src),
+dealt AS (SELECT src, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, src, k) AS place, total // block AS house
+          FROM (SELECT *, unnest(range(0, (target / block)::BIGINT + 30)) AS k FROM g WHERE target > 0)),
+seat AS (SELECT src, count(*) AS seats FROM dealt WHERE place <= house GROUP BY src),
+per AS (SELECT src, j, count(*) FILTER (WHERE place <= house * (j + 1) // {SHARDS}) AS seats FROM dealt, range(0, {SHARDS}) t(j) GROUP BY src, j),
+up AS (SELECT src, list(seats ORDER BY j) AS upto FROM per GROUP BY src),
 q AS (SELECT g.*, (source_size + block - 1) // block AS blocks,
         least(coalesce(seats, 0), {LIMIT} * ((source_size + block - 1) // block)) AS seats,
         ('0x' || substr(md5('{SEED}:' || g.src), 1, 8))::BIGINT AS pick FROM g LEFT JOIN seat USING (src)),
@@ -162,8 +168,10 @@ o AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY src ORDER BY h ROWS BETW
 SELECT doc_id, size::BIGINT AS size, source_size, target,
   (whole * size
    + greatest(0, least(least((start + rest) * block, source_size), pos + size) - greatest(start * block, pos))
-   + greatest(0, least(greatest(0, start + rest - blocks) * block, pos + size) - pos))::BIGINT AS taken
-FROM o JOIN r USING (src)
+   + greatest(0, least(greatest(0, start + rest - blocks) * block, pos + size) - pos))::BIGINT AS taken,
+  (CASE WHEN size > 0 AND (pos // block - start + blocks) % blocks < whole * blocks + rest
+        THEN len(list_filter(upto, lambda s: least(s, {LIMIT} * blocks) <= (pos // block - start + blocks) % blocks)) END)::INT AS shard
+FROM o JOIN r USING (src) LEFT JOIN up USING (src)
 """
 
 
