@@ -171,7 +171,8 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a test item go."""
+    """Documents that hold a test item go. Null and empty texts stay, repeated rows go
+    together, an empty table or benchmark changes nothing; columns may have any name."""
     keyed = with_key(docs)
     bad = contained(keyed, table(spark, sf_dir, "benchmark")).select(*KEY).distinct()
     return keyed.join(bad, list(KEY), "left_anti").select(columns(docs))

@@ -178,7 +178,9 @@ FROM o JOIN r USING (src) LEFT JOIN up USING (src)
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix as documents: each row as often as the mix takes its words,
     rounded to whole copies (only the rows at the two ends of a source's ring
-    section are taken in part). Rows taken less than half a time go."""
+    section are taken in part). Rows taken less than half a time go, and so do null
+    and empty texts, which have no words to give. Repeated rows are taken on their
+    own; an empty table passes; columns may have any name but the row key's."""
     x = mix(with_key(docs), carry=KEY).filter("size > 0")
     x = x.select(*KEY, F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_copies")).filter("_copies > 0")
     return rejoin(docs, x.select(*KEY, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))).select(columns(docs))

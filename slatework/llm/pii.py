@@ -226,7 +226,9 @@ def listed(spans: Column) -> Column:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """Operator 10 over whole ``documents``; the counts are those of the base spans."""
+    """Operator 10 over whole ``documents``; the counts are those of the base spans. A row
+    per row: null texts are empty and have no spans, null and repeated ids stay as they
+    are, an empty table gives no rows; other columns are not read."""
     x = extract(table(spark, sf_dir, "documents"))
     kinds = F.transform("base", lambda s: s["kind"])
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, F.lit(k)))).cast("long").alias(f"n_{kind}")

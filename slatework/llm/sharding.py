@@ -58,7 +58,9 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row with its ``shard`` and ``slot`` (own columns of that name go)."""
+    """Every row with its ``shard`` and ``slot`` (own columns of that name go). Null ids,
+    sources and texts are ordinary values; repeated rows get places of their own; an
+    empty table passes."""
     kept = [x for x, c in zip(columns(docs), docs.columns, strict=True) if c not in ("shard", "slot")]
     x = assign(with_key(docs), carry=KEY).select(*KEY, "shard", "slot")
     return rejoin(docs, x.withColumnsRenamed({"shard": "_shard", "slot": "_slot"})).select(

@@ -193,7 +193,9 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each component: the smallest id (null ids last),
-    among rows of one id the smallest row key."""
+    among rows of one id the smallest row key. Null and empty texts are one component;
+    rows equal in every column count once; an empty table passes; columns may have
+    any name but the row key's."""
     x = near_duplicates(with_key(docs), carry=KEY)
     first = x.groupBy("_class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *KEY)).alias("_f"))
     return rejoin(docs, first.select(*[F.col(f"_f.{k}").alias(k) for k in KEY])).select(columns(docs))
