@@ -165,10 +165,13 @@ def unit_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def later_units(found: DataFrame) -> DataFrame:
     """(row key, ``_removed``): sorted (start, end) of the units that occurred before."""
     x = found.select(*KEY, "_id", F.inline(F.arrays_zip("_d1", "_d2", "_start", "_end")))
-    repeated = x.groupBy("_d1").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_d1")
+    # what is joined back is stored first: a join with a stored table, unlike one with an aggregate
+    # on the join's own key, can be split by Spark where one digest has most of the units
+    repeated = stored(x.groupBy("_d1").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_d1"), "repeated-digests")
     x = stored(x.join(repeated, "_d1", "left_semi"), "repeated-units")
     place = F.struct(F.col("_id").isNull().alias("nil"), F.col("_id").alias("id"), *KEY, F.col("_start").alias("at"))
     first = x.groupBy("_d1", "_d2").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    first = stored(first.drop("_n"), "first-places")
     own = (F.col(f"_first.{KEY[0]}") == F.col(KEY[0])) & (F.col(f"_first.{KEY[1]}") == F.col(KEY[1])) & (F.col("_first.at") == F.col("_start"))
     gone = x.join(first, ["_d1", "_d2"]).filter(~own)
     return gone.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct(
