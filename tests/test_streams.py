@@ -79,3 +79,11 @@ def test_rows_without_a_time_or_an_item(spark, tmp_path):
     out = S.run_to_table(spark, S.transitions_stream(stream, items), str(tmp_path), "t")
     assert rows(out, "id", "verdict") == [(1, "accepted"), (2, "invalid_transition"), (3, "not_found"), (4, "not_found"), (5, "invalid_enum")]
     assert spark.conf.get(S._STORE) != S._ROCKS
+
+
+def test_repeated_tables_are_not_broadcast(spark):
+    rows = spark.range(5).select("id", F.col("id").alias("token"))
+    static = spark.range(3).select(F.col("id").alias("_tok"))
+    out = S._salted(rows, static, [("token", "_tok")], "id")
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.id, r._tok) for r in out.collect() if r._tok is not None) == [(i, i) for i in range(3)] and out.count() == 5
