@@ -206,3 +206,34 @@ def test_claims_with_repeated_ids_make_one_member(spark):
     v, m, inv = I.claim_invites(invites, members, claims)
     assert sorted((r.user_id, r.verdict, r.new_member) for r in v.collect()) == [(7, "accepted", False), (7, "accepted", True), (8, "accepted", True)]
     assert m.count() == 2 and inv.first().use_count == 3
+
+
+def jobs_of(spark, work):
+    spark.sparkContext.setJobGroup("counted", "counted")
+    try:
+        found = work()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return found, len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted"))
+
+
+def test_requests_of_a_large_workspace_are_replayed_once(spark):
+    """A chain as long as the batch takes as many slices as there are, not a round for every link."""
+    n = 64
+    clients = [(i, 10, f"n{i}", None, "", True, None) for i in range(n)]
+    reqs = [request(100, 10, "update", 0, "free", 0)] + [request(100 + i, 10, "update", i, f"n{i - 1}", i) for i in range(1, n)]
+    (got, _), jobs = jobs_of(spark, lambda: client_rows(spark, frames(spark, clients, reqs), 20))
+    assert got == replay_clients(clients, reqs) and {r[-1] for r in got} == {"accepted"}
+    assert jobs < 100
+    # every admin makes the next one and then goes
+    members = [(1, u, "admin" if u == 0 else "viewer") for u in range(n)]
+    log = [(i, "change_role" if i % 2 == 0 else "remove", i // 2 + i % 2, 1, i // 2 + (i + 1) % 2, "admin", T0 + dt.timedelta(minutes=i)) for i in range(2 * n - 2)]
+    v, _ = M.write_members(spark.createDataFrame(members, MEMBERS), spark.createDataFrame(log, CHANGES), 40)
+    assert sorted(((r.id, r.requested_at, r.verdict, r.field) for r in v.collect()), key=repr) == replay_members(members, log)[0]
+
+
+def test_outcomes_are_not_sent_through_the_driver(spark):
+    log = spark.createDataFrame([(1, "remove", 1, 1, 2, None, T0)], CHANGES)
+    members = spark.createDataFrame([(1, 1, "admin"), (1, 2, "viewer")], MEMBERS)
+    v, _ = M.change_roles(members, log.drop("kind"))
+    assert "BroadcastHashJoin [_row" not in v._jdf.queryExecution().executedPlan().toString()
