@@ -49,7 +49,7 @@ def test_rows_of_single_keys_do_not_wait_for_a_winner(spark):
 
 
 def test_line_items_are_shuffled_once(spark, fx, shuffled_joins):
-    for name in ("tasks", "task_requests", "delete_requests", "content_updates"):
+    for name in ("tasks", "full_tasks", "task_requests", "delete_requests"):
         plan = fx[name]._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning(o_custkey") == 1 and "Exchange hashpartitioning(l_orderkey" in plan
         assert "l_" not in next(x for x in plan.splitlines() if "Exchange hashpartitioning(o_custkey" in x)
