@@ -84,3 +84,49 @@ def test_task_checks_are_stored_narrow(spark):
         "5": ("accepted", None)}
     files = [f for f in v.inputFiles() if "task-verdicts" in f]
     assert files and spark.read.parquet(*files).columns == ["_r", "verdict", "field"]
+
+
+def test_task_state_shuffles_no_requests(spark, shuffled_joins):
+    """The new tasks and the changes of others are stored before they meet the tasks."""
+    from slatework.plans import catalog
+    state = catalog.queries()["write_tasks_state"](spark, "/root/testdata/sf0.001")
+    read = {f.split("/")[-2].rsplit("-", 1)[0] for f in state.inputFiles() if "slatework-" in f}
+    assert read == {"created-tasks", "task-changes"}
+    plan = state._jdf.queryExecution().executedPlan().toString()
+    assert "kind" not in plan and plan.count("Exchange hashpartitioning(task_key") == 1
+
+
+@pytest.mark.parametrize("staged", [False, True])
+def test_long_task_logs_with_and_without_stages(spark, shuffled_joins, staged):
+    """Toggles count behind the last accepted update, which sets every field; other tasks, nulls and repeats keep their own."""
+    tasks = spark.createDataFrame([(k, 1, "T", "", 7, None, False, None, c, T0, T0) for k, c in (("a", None), ("b", 9), ("c", None), ("c", None), ("d", None))],
+                                  "id string, workspace_id long, title string, description string, assignee_id long, due_date date, done boolean, "
+                                  "content_item_id long, client_id long, created_at timestamp_ntz, updated_at timestamp_ntz")
+    at = [T0 + dt.timedelta(hours=i) for i in range(9)]
+    rows = [("0", "toggle", "a", None, None, at[0]), ("1", "update", "a", "one", None, at[1]), ("2", "toggle", "a", None, None, at[2]),
+            ("3", "update", "a", "two", 4, at[3]), ("4", "update", "a", "", None, at[4]), ("5", "toggle", "a", None, None, at[5]),
+            ("6", "toggle", "b", None, None, at[1]), ("7", "update", "b", "bee", None, at[2]), ("8", "toggle", "b", None, None, at[3]),
+            ("9", "toggle", "b", None, None, at[4]), ("10", "toggle", "c", None, None, at[1]), ("11", "toggle", None, None, None, at[1]),
+            ("12", "create", None, "new", None, at[2]), ("13", "create", None, "bad", 5, at[2]), ("14", "update", "e", "none", None, at[2]),
+            ("15", None, "d", "kindless", None, at[2]), ("16", "update", "c", "", None, at[3])]
+    req = spark.createDataFrame([(i, 1, k, key, title, None, client, None, False, None, when) for i, k, key, title, client, when in rows],
+                                "id string, workspace_id long, kind string, task_key string, title string, description string, client_id long, "
+                                "due_date string, done boolean, content_item_id long, requested_at timestamp_ntz").withColumn("assignee_id", F.lit(7).cast("long"))
+    clients = spark.createDataFrame([(4, 1, None), (9, 1, T0)], "id long, workspace_id long, deleted_at timestamp_ntz")
+    members = spark.createDataFrame([(1, 7)], "workspace_id long, user_id long")
+    v, new = M.write_tasks(tasks, req, clients, spark.createDataFrame([], "id long, workspace_id long"), members, staged=staged)
+    bad = {"4": "required", "16": "required", "6": "invalid_reference", "11": "not_found", "13": "invalid_reference", "14": "not_found"}
+    got = sorted((int(r.id), r.verdict) for r in v.collect())
+    # a request for a task that is stored twice has two verdicts
+    assert got == sorted([(int(i), bad.get(i, "accepted")) for i, *_ in rows] + [(10, "accepted"), (16, "required")])
+    assert sorted((r.id, r.title, r.done, r.client_id, r.updated_at) for r in new.collect()) == [
+        ("12", "new", False, None, at[2]), ("a", "two", True, 4, at[5]), ("b", "bee", False, None, at[4]),
+        ("c", "T", False, None, at[1]), ("c", "T", False, None, at[1]), ("d", "T", False, None, T0)]
+
+
+def test_tidy_storing_keeps_the_session_as_it_was(spark):
+    from slatework.session import _DROP_SHUFFLES, stored
+    was = spark.conf.get(_DROP_SHUFFLES, None)
+    x = stored(spark.range(10).repartition(3, "id"), "tidy", tidy=True)
+    assert x.count() == 10 and spark.conf.get(_DROP_SHUFFLES, None) == was
+    assert all(f.endswith(".zstd.parquet") for f in x.inputFiles())
